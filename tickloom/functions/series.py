@@ -28,9 +28,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def index_bars(df: DataFrame, key: str = "symbol", ts: str = "ts", chunk: str = "quarter") -> DataFrame:
+def index_bars(
+    df: DataFrame, key: str = "symbol", ts: str = "ts", chunk: str = "quarter", then: tuple[str, ...] = ()
+) -> DataFrame:
     """Add ``bar_no`` and ``n_bars``. Rows are counted per (key, calendar chunk) first, so the only
-    per-key window runs over one row per chunk."""
+    per-key window runs over one row per chunk. ``then`` lists further columns that order equal times."""
     chunked = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)).cast("timestamp_ntz"))
     over_chunks = Window.partitionBy(key).orderBy("_chunk")
     counts = (
@@ -39,7 +41,7 @@ def index_bars(df: DataFrame, key: str = "symbol", ts: str = "ts", chunk: str =
         .withColumn("n_bars", F.sum("_n").over(Window.partitionBy(key)))
         .drop("_n")
     )
-    in_chunk = Window.partitionBy(key, "_chunk").orderBy(ts)
+    in_chunk = Window.partitionBy(key, "_chunk").orderBy(ts, *then)
     return (
         chunked.join(counts, [key, "_chunk"])
         .withColumn("bar_no", F.col("_before") + F.row_number().over(in_chunk) - 1)
@@ -107,7 +109,7 @@ class Frame:
 
     def pct_change(self, c: Column | str, n: int = 1) -> Column:
         c = col(c)
-        return c / self.lag(c, n) - 1
+        return F.try_divide(c, self.lag(c, n)) - 1
 
     def ewm(self, c: Column | str, alpha: float, mp: int = 0, adjust: bool = True) -> Column:
         """Exponentially weighted mean as a ratio of running sums, anchored at the block centre so the
@@ -199,3 +201,42 @@ def running_from_end(
     """``running`` taken from the last bar backwards (suffix minima, back fill, later-break factors)."""
     flipped = df.withColumn("_fwd", F.col("bar_no")).withColumn("bar_no", F.col("n_bars") - 1 - F.col("bar_no"))
     return running(flipped, specs, block, key).withColumn("bar_no", F.col("_fwd")).drop("_fwd")
+
+
+def exact_median(df: DataFrame, c: Column | str, key: str = "symbol", name: str = "median") -> DataFrame:
+    """Exact median of the positive values of ``c`` per key without collecting a key: a logarithmic
+    histogram finds the bucket of the middle ranks, then only that bucket's distinct values are ranked."""
+    v = df.select(key, col(c).alias("_v")).where(F.col("_v") > 0)
+    v = v.withColumn("_b", F.floor(F.log2("_v") * 32))
+    by_bucket = Window.partitionBy(key).orderBy("_b")
+    hist = (
+        v.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(by_bucket.rowsBetween(UP, 0)))
+        .withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
+        .withColumn("_from", F.col("_upto") - F.col("_n"))
+    )
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = hist.where((F.col("_from") <= hi) & (F.col("_upto") > lo)).select(key, "_b", "_from", "_all")
+    values = v.join(middle, [key, "_b"]).groupBy(key, "_b", "_from", "_all", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    in_bucket = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(UP, 0)
+    values = values.withColumn("_end", F.col("_from") + F.sum("_k").over(in_bucket)).withColumn("_start", F.col("_end") - F.col("_k"))
+    holds = lambda r: (F.col("_start") <= r) & (r < F.col("_end"))
+    return values.groupBy(key).agg(
+        ((F.max(F.when(holds(lo), F.col("_v"))) + F.max(F.when(holds(hi), F.col("_v")))) / 2).alias(name)
+    )
+
+
+def at_last(
+    df: DataFrame, fn: Callable[[DataFrame, Frame], DataFrame], reach: int, block: int | None = None, key: str = "symbol"
+) -> DataFrame:
+    """``fn`` evaluated on the newest bar of every symbol only. Rows older than ``reach`` cannot matter
+    and are filtered out before the shuffle, which bounds every window partition."""
+    block = block or BLOCK
+    d = tail(df, reach + 1).withColumn("_blk", F.floor((F.col("n_bars") - 1) / block).cast("int"))
+    return fn(d, Frame(key, block)).where(is_last()).drop("_blk")
+
+
+def recent(df: DataFrame, n: int, *columns: str, key: str = "symbol", name: str = "r") -> DataFrame:
+    """The last ``n`` bars of every symbol as one array, oldest first (``n`` bounds it)."""
+    item = F.struct("bar_no", *columns)
+    return tail(df, n).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(name))

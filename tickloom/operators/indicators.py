@@ -128,7 +128,7 @@ def lagged_returns(bars: DataFrame, lags: int = 5) -> DataFrame:
         d = d.withColumns({
             "diff_1": F.col("close") - f.lag("close"),
             **{f"ret_{k}": f.pct_change("close", k) for k in (1, 2, 5, 10)},
-            "log_ret": F.log(F.col("close") / f.lag("close")),
+            "log_ret": F.log(F.try_divide(F.col("close"), f.lag("close"))),
         })
         return d.withColumns({f"log_ret_lag_{k}": f.lag("log_ret", k) for k in range(1, lags + 1)})
 
@@ -298,7 +298,7 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, squeeze_window: int
     def fn(d: DataFrame, f: Frame) -> DataFrame:
         d = d.withColumns({"bb_mid": f.mean("close", n), "_sd": f.std("close", n)})
         d = d.withColumns({"bb_upper": F.col("bb_mid") + k * F.col("_sd"), "bb_lower": F.col("bb_mid") - k * F.col("_sd")})
-        d = d.withColumn("bb_width", (F.col("bb_upper") - F.col("bb_lower")) / F.col("bb_mid"))
+        d = d.withColumn("bb_width", F.try_divide(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_mid")))
         return d.withColumns({
             "bb_position": (F.col("close") - F.col("bb_lower")) / nonzero(F.col("bb_upper") - F.col("bb_lower")),
             "bb_squeeze": truthy(F.col("bb_width") < 0.8 * f.mean("bb_width", squeeze_window, n)),
@@ -325,7 +325,7 @@ def price_volume_divergence(bars: DataFrame, k: int = 20) -> DataFrame:
 
 def drawdown(bars: DataFrame, c: str = "close") -> DataFrame:
     d = running(bars, {"peak": ("max", c)})
-    return d.withColumn("drawdown", (F.col(c) - F.col("peak")) / F.col("peak"))
+    return d.withColumn("drawdown", F.try_divide(F.col(c) - F.col("peak"), F.col("peak")))
 
 
 def fill(df: DataFrame, columns: list[str], back: bool = False) -> DataFrame:
@@ -365,8 +365,8 @@ def forward_columns(bars: DataFrame, horizons: tuple[int, ...] = (1, 21)) -> Dat
 
     def fn(d: DataFrame, f: Frame) -> DataFrame:
         return d.withColumns({
-            "next_ret": f.lead("close") / F.col("close") - 1,
-            **{f"target_{h}": clip(F.log(f.lead("close", h) / F.col("close")), -1.0, 1.0) for h in horizons},
+            "next_ret": F.try_divide(f.lead("close"), F.col("close")) - 1,
+            **{f"target_{h}": clip(F.log(F.try_divide(f.lead("close", h), F.col("close"))), -1.0, 1.0) for h in horizons},
         })
 
     return per_block(bars, fn, lookahead=max(horizons))
