@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import VolumePriceSettings
@@ -282,17 +282,9 @@ def depth_imbalance(depth: DataFrame) -> DataFrame:
 
 
 def tick_imbalance(ticks: DataFrame, n: int = 200) -> DataFrame:
-    """Aggressor volume of the newest ``n`` ticks per symbol. The cut-off time of the n-th newest tick is
-    found from per-minute counts first, so a busy symbol is not ranked tick by tick in one task."""
-    from pyspark.sql import Window
-
-    minute = F.date_trunc("minute", "ts").cast("timestamp_ntz")
-    newest_first = Window.partitionBy("symbol").orderBy(F.desc("_m"))
-    counts = ticks.groupBy("symbol", minute.alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newest_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cand = ticks.withColumn("_m", minute).join(counts.where(F.col("_newer") < n), ["symbol", "_m"])
-    in_minute = Window.partitionBy("symbol", "_m").orderBy(F.desc("ts"), F.desc("tick_id"))
-    picked = cand.withColumn("_rank", F.col("_newer") + F.row_number().over(in_minute)).where(F.col("_rank") <= n)
+    """Aggressor volume of the newest ``n`` ticks per symbol (limited per partition before the shuffle)."""
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("tick_id"))
+    picked = ticks.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n)
     side = F.upper("side")
     s = picked.groupBy("symbol").agg(
         F.sum(F.when(side.isin(*BUY_SIDES), F.col("volume")).otherwise(0.0)).alias("buy_vol"),

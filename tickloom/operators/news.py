@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.clean import lookup
@@ -69,16 +69,10 @@ def keyword_score(text: Column) -> Column:
 
 
 def newest_per_key(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """Newest ``n`` rows of each key (``order`` unique in the key). Ranked in 64 salted parts first, so a
-    busy key is cut down to 64 n values before one task sees it; the cut-off is joined back."""
-    from pyspark.sql import Window
-
-    local = rows.select(key, F.col(order).alias("_o"))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_o")))
-    local = local.withColumn("_salt", F.pmod(F.hash("_o"), F.lit(64)))
-    top = local.withColumn("_r", rank(key, "_salt")).where(F.col("_r") <= n)
-    cut = top.withColumn("_r", rank(key)).where(F.col("_r") <= n).groupBy(key).agg(F.min("_o").alias("_cut"))
-    return rows.join(cut, key).where(F.col(order) >= F.col("_cut")).drop("_cut")
+    """Newest ``n`` rows of each key. Spark limits each partition to n rows per key before the shuffle
+    (WindowGroupLimit), so a busy key reaches one task with a few rows per map task only."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def headline_sentiment(headlines: DataFrame, key: str = "symbol", order: str = "ts", n: int = 10) -> DataFrame:

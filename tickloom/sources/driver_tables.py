@@ -99,3 +99,11 @@ def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "positioning")
+
+
+def derived_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Any further table computed from the given ones, written once per application."""
+    memo_key = (spark.sparkContext.applicationId, sf_dir, name)
+    if memo_key not in _MEMO:
+        _MEMO[memo_key] = materialize(build(), name)
+    return _MEMO[memo_key]
