@@ -429,7 +429,7 @@ def smc_state(signals: DataFrame) -> DataFrame:
     d = signals.where(is_last())
     return d.select(
         "symbol", "ts", F.col("close").alias("current_price"), F.bround("smc_score", 3).alias("smc_score"), "smc_signal", "smc_reason", "smc_structure",
-        "smc_sweep_bull", "smc_idm_bull", F.col("stoch_k"), F.col("stoch_d"), "stoch_status", "stoch_crossover", "stoch_crossunder", "zones", "pools",
+        "smc_bos_bull", "smc_sweep_bull", "smc_sweep_bear", "smc_idm_bull", "smc_idm_bear", F.col("stoch_k"), F.col("stoch_d"), "stoch_status", "stoch_crossover", "stoch_crossunder", "zones", "pools",
         "smc_in_bull_ob", "smc_in_bear_ob", "smc_in_bull_fvg", "smc_in_bear_fvg", "n_bars",
     )
 
