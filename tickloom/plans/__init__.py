@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = [
-    "indicator_checks", "clean_join_checks", "flow_context_checks", "smc_checks", "wyckoff_elliott_checks", "scanner_checks", "risk_ml_checks", "stream_checks",
+    "indicator_checks", "clean_join_checks", "flow_context_checks", "smc_checks", "wyckoff_elliott_checks", "scanner_checks", "risk_ml_checks", "stream_checks", "source_checks",
 ]
 
 

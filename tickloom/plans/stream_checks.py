@@ -78,25 +78,14 @@ def risk_events(df):
     return news.normalize_events(df.select(F.col("ts").alias("event_ts"), F.coalesce(kind, F.lit("OTHER")).alias("event_type"), (F.col("value") / 200).alias("confidence"), F.lit("HIGH").alias("severity")))
 
 
-def risk_batch(batch, batch_id):
-    end = batch.agg(F.max("ts")).scalar()
-    return st.risk_slice(risk_events(batch), end).drop("latest_event_ts")
-
-
-R.add("st8_rolling_geo_risk", lambda s, d: run(s, source(s, d), each=risk_batch).select(fix("geo_risk_score", 5).alias("geo_risk_score"), "n_events", "gate_action", "gate_stale"),
+R.add("st8_rolling_geo_risk", lambda s, d: run(s, source(s, d), each=st.risk_over_history(out(s), risk_events)).select(fix("geo_risk_score", 5).alias("geo_risk_score"), "n_events", "gate_action", "gate_stale"),
       f"""WITH m AS (SELECT max(ts) AS t FROM events), e AS (SELECT CASE event_type WHEN 'click' THEN 1.0 WHEN 'error' THEN 1.0 WHEN 'purchase' THEN -0.8 WHEN 'signup' THEN 0.7 ELSE 0.25 END::DOUBLE * 0.8 * 0.8 * greatest(0, least(1, value / 200)) * exp(-ln(2.0) * epoch(t - ts) / 3600 / 36) AS r FROM events, m WHERE ts >= t - INTERVAL 72 HOUR),
  g AS (SELECT (greatest(-1, least(1, avg(r) + max(r) * 0.35)) + 1) / 2 AS g, count(*) AS n FROM e) SELECT {q.fix('g', 5)} AS geo_risk_score, n AS n_events, CASE WHEN n < 2 THEN 'REDUCE_SIZE' WHEN g >= 0.7 THEN 'PAUSE_NEW_LONGS' WHEN g >= 0.45 THEN 'REDUCE_SIZE' ELSE 'NORMAL' END AS gate_action, n < 2 AS gate_stale FROM g""")
 ZONES = lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.percentile("value", 0.98).alias("bottom"), F.percentile("value", 0.99).alias("top"))
 
 
-def zone_stream(s, d):
-    zones = ZONES(s, d)
-    sent = table(s, d, "events").where("event_id < 0").select(F.lit("none").alias("alert_key"))
-    return run(s, bar_stream(s, d), each=lambda batch, i: st.unsent(st.zone_alerts(batch, zones), sent))
-
-
-R.add("st9_zone_alerts", lambda s, d: zone_stream(s, d).select("symbol", "ts", fix("close", 6).alias("close")),
-      q.sql([q.HOURLY, "z AS (SELECT event_type AS symbol, quantile_cont(value, 0.98) AS bottom, quantile_cont(value, 0.99) AS top FROM events GROUP BY 1)"], f"SELECT h.symbol, h.ts, {q.fix('close', 6)} AS close FROM hours h JOIN z USING (symbol) WHERE low <= top AND high >= bottom"))
+R.add("st9_zone_alerts", lambda s, d: run(s, bar_stream(s, d), each=st.alert_once(out(s), ZONES(s, d))).select("alert_key"),
+      q.sql([q.HOURLY, "z AS (SELECT event_type AS symbol, quantile_cont(value, 0.98) AS bottom, quantile_cont(value, 0.99) AS top FROM events GROUP BY 1)"], "SELECT DISTINCT h.symbol || '|' || strftime(h.ts, '%Y-%m-%d') || '|' || printf('%.2f-%.2f', bottom, top) AS alert_key FROM hours h JOIN z USING (symbol) WHERE low <= top AND high >= bottom"))
 R.add("st10_batch_notices", lambda s, d: run(s, source(s, d), each=st.batch_notice).agg(F.sum("n_rows").alias("n_rows"), F.max("notice").alias("notice")), "SELECT CAST(count(*) AS BIGINT) AS n_rows, 'OK' AS notice FROM events")
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -76,6 +76,38 @@ def risk_slice(events: DataFrame, now: Column, cfg: GeoSettings = GeoSettings())
     return execution_gate(causal_map(geo_risk(recent, now, cfg), cfg), now, cfg)
 
 
+def risk_over_history(path: str, normalize: Callable[[DataFrame], DataFrame], cfg: GeoSettings = GeoSettings()) -> Callable[[DataFrame, int], DataFrame]:
+    """A foreachBatch step that lands each batch and scores the look-back over all landed batches, so the
+    risk does not depend on how the stream was cut into batches."""
+
+    def step(batch: DataFrame, batch_id: int) -> DataFrame:
+        batch.write.mode("overwrite").parquet(f"{path}/history/batch={batch_id}")
+        landed = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/history")
+        end = landed.agg(F.max("ts")).scalar()
+        return risk_slice(normalize(landed), end, cfg).drop("latest_event_ts")
+
+    return step
+
+
+def alert_once(path: str, zones: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
+    """A foreachBatch step: zone alerts of the batch that no earlier batch has sent; their keys are landed
+    per batch, and a repeated batch replaces its own keys."""
+
+    def step(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        earlier = spark.createDataFrame([], "alert_key string")
+        if batch_id > 0:
+            sent = spark.read.schema("alert_key string, batch int").parquet(f"{path}/sent")
+            earlier = sent.where(F.col("batch") < batch_id).select("alert_key")
+        fresh = unsent(zone_alerts(batch, zones), earlier)
+        rest = [c for c in fresh.columns if c != "alert_key"]
+        fresh = fresh.groupBy("alert_key").agg(F.min_by(F.struct(*rest), "ts").alias("_r")).select("alert_key", "_r.*")
+        fresh.select("alert_key").write.mode("overwrite").parquet(f"{path}/sent/batch={batch_id}")
+        return fresh
+
+    return step
+
+
 def zone_alerts(bars: DataFrame, zones: DataFrame) -> DataFrame:
     """Stream-static join: closed bars that touch a standing zone of their symbol, with the alert key."""
     touch = (F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom"))
