@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,30 +82,57 @@ def profile_levels(bars: DataFrame, lookback: int = 80, bins: int = 24, top: int
     return d.select("symbol", F.transform(F.slice("s", F.greatest(F.size("s") - top + 1, F.lit(1)), top), level).alias("levels"))
 
 
+def _window_profiles(bins: int, share: float):
+    """Vectorised over an Arrow batch of windows: one row per window, ``bins`` growth steps for all of them."""
+
+    @F.pandas_udf("poc_price double, poc_dist double, inside_va int")
+    def profile(closes: pd.Series, volumes: pd.Series) -> pd.DataFrame:
+        if not len(closes):
+            return pd.DataFrame({"poc_price": [], "poc_dist": [], "inside_va": []})
+        c, v = np.stack(closes.to_numpy()), np.stack(volumes.to_numpy())
+        rows = np.arange(len(c))
+        lo, hi = c.min(axis=1), c.max(axis=1)
+        step = (hi - lo) / bins
+        flat = hi == lo
+        safe = np.where(flat, 1.0, step)[:, None]
+        k = np.floor((c - lo[:, None]) / safe)
+        k = np.where(lo[:, None] + (k + 1) * safe <= c, k + 1, np.where(lo[:, None] + k * safe > c, k - 1, k))
+        k = np.clip(k, 0, bins - 1).astype(np.int64)
+        vol = np.zeros((len(c), bins + 2))  # one empty bin on either side
+        np.add.at(vol, (rows[:, None], k + 1), v)
+        poc = vol[:, 1:-1].argmax(axis=1)
+        low, high, inside = poc.copy(), poc.copy(), vol[rows, poc + 1]
+        target = vol.sum(axis=1) * share
+        for _ in range(bins):
+            down, up = vol[rows, low], vol[rows, np.minimum(high + 2, bins + 1)]
+            go_down = (inside < target) & (down >= up) & (low > 0)
+            go_up = (inside < target) & ~go_down & (high < bins - 1)
+            inside = inside + np.where(go_down, down, np.where(go_up, up, 0.0))
+            low, high = low - go_down, high + go_up
+        mid = ((lo + poc * step) + (lo + (poc + 1) * step)) / 2
+        last = c[:, -1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.where(flat, 0.0, (last - mid) / mid)
+        held = flat | ((lo + low * step <= last) & (last <= lo + (high + 1) * step))
+        return pd.DataFrame({"poc_price": np.where(flat, lo, mid), "poc_dist": dist, "inside_va": held.astype(np.int32)})
+
+    return profile
+
+
 def rolling_profile(bars: DataFrame, window: int = 20, bins: int = 10, share: float = 0.70) -> DataFrame:
-    """Distance to the POC and inside-value-area flag over a moving window; neutral for the first bars."""
+    """Distance to the POC and inside-value-area flag over a moving window; neutral for the first bars.
+    Spark frames the windows; the histograms are filled in Arrow batches, as nested array lambdas over
+    every row were ten times slower."""
 
     def fn(d: DataFrame, f: Frame) -> DataFrame:
-        d = d.withColumn("_w", F.collect_list(F.struct("close", "volume")).over(f.back(window)))
-        d = d.withColumns({
-            "_lo": F.array_min(F.transform("_w", lambda x: x["close"])),
-            "_hi": F.array_max(F.transform("_w", lambda x: x["close"])),
-        })
-        d = d.withColumn("_b", F.transform("_w", lambda x: F.struct(
-            bin_no(x["close"], F.col("_lo"), F.col("_hi"), bins).alias("b"), x["volume"].alias("v"))))
-        per_bin = lambda i: F.aggregate(F.filter("_b", lambda x: x["b"] == i), F.lit(0.0), lambda a, x: a + x["v"])
-        d = d.withColumn("_v", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), per_bin))
-        return d.withColumn("_va", value_area(F.col("_v"), share, bins))
+        return d.withColumns({"_c": F.collect_list("close").over(f.back(window)), "_v": F.collect_list("volume").over(f.back(window))})
 
     d = per_block(bars, fn, lookback=window)
-    step = (F.col("_hi") - F.col("_lo")) / bins
-    edge = lambda k: F.col("_lo") + k * step
-    flat, early = F.col("_hi") == F.col("_lo"), F.col("bar_no") < window
-    poc = (edge(F.col("_va.poc")) + edge(F.col("_va.poc") + 1)) / 2
-    d = d.withColumns({
-        "poc_price": F.when(early, None).when(flat, F.col("_lo")).otherwise(poc),
-        "poc_dist": F.when(early | flat, 0.0).otherwise(F.try_divide(F.col("close") - poc, poc)),
-        "inside_va": F.when(early, 0).when(flat, 1).otherwise(
-            F.col("close").between(edge(F.col("_va.lo")), edge(F.col("_va.hi") + 1)).cast("int")),
-    })
-    return d.drop("_w", "_lo", "_hi", "_b", "_v", "_va")
+    full = (F.col("bar_no") >= window) & (F.size("_c") == window) & (F.size("_v") == window)
+    blank = F.array_repeat(F.lit(0.0), window)
+    part = lambda c: F.when(full, F.col(c)).otherwise(blank)
+    d = d.withColumn("_p", _window_profiles(bins, share)(part("_c"), part("_v")))
+    return d.withColumns({
+        "poc_price": F.when(full, F.col("_p.poc_price")), "poc_dist": F.when(full, F.col("_p.poc_dist")).otherwise(0.0),
+        "inside_va": F.when(full, F.col("_p.inside_va")).otherwise(0),
+    }).drop("_c", "_v", "_p")

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from tickloom.config import SmcSettings
 from tickloom.functions.series import Frame, index_bars, is_last, per_block, running, running_from_end
 from tickloom.operators.clean import missing, neutral
-from tickloom.operators.indicators import add_atr, add_stochastic, clip, nonzero, truthy
+from tickloom.operators.indicators import add_atr, add_stochastic, clip, truthy
+from tickloom.session import materialize
 
 SWING = 3
 ZONE = ["symbol", "direction", "top", "bottom", "bar_no", "ts"]
@@ -45,19 +46,23 @@ def swings(bars: DataFrame) -> DataFrame:
 def order_blocks(bars: DataFrame, cfg: SmcSettings = SmcSettings(), keep: int | None = None) -> DataFrame:
     """Last opposite candle within three bars of an impulse of 1.5 ATR, when no bar up to the impulse has
     traded back into it. ``keep`` newest per side (all of them with 0)."""
+    d = per_block(bars.where(F.col("n_bars") >= 20), lambda d, f: add_impulse(d, f, cfg), lookback=16)
+    return _order_blocks(d, cfg, keep)
+
+
+def add_impulse(d: DataFrame, f: Frame, cfg: SmcSettings) -> DataFrame:
+    d = add_atr(d, f)
+    d = d.withColumn("_move", F.col("close") - f.lag("close"))
+    back = {}
+    for k in range(1, cfg.ob_lookback + 1):
+        back[f"_c{k}"] = f.lag(F.struct("open", "high", "low", "close", "bar_no", "ts"), k)
+        back[f"_lo{k}"] = F.min("low").over(f.rows(-(k - 1), 0))
+        back[f"_hi{k}"] = F.max("high").over(f.rows(-(k - 1), 0))
+    return d.withColumns(back)
 
-    def fn(d: DataFrame, f: Frame) -> DataFrame:
-        d = add_atr(d, f)
-        d = d.withColumn("_move", F.col("close") - f.lag("close"))
-        back = {}
-        for k in range(1, cfg.ob_lookback + 1):
-            back[f"_c{k}"] = f.lag(F.struct("open", "high", "low", "close", "bar_no", "ts"), k)
-            back[f"_lo{k}"] = F.min("low").over(f.rows(-(k - 1), 0))
-            back[f"_hi{k}"] = F.max("high").over(f.rows(-(k - 1), 0))
-        return d.withColumns(back)
 
-    d = per_block(bars.where(F.col("n_bars") >= 20), fn, lookback=16)
-    d = d.where((F.col("bar_no") >= 5) & (F.col("bar_no") <= F.col("n_bars") - 2))
+def _order_blocks(d: DataFrame, cfg: SmcSettings, keep: int | None = None) -> DataFrame:
+    d = d.where(F.col("n_bars") >= 20).where((F.col("bar_no") >= 5) & (F.col("bar_no") <= F.col("n_bars") - 2))
     limit = F.col("atr") * cfg.impulse_multiplier
 
     def side(direction: str, move: Column, opposite: Callable[[Column], Column], entered: Callable[[int, Column], Column]) -> DataFrame:
@@ -88,8 +93,15 @@ def later_extremes(bars: DataFrame) -> DataFrame:
 def fair_value_gaps(bars: DataFrame, cfg: SmcSettings = SmcSettings(), keep: int | None = None) -> DataFrame:
     """Three-bar gaps of at least 0.2 % of price with the share that later bars have filled; the newest
     under 90 % filled per side (every gap with ``keep=0``). ``born_no`` is the third bar."""
-    d = per_block(later_extremes(bars.where(F.col("n_bars") >= 5)), lambda d, f: d.withColumns({
-        "_h2": f.lag("high", 2), "_l2": f.lag("low", 2), "_ts1": f.lag("ts")}), lookback=2)
+    return _gaps(per_block(later_extremes(bars.where(F.col("n_bars") >= 5)), add_gap_lags, lookback=2), cfg, keep)
+
+
+def add_gap_lags(d: DataFrame, f: Frame) -> DataFrame:
+    return d.withColumns({"_h2": f.lag("high", 2), "_l2": f.lag("low", 2), "_ts1": f.lag("ts")})
+
+
+def _gaps(d: DataFrame, cfg: SmcSettings, keep: int | None = None) -> DataFrame:
+    d = d.where(F.col("n_bars") >= 5)
     up = F.col("low") > F.col("_h2")
     top, bottom = F.when(up, F.col("low")).otherwise(F.col("_l2")), F.when(up, F.col("_h2")).otherwise(F.col("high"))
     gaps = d.where(truthy(up) | truthy(F.col("high") < F.col("_l2"))).withColumns({"top": top, "bottom": bottom})
@@ -155,15 +167,19 @@ def _greedy_levels(tol: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def liquidity_pools(bars: DataFrame, cfg: SmcSettings = SmcSettings(), keep: int | None = None) -> DataFrame:
     """Clusters of at least two equal swing highs (Buy-side) or lows (Sell-side) that no later close has
     crossed, with a flag when the newest bar pierces the level and closes back."""
-    bars = bars.where(F.col("n_bars") >= 20)
-    s = swings(bars)
+    s = per_block(later_extremes(bars.where(F.col("n_bars") >= 20)), add_swings, lookback=SWING, lookahead=SWING)
+    return _pools(s, cfg, keep)
+
+
+def _pools(s: DataFrame, cfg: SmcSettings, keep: int | None = None) -> DataFrame:
+    s = s.where(F.col("n_bars") >= 20)
     pick = lambda flag, side, price: s.where(flag).select("symbol", F.lit(side).alias("direction"), "bar_no", F.col(price).alias("price"))
     points = pick(F.col("swing_high"), "Buy-side", "high").unionByName(pick(F.col("swing_low"), "Sell-side", "low"))
     pools = points.groupBy("symbol", "direction").applyInPandas(
         _greedy_levels(cfg.liq_tolerance_pct / 100.0), "symbol string, direction string, level double, touches int, bar_no long, first_no long"
     )
-    later = later_extremes(bars).select("symbol", "bar_no", "ts", "later_close_max", "later_close_min")
-    newest = bars.where(is_last()).select("symbol", F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("close").alias("_c"), (F.col("n_bars") - 1).alias("_end"))
+    later = s.select("symbol", "bar_no", "ts", "later_close_max", "later_close_min")
+    newest = s.where(is_last()).select("symbol", F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("close").alias("_c"), (F.col("n_bars") - 1).alias("_end"))
     d = pools.join(later, ["symbol", "bar_no"]).join(newest, "symbol")
     buy, lv = F.col("direction") == "Buy-side", F.col("level")
     swept = F.when(buy, F.col("later_close_max") > lv).otherwise(F.col("later_close_min") < lv)
@@ -175,67 +191,71 @@ def liquidity_pools(bars: DataFrame, cfg: SmcSettings = SmcSettings(), keep: int
     return keep_newest(d, keep, "first_no") if keep else d
 
 
-def market_structure(bars: DataFrame, mode: str = "reference") -> DataFrame:
+def add_levels(d: DataFrame, f: Frame, mode: str) -> DataFrame:
+    """Swing levels as the break logic sees them: at the swing bar (reference) or three bars later
+    (causal), and lagged by one bar more for inducement and sweeps (from the fifth bar on)."""
+    shift = SWING if mode == "causal" else 0
+    flag = (lambda c: F.coalesce(f.lag(c, shift), F.lit(False))) if shift else F.col
+    price = (lambda c: f.lag(c, shift)) if shift else F.col
+    late = lambda c: F.coalesce(f.lag(c, 1 + shift), F.lit(False)) & (F.col("bar_no") >= 5)
+    return d.withColumns({
+        "_sh": F.when(flag("swing_high"), price("high")), "_sl": F.when(flag("swing_low"), price("low")),
+        "_mh": F.when(late("swing_high"), f.lag("high", 1 + shift)), "_ml": F.when(late("swing_low"), f.lag("low", 1 + shift)),
+    })
+
+
+def market_structure(bars: DataFrame, mode: str = "reference", cut: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """Structure breaks (continuation / change of character), inducement and sweep flags, structure label.
 
     ``mode="reference"`` gates inducement by the last break of the whole series; ``"causal"`` by the last
-    break up to the bar and confirms swings three bars late."""
+    break up to the bar and confirms swings three bars late. ``cut`` keeps the tables that several steps read."""
+    d = per_block(bars, lambda d, f: add_levels(add_swings(d, f), f, mode), lookback=2 * SWING + 2, lookahead=SWING)
+    return _structure(d, mode, cut)
 
-    def fn(d: DataFrame, f: Frame) -> DataFrame:
-        d = add_swings(d, f)
-        shift = SWING if mode == "causal" else 0
-        flag = (lambda c: F.coalesce(f.lag(c, shift), F.lit(False))) if shift else F.col
-        price = (lambda c: f.lag(c, shift)) if shift else F.col
-        late = lambda c: F.coalesce(f.lag(c, 1 + shift), F.lit(False)) & (F.col("bar_no") >= 5)
-        return d.withColumns({
-            "_sh": F.when(flag("swing_high"), price("high")), "_sl": F.when(flag("swing_low"), price("low")),
-            "_mh": F.when(late("swing_high"), f.lag("high", 1 + shift)), "_ml": F.when(late("swing_low"), f.lag("low", 1 + shift)),
-        })
-
-    d = per_block(bars, fn, lookback=2 * SWING + 2, lookahead=SWING)
-    d = running(d, {
-        **{f"seg{c}": ("count", c) for c in ("_sh", "_sl", "_mh", "_ml")}, **{f"lvl{c}": ("last", c) for c in ("_sh", "_sl", "_mh", "_ml")},
-    })
-
-    def first_hit(seg: str, hit: Column, kind: str, extra: Column) -> DataFrame:
-        rows = d.where(truthy(hit) & (F.col("bar_no") >= 1))
-        first = rows.groupBy("symbol", seg).agg(F.min_by(F.struct("bar_no", "ts", extra.alias("inside")), "bar_no").alias("_e"))
-        return first.select("symbol", "_e.*", F.lit(kind).alias("kind"))
 
+def _structure(d: DataFrame, mode: str, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    names = ("_sh", "_sl", "_mh", "_ml")
+    d = cut(running(d, {**{f"seg{c}": ("count", c) for c in names}, **{f"lvl{c}": ("last", c) for c in names}}), "structure_levels")
+    close, low, high = F.col("close"), F.col("low"), F.col("high")
     no = F.lit(False)
-    breaks = first_hit("seg_sh", F.col("close") > F.col("lvl_sh"), "bull", no).unionByName(
-        first_hit("seg_sl", F.col("close") < F.col("lvl_sl"), "bear", no))
+    tests = [
+        ("bull", "seg_sh", close > F.col("lvl_sh"), no), ("bear", "seg_sl", close < F.col("lvl_sl"), no),
+        ("grab_bull", "seg_ml", low < F.col("lvl_ml"), close > F.col("lvl_ml")), ("grab_bear", "seg_mh", high > F.col("lvl_mh"), close < F.col("lvl_mh")),
+    ]
+    cases = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(seg).alias("seg"), truthy(hit).alias("hit"), truthy(extra).alias("inside")) for k, seg, hit, extra in tests])
+    hits = d.where(F.col("bar_no") >= 1).select("symbol", "bar_no", "ts", F.explode(F.filter(cases, lambda x: x["hit"])).alias("_x"))
+    first = hits.groupBy("symbol", "_x.kind", "_x.seg").agg(F.min_by(F.struct("bar_no", "ts", "_x.inside"), "bar_no").alias("_e"))
+    events = cut(first.select("symbol", "kind", "_e.*"), "structure_events")
+    breaks, grabs = events.where(F.col("kind").isin("bull", "bear")), events.where(F.col("kind").startswith("grab"))
     numbered = index_bars(breaks.select("symbol", "ts", "kind", F.col("bar_no").alias("pos")))
     turns = per_block(numbered, lambda b, f: b.withColumn("prev", f.lag("kind")), lookback=1)
     bull, bear, prev = F.col("kind") == "bull", F.col("kind") == "bear", F.col("prev")
     turns = turns.select("symbol", F.col("pos").alias("bar_no"), "kind", *[c.alias(n) for n, c in {
         "smc_bos_bull": bull & truthy(prev.isNull() | (prev == "bull")), "smc_bos_bear": bear & truthy(prev.isNull() | (prev == "bear")),
         "smc_choch": truthy(prev.isNotNull() & (prev != F.col("kind")))}.items()])
-    grabs = first_hit("seg_ml", F.col("low") < F.col("lvl_ml"), "bull", F.col("close") > F.col("lvl_ml")).unionByName(
-        first_hit("seg_mh", F.col("high") > F.col("lvl_mh"), "bear", F.col("close") < F.col("lvl_mh")))
     grabs = grabs.groupBy("symbol", "bar_no").agg(
-        *[F.max(F.when(F.col("kind") == k, F.lit(True))).alias(f"_grab_{k}") for k in ("bull", "bear")],
-        *[F.max(F.when(F.col("kind") == k, F.col("inside"))).alias(f"_in_{k}") for k in ("bull", "bear")])
+        *[F.max(F.when(F.col("kind") == f"grab_{k}", F.lit(True))).alias(f"_grab_{k}") for k in ("bull", "bear")],
+        *[F.max(F.when(F.col("kind") == f"grab_{k}", F.col("inside"))).alias(f"_in_{k}") for k in ("bull", "bear")])
     d = d.join(turns, ["symbol", "bar_no"], "left").join(grabs, ["symbol", "bar_no"], "left")
     if mode == "causal":
         d = running(d, {"_dir": ("last", "kind")})
     else:
-        final = turns.groupBy("symbol").agg(F.max_by("kind", "bar_no").alias("_dir"))
+        final = breaks.groupBy("symbol").agg(F.max_by("kind", "bar_no").alias("_dir"))
         d = d.join(final, "symbol", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     idm_bull, idm_bear = yes("_grab_bull") & truthy(F.col("_dir") == "bull"), yes("_grab_bear") & truthy(F.col("_dir") == "bear")
     d = d.withColumns({
         "smc_bos_bull": yes("smc_bos_bull"), "smc_bos_bear": yes("smc_bos_bear"), "smc_choch": yes("smc_choch"),
         "smc_idm_bull": idm_bull, "smc_idm_bear": idm_bear,
-        "smc_sweep_bull": (idm_bull & yes("_in_bull")) | truthy((F.col("bar_no") >= 5) & (F.col("low") < F.col("lvl_ml")) & (F.col("close") > F.col("lvl_ml"))),
-        "smc_sweep_bear": (idm_bear & yes("_in_bear")) | truthy((F.col("bar_no") >= 5) & (F.col("high") > F.col("lvl_mh")) & (F.col("close") < F.col("lvl_mh"))),
+        "smc_sweep_bull": (idm_bull & yes("_in_bull")) | truthy((F.col("bar_no") >= 5) & (low < F.col("lvl_ml")) & (close > F.col("lvl_ml"))),
+        "smc_sweep_bear": (idm_bear & yes("_in_bear")) | truthy((F.col("bar_no") >= 5) & (high > F.col("lvl_mh")) & (close < F.col("lvl_mh"))),
     })
 
     def label(d: DataFrame, f: Frame) -> DataFrame:
         d = d.withColumns({"_nb": F.sum(F.col("smc_bos_bull").cast("int")).over(f.back(20)), "_ns": F.sum(F.col("smc_bos_bear").cast("int")).over(f.back(20))})
         return d.withColumn("smc_structure", F.when(F.col("_nb") > F.col("_ns"), "Bullish").when(F.col("_ns") > F.col("_nb"), "Bearish").otherwise("Ranging"))
 
-    tmp = [c for c in d.columns if c.startswith(("seg_", "lvl_", "_"))]
+    tmp = [c for c in d.columns if c.startswith(("seg_", "lvl_")) or c in ("_sh", "_sl", "_mh", "_ml", "_grab_bull", "_grab_bear", "_in_bull", "_in_bear", "_dir")]
     return per_block(d, label, lookback=20).drop("kind", "_nb", "_ns", *tmp)
 
 
@@ -338,14 +358,16 @@ def _claim_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def retest_entries(bars: DataFrame, obs: DataFrame, cfg: SmcSettings = SmcSettings()) -> DataFrame:
     """Bars that come back to a bullish gap or block and hold it: zone, retest number, quality 0-10,
     grade, factors and the tactical flag."""
+    return _retests(per_block(bars.where(F.col("n_bars") >= 30), lambda d, f: add_retest_inputs(add_gap_lags(d, f), f), lookback=22), obs, cfg)
 
-    def fn(d: DataFrame, f: Frame) -> DataFrame:
-        d = add_stochastic(d, f)
-        return d.withColumns({
-            "_h2": f.lag("high", 2), "_vm": f.mean("volume", 20, 1), "_r10": F.coalesce(f.pct_change("close", 10), F.lit(0.0)),
-        })
 
-    d = per_block(bars.where(F.col("n_bars") >= 30), fn, lookback=22)
+def add_retest_inputs(d: DataFrame, f: Frame) -> DataFrame:
+    d = add_stochastic(d, f)
+    return d.withColumns({"_vm": f.mean("volume", 20, 1), "_r10": F.coalesce(f.pct_change("close", 10), F.lit(0.0))})
+
+
+def _retests(d: DataFrame, obs: DataFrame, cfg: SmcSettings) -> DataFrame:
+    d = d.where(F.col("n_bars") >= 30)
     rng = F.greatest(F.col("high") - F.col("low"), F.lit(1e-9))
     gap = (F.col("low") > F.col("_h2")) & ((F.col("low") - F.col("_h2")) / F.greatest("close", F.lit(1e-9)) >= cfg.fvg_min_size_pct)
     bull_close = F.col("close") >= F.col("open")
@@ -392,21 +414,32 @@ def entry_history(entries: DataFrame, n: int = 60) -> DataFrame:
     return d.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_t", "_q")
 
 
+def smc_features(bars: DataFrame, cfg: SmcSettings = SmcSettings(), mode: str = "reference") -> DataFrame:
+    """Everything the structure steps read, from one pass over the blocks."""
+
+    def fn(d: DataFrame, f: Frame) -> DataFrame:
+        d = add_retest_inputs(add_gap_lags(add_impulse(d, f, cfg), f), f)
+        return add_levels(add_swings(d, f), f, mode)
+
+    return per_block(later_extremes(bars), fn, lookback=26, lookahead=SWING)
+
+
 def smc_signals(
-    bars: DataFrame, cfg: SmcSettings = SmcSettings(), mode: str = "reference", cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+    bars: DataFrame, cfg: SmcSettings = SmcSettings(), mode: str = "reference", cut: Callable[[DataFrame, str], DataFrame] = materialize
 ) -> DataFrame:
-    """All structure columns and the final signal. ``cut`` may materialise the zone tables, which several
-    branches read."""
+    """All structure columns and the final signal. ``cut`` keeps the feature and zone tables, which several
+    branches read, in the shared folder."""
     if missing(bars, ["open", "high", "low", "close"]):
         return neutral(bars, {"smc_signal": 0, "smc_reason": "MISSING_DATA"})
-    obs, fvgs, pools = order_blocks(bars, cfg), fair_value_gaps(bars, cfg), liquidity_pools(bars, cfg)
-    arrays = cut(zone_arrays(obs, fvgs, pools), "smc_zones")
+    feats = cut(smc_features(bars, cfg, mode), "smc_features")
+    arrays = cut(zone_arrays(_order_blocks(feats, cfg), _gaps(feats, cfg), _pools(feats, cfg)), "smc_zones")
     obs = arrays.select("symbol", F.explode("zones").alias("z")).where(F.col("z.kind") == "OB").select("symbol", "z.direction", "z.top", "z.bottom", "z.bar_no", F.col("z.seq").alias("impulse_no"))
-    entries = retest_entries(bars, obs, cfg).select("symbol", "bar_no", F.lit(1).alias("smc_entry_signal"), F.col("zone_type").alias("smc_entry_type"),
+    entries = _retests(feats, obs, cfg).select("symbol", "bar_no", F.lit(1).alias("smc_entry_signal"), F.col("zone_type").alias("smc_entry_type"),
         F.col("zone_top").alias("smc_entry_zone_top"), F.col("zone_bottom").alias("smc_entry_zone_bottom"), F.col("quality").alias("smc_entry_quality"),
         F.col("grade").alias("smc_entry_grade"), F.col("factors").alias("smc_entry_factors"), F.col("retest_no").alias("smc_entry_retest_no"), F.col("tactical").alias("smc_entry_tactical_signal"))
-    d = smc_score(market_structure(bars, mode), arrays)
-    d = per_block(d, add_stochastic, lookback=22).join(entries, ["symbol", "bar_no"], "left").fillna(
+    keep = [*bars.columns, "_sh", "_sl", "_mh", "_ml", *[c for c in feats.columns if c.startswith(("stoch_", "swing_"))]]
+    d = smc_score(_structure(feats.select(*keep), mode, cut), arrays)
+    d = d.join(entries, ["symbol", "bar_no"], "left").fillna(
         {"smc_entry_signal": 0, "smc_entry_quality": 0, "smc_entry_retest_no": 0, "smc_entry_tactical_signal": 0, "smc_entry_type": "", "smc_entry_grade": "", "smc_entry_factors": ""})
     s, st, t = F.col("smc_score"), F.col("smc_structure"), cfg.score_threshold
     not_ob, not_os = F.col("stoch_status") != "OVERBOUGHT", F.col("stoch_status") != "OVERSOLD"

@@ -331,9 +331,9 @@ for nm in ("g20_news_impact", "j14_first_match_rules"):
     R.add(nm, lambda s, d: news.news_impact(headlines(s, d).select("doc_id", "headline")).select("doc_id", "impact", "direction", "reason", "asset"),
           q.sql([HL, f"m AS (SELECT doc_id, {IMP(lambda r: repr(r[1]))} AS impact, {IMP(lambda r: repr(r[2]))} AS direction, {IMP(lambda r: repr(r[4]))} AS reason, {IMP(lambda r: '[' + ', '.join(repr(t) for t in r[3]) + ']')} AS targets FROM hl)"],
                 "SELECT doc_id, impact, direction, reason, unnest(targets) AS asset FROM m WHERE impact IS NOT NULL"))
-EV = lambda pick: "CASE " + " ".join(f"WHEN regexp_matches(headline, '(?i)({r[0]})') THEN {pick(r)}" for r in news.EVENT_RULES) + " END"
+EV = lambda pick: "CASE " + " ".join(f"WHEN regexp_matches(headline, '(?i)({chr(124).join(r[0])})') THEN {pick(r)}" for r in news.EVENT_RULES) + " END"
 EVENTS_SQL = [HL, f"ev0 AS (SELECT *, {EV(lambda r: repr(r[1]))} AS event_type, {EV(lambda r: repr(r[2]))} AS severity, {EV(lambda r: f'{r[3]}::DOUBLE')} AS base FROM hl WHERE trim(headline) <> '')",
-              f"ev AS (SELECT doc_id, event_type, severity, CASE publisher WHEN 'Reuters' THEN 'A' WHEN 'CNBC' THEN 'B' WHEN 'Local Wire' THEN 'B' ELSE 'C' END AS source_quality, greatest(0.2, least(0.98, base + CASE category WHEN 'Geopolitics' THEN 0.07 WHEN 'Energy' THEN 0.04 ELSE 0 END::DOUBLE + CASE publisher WHEN 'Reuters' THEN 0.06 ELSE 0 END::DOUBLE)) AS confidence, CASE WHEN regexp_matches(headline, '(?i)({news.REGION_PATTERN})') THEN 'Hormuz' ELSE 'Global' END AS region, TIMESTAMP '2024-01-01' - (doc_id % 72) * INTERVAL 1 HOUR AS event_ts FROM ev0 WHERE event_type IS NOT NULL)"]
+              f"ev AS (SELECT doc_id, event_type, severity, CASE publisher WHEN 'Reuters' THEN 'A' WHEN 'CNBC' THEN 'B' WHEN 'Local Wire' THEN 'B' ELSE 'C' END AS source_quality, greatest(0.2, least(0.98, base + CASE category WHEN 'Geopolitics' THEN 0.07 WHEN 'Energy' THEN 0.04 ELSE 0 END::DOUBLE + CASE publisher WHEN 'Reuters' THEN 0.06 ELSE 0 END::DOUBLE)) AS confidence, CASE WHEN regexp_matches(headline, '(?i)({chr(124).join(news.REGION_WORDS)})') THEN 'Hormuz' ELSE 'Global' END AS region, TIMESTAMP '2024-01-01' - (doc_id % 72) * INTERVAL 1 HOUR AS event_ts FROM ev0 WHERE event_type IS NOT NULL)"]
 EVENTS = lambda s, d: news.headline_events(headlines(s, d)).withColumn("event_ts", F.lit("2024-01-01").cast("timestamp_ntz") - F.make_dt_interval(hours=(F.col("doc_id") % 72).cast("int")))
 R.add("g21_headline_events", lambda s, d: EVENTS(s, d).select("doc_id", "event_type", "severity", "source_quality", "region", fix("confidence", 4).alias("confidence")),
       q.sql(EVENTS_SQL, f"SELECT doc_id, event_type, severity, source_quality, region, {q.fix('confidence', 4)} AS confidence FROM ev"))

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import index_bars
 from tickloom.operators import smc
-from tickloom.operators import resample as rs
 from tickloom.plans import sqlkit as q
 from tickloom.plans.registry import KEY, Registry, fix, rounded, sel
-from tickloom.session import materialize
 from tickloom.sources.driver_tables import bars_daily, derived_table
 
 R = Registry()
 
 
 def smc_table(s, d):
-    return derived_table(s, d, "smc_signals", lambda: smc.smc_signals(bars_daily(s, d), cut=materialize))
+    return derived_table(s, d, "smc_signals", lambda: smc.smc_signals(bars_daily(s, d)))
 
 
 def state(s, d):
