@@ -155,6 +155,12 @@ def relative_strength(bars: DataFrame, bench: DataFrame, window: int = 120) -> D
     return d.select("symbol", F.coalesce(F.bround(score, 2), F.lit(0.0)).alias("rs_score"))
 
 
+def strongest_regimes(bars: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
+    """Regime snapshot of the ``n`` symbols with the best relative strength."""
+    d = market_regime(bars).join(relative_strength(bars, bench), "symbol")
+    return d.orderBy(F.desc("rs_score"), "symbol").limit(n)
+
+
 def price_action(bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
     """20-bar structure, volume status, relative strength and RSI bias per symbol (20 bars at least)."""
 

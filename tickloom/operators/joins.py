@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,11 +111,49 @@ def keep_first(rows: DataFrame, keys: list[str], order: Column | str) -> DataFra
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
+def _day_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums, products and counts of every symbol pair over the days of one partition, from matrix products
+    of (days x symbols) blocks. What leaves a task is one row per pair, however many days it has seen."""
+    total: dict[str, np.ndarray] = {}
+    names: list[str] = []
+    for pdf in batches:
+        seen = dict.fromkeys(names)
+        for day in pdf["symbols"]:
+            seen.update(dict.fromkeys(day))
+        grown = list(seen)
+        at = {s: k for k, s in enumerate(grown)}
+        x, m = np.zeros((len(pdf), len(grown))), np.zeros((len(pdf), len(grown)))
+        for i, (day, values) in enumerate(zip(pdf["symbols"], pdf["values"])):
+            cols = [at[s] for s in day]
+            x[i, cols], m[i, cols] = values, 1.0
+        parts = {"xy": x.T @ x, "x": x.T @ m, "xx": (x * x).T @ m, "n": m.T @ m}
+        pad = len(grown) - len(names)
+        for k, v in parts.items():
+            total[k] = v if k not in total else np.pad(total[k], ((0, pad), (0, pad))) + v
+        names = grown
+    if not names:
+        return
+    i, j = np.nonzero(total["n"])
+    symbols = np.array(names, dtype=object)
+    keep = symbols[i] <= symbols[j]
+    i, j = i[keep], j[keep]
+    yield pd.DataFrame({
+        "a": symbols[i], "b": symbols[j], "n": total["n"][i, j], "sx": total["x"][i, j], "sy": total["x"][j, i],
+        "sxx": total["xx"][i, j], "syy": total["xx"][j, i], "sxy": total["xy"][i, j],
+    })
+
+
 def pairwise(returns: DataFrame, value: str = "ret") -> DataFrame:
-    """Correlation and covariance of every pair of symbols on common days, from one pass over the days.
-    Days are the join key; a day holds at most one row per symbol."""
-    a = returns.select("ts", F.col("symbol").alias("a"), F.col(value).alias("x")).where(F.col("x").isNotNull())
-    b = returns.select("ts", F.col("symbol").alias("b"), F.col(value).alias("y")).where(F.col("y").isNotNull())
-    return a.join(b, "ts").where(F.col("a") <= F.col("b")).groupBy("a", "b").agg(
-        F.corr("x", "y").alias("corr"), F.covar_samp("x", "y").alias("cov"), F.count(F.lit(1)).alias("days")
-    )
+    """Correlation and sample covariance of every pair of symbols over their common days. Days spread over
+    tasks, each adds up its days by matrix products, and the partial sums meet per pair; no row per (day,
+    pair) is ever made. Values are shifted by their overall mean, so the sums lose no digits."""
+    mean = returns.agg(F.avg(value)).scalar()
+    days = returns.where(F.col(value).isNotNull()).withColumn("_x", F.col(value) - mean).groupBy("ts").agg(
+        F.collect_list("symbol").alias("symbols"), F.collect_list("_x").alias("values"))
+    sums = days.select("symbols", "values").mapInPandas(_day_products, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    var = lambda c: F.greatest(F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / n, F.lit(0.0))
+    co = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    return s.select(
+        "a", "b", F.try_divide(co, F.sqrt(var("x") * var("y"))).alias("corr"), F.when(n > 1, co / (n - 1)).alias("cov"), n.cast("long").alias("days"))

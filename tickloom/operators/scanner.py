@@ -198,22 +198,24 @@ def short_rating(recommendation: Column) -> Column:
 
 def ranks(rows: DataFrame) -> DataFrame:
     """Global, per-market and short-term ranks of a scan table (scores run from 0 to 100)."""
-    step = -F.floor("composite_score")
-    d = ordered_rank(rows, [F.desc("composite_score"), F.col("symbol")], "rank", step)
-    d = d.withColumn("market_rank", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("composite_score"), "symbol")))
+    step = -F.floor(F.col("composite_score") * 100)
+    best_first = [F.desc("composite_score"), F.col("symbol")]
+    d = ordered_rank(rows, best_first, "rank", step)
+    d = ordered_rank(d, best_first, "market_rank", step, by="market")
     d = d.withColumn("_so", lookup(F.col("short_rating"), SHORT_ORDER, 3))
-    return ordered_rank(d, [F.col("_so"), F.desc("composite_score"), F.col("symbol")], "short_rank", F.col("_so") * 1000 - F.floor("composite_score")).drop("_so")
-
-
-def ordered_rank(rows: DataFrame, order: list[Column], name: str, bucket: Column) -> DataFrame:
-    """1..n in a total order without sorting everything in one task: rows are numbered inside a bucket
-    that rises with the order and shifted by the sizes of the buckets before (one row per bucket)."""
-    d = rows.withColumn("_b", bucket)
-    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return d.withColumn("_r", local).join(before, "_b").withColumn(name, (F.col("_r") + F.col("_off")).cast("long")).drop("_b", "_r", "_off")
+    return ordered_rank(d, [F.col("_so"), *best_first], "short_rank", F.col("_so") * 100_000 - F.floor(F.col("composite_score") * 100)).drop("_so")
+
+
+def ordered_rank(rows: DataFrame, order: list[Column], name: str, bucket: Column, by: str | None = None) -> DataFrame:
+    """1..n in a total order (within ``by``) without sorting it all in one task: rows are numbered inside a
+    fine bucket that rises with the order and shifted by the sizes of the buckets before (one row per
+    bucket reaches the running sum)."""
+    d = rows.withColumns({"_b": bucket, "_g": F.col(by) if by else F.lit(0)})
+    sizes = d.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    up_to = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_g", "_b", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_g", "_b").orderBy(*order))
+    return d.withColumn("_r", local).join(before, ["_g", "_b"]).withColumn(name, (F.col("_r") + F.col("_off")).cast("long")).drop("_g", "_b", "_r", "_off")
 
 
 def position_size(rows: DataFrame, portfolio: float = 1_000_000_000.0, twd_rate: float = 800.0) -> DataFrame:

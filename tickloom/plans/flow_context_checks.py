@@ -231,6 +231,9 @@ RS_CTE = """bx AS (SELECT max(n_bars) AS bl, arg_max(close, bar_no) AS bc FROM b
 e2 AS (SELECT *, CASE WHEN least(n, bl) < 120 THEN least(n, bl) - 1 ELSE 120 END AS w FROM e, bx),
 rs AS (SELECT e2.symbol, coalesce(round_even(((c / b.close - 1) - (bc / x.close - 1)) * 100, 2), 0) AS rs_score FROM e2 JOIN bars b ON b.symbol = e2.symbol AND b.bar_no = e2.n - e2.w JOIN bench x ON x.bar_no = e2.bl - e2.w)"""
 R.add("w35_relative_strength", lambda s, d: cx.relative_strength(bars_daily(s, d), benchmark_daily(s, d)), q.sql([q.DAILY, q.BENCH, RS_CTE], "SELECT symbol, rs_score FROM rs"))
+_c, _l = q.chain("bars", *G4_LAYERS)
+R.add("strongest_regimes", lambda s, d: cx.strongest_regimes(bars_daily(s, d), benchmark_daily(s, d)).select("symbol", "regime", "rs_score"),
+      q.sql([q.DAILY, q.BENCH, RS_CTE, *_c], f"SELECT symbol, CASE WHEN n_bars < 200 THEN 'UNKNOWN' ELSE regime END AS regime, rs_score FROM {_l} JOIN rs USING (symbol) WHERE bar_no = n_bars - 1 ORDER BY rs_score DESC, symbol LIMIT 10"))
 PA_LAYERS = [*q.RSI_LAYERS, {"hi20": q.high("high", 20, 1), "lo20": q.low("low", 20, 1), "va20": q.mean("volume", 20)},
              {"structure": f"CASE WHEN close >= hi20 * 0.98 THEN '{cx.STRUCTURE[0]}' WHEN close <= lo20 * 1.02 THEN '{cx.STRUCTURE[1]}' ELSE '{cx.STRUCTURE[2]}' END",
               "volume_ratio": "CASE WHEN va20 > 0 THEN volume / va20 ELSE 1.0 END"},
