@@ -127,8 +127,8 @@ RESC = ["n0 AS (SELECT *, CAST(replace(symbol, 'Brand#', '') AS INT) % 4 AS sn F
         "n7 AS (SELECT *, nb > 2 OR (nb > 0 AND worst > 2) AS cut FROM n6)"]
 R.add("c8_scale_break_repair", lambda s, d: rounded(clean.repair_scale_breaks(rescaled(s, d)), r4=["open", "high", "low", "close"]),
       q.sql([q.DAILY, *RESC], "SELECT symbol, ts, " + ", ".join(f"{q.fix(f'CASE WHEN cut THEN {c} ELSE {c} * exp(later) END', 4)} AS {c}" for c in clean.PRICES) + " FROM n7 WHERE NOT cut OR bar_no >= lastb"))
-NOW = F.lit("2024-01-20 10:17:00").cast("timestamp_ntz")
-R.add("c9_confirmed_candles", lambda s, d: clean.confirmed_candles(bars_hourly(s, d), NOW, 60).select(*KEY, "close"),
+NOW = "2024-01-20 10:17:00"
+R.add("c9_confirmed_candles", lambda s, d: clean.confirmed_candles(bars_hourly(s, d), F.lit(NOW).cast("timestamp_ntz"), 60).select(*KEY, "close"),
       q.sql(q.HOURLY, "SELECT symbol, ts, close FROM hours WHERE ts < TIMESTAMP '2024-01-20 10:00:00'"))
 R.add("c10_intraday_validation", lambda s, d: clean.validate_intraday(bars_hourly(s, d).withColumn("close", 500 + F.col("close") % (F.length("symbol") * F.length("symbol") * 3)), F.lit("2024-02-01 10:00:00").cast("timestamp_ntz")),
       q.sql([q.HOURLY, "c AS (SELECT * REPLACE (500 + close % (length(symbol) * length(symbol) * 3) AS close) FROM hours)",

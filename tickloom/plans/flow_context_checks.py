@@ -348,15 +348,20 @@ def raw_events(s, d):
 
 R.add("c20_normalized_events", lambda s, d: news.normalize_events(raw_events(s, d)).select("event_id", "event_ts", "event_type", "severity", "source_quality", "region", "confidence"),
       "SELECT event_id, ts AS event_ts, upper(trim(event_type)) AS event_type, 'MEDIUM' AS severity, 'B' AS source_quality, 'Hormuz' AS region, CASE WHEN event_id % 3 = 0 THEN 0.6 ELSE greatest(0, least(1, value / 100)) END::DOUBLE AS confidence FROM events")
-NOW = F.lit("2024-01-01 01:00:00").cast("timestamp_ntz")
+
+
+def now():
+    return F.lit("2024-01-01 01:00:00").cast("timestamp_ntz")
+
+
 SCORED = [*EVENTS_SQL, "sc AS (SELECT CASE event_type WHEN 'SANCTIONS_ENFORCEMENT' THEN 0.7 WHEN 'DIPLOMATIC_DEESCALATION' THEN -0.8 WHEN 'INSURANCE_STRESS' THEN 0.6 ELSE 1.0 END::DOUBLE AS k, CASE severity WHEN 'MEDIUM' THEN 0.5 WHEN 'HIGH' THEN 0.8 ELSE 1.0 END::DOUBLE * CASE source_quality WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.8 ELSE 0.6 END::DOUBLE AS sv, confidence, event_ts, epoch(TIMESTAMP '2024-01-01 01:00:00' - event_ts) / 3600 AS age FROM ev)",
           "rk AS (SELECT avg(k * sv * confidence * exp(-ln(2.0) * age / 36)) AS m, max(k * sv * confidence * exp(-ln(2.0) * age / 36)) AS x, count_if(k > 0)::DOUBLE AS support_count, count_if(k < 0)::DOUBLE AS deescalation_count, count(*) AS n_events, max(event_ts) AS latest FROM sc)",
           "gr AS (SELECT *, coalesce(greatest(0, least(1, (greatest(-1, least(1, m + x * 0.35)) + 1) / 2)), 0) AS g FROM rk)"]
-R.add("a12_geo_risk", lambda s, d: news.geo_risk(EVENTS(s, d), NOW).select(fix("geo_risk_score", 6).alias("geo_risk_score"), "support_count", "deescalation_count", "n_events"),
+R.add("a12_geo_risk", lambda s, d: news.geo_risk(EVENTS(s, d), now()).select(fix("geo_risk_score", 6).alias("geo_risk_score"), "support_count", "deescalation_count", "n_events"),
       q.sql(SCORED, f"SELECT {q.fix('g', 6)} AS geo_risk_score, support_count, deescalation_count, n_events FROM gr"))
-R.add("g22_causal_map", lambda s, d: news.causal_map(news.geo_risk(EVENTS(s, d), NOW)).select(fix("prob_oil_up_1d", 6).alias("prob_oil_up_1d"), fix("expected_oil_move_1d_pct", 6).alias("expected_oil_move_1d_pct"), "tail_risk_flag"),
+R.add("g22_causal_map", lambda s, d: news.causal_map(news.geo_risk(EVENTS(s, d), now())).select(fix("prob_oil_up_1d", 6).alias("prob_oil_up_1d"), fix("expected_oil_move_1d_pct", 6).alias("expected_oil_move_1d_pct"), "tail_risk_flag"),
       q.sql(SCORED, f"SELECT {q.fix('1 / (1 + exp(-7 * (g - 0.5)))', 6)} AS prob_oil_up_1d, {q.fix('(1 / (1 + exp(-7 * (g - 0.5))) - 0.5) * 12', 6)} AS expected_oil_move_1d_pct, (g >= 0.7)::DOUBLE AS tail_risk_flag FROM gr"))
-R.add("g23_execution_gate", lambda s, d: news.execution_gate(news.geo_risk(EVENTS(s, d), NOW), NOW).select("gate_stale", "gate_action", "gate_multiplier"),
+R.add("g23_execution_gate", lambda s, d: news.execution_gate(news.geo_risk(EVENTS(s, d), now()), now()).select("gate_stale", "gate_action", "gate_multiplier"),
       q.sql([*SCORED, "z AS (SELECT *, n_events < 2 OR coalesce(epoch(TIMESTAMP '2024-01-01 01:00:00' - latest) / 60 > 180, true) AS st FROM gr)"],
             "SELECT st AS gate_stale, CASE WHEN st THEN 'REDUCE_SIZE' WHEN g >= 0.7 THEN 'PAUSE_NEW_LONGS' WHEN g >= 0.45 THEN 'REDUCE_SIZE' ELSE 'NORMAL' END AS gate_action, CASE WHEN st THEN 0.6 WHEN g >= 0.7 THEN 0.0 WHEN g >= 0.45 THEN 0.5 ELSE 1.0 END::DOUBLE AS gate_multiplier FROM z"))
 R.add("se2_deduped_headlines", lambda s, d: news.dedupe_headlines(table(s, d, "documents").select("doc_id", F.col("text").alias("headline"), "source"), "doc_id").select("doc_id", "source"),
