@@ -203,7 +203,7 @@ R.add("g1_cot_reading", lambda s, d: cx.cot_reading(with_positioning(s, d), COT_
       q.sql([*MERGED, *_c], f"SELECT symbol, ts, printf('%.2f%%', short_ratio * 100) AS short_ratio_text, cot_signal, cot_reason, CASE WHEN odd THEN 'HIGH' ELSE 'NORMAL' END AS alert_level FROM {_l} WHERE bar_no = n_bars - 1"))
 REG_LAYERS = [*q.ADX_LAYERS, {"rg_tr": q.TR}, {"rg_atr": q.mean("rg_tr", 14, 1)},
               {"market_regime": f"CASE WHEN adx > 20 AND coalesce(rg_atr > {q.mean('rg_atr', 50, 10)}, false) THEN 'TRENDING' ELSE 'RANGING' END"}]
-add("g3_regime_filter", cx.regime_filter, REG_LAYERS, exact=["market_regime"], r4=["adx"])
+add("g3b_regime_filter", cx.regime_filter, REG_LAYERS, exact=["market_regime"], r4=["adx"])
 BANK_CFG = BankSettings(concentration_threshold=0.34, usd_strength_threshold=0.02)
 BANK_LAYERS = [*REG_LAYERS, {"rat": "commercial_short / nullif(open_interest, 0)"},
                {"bank_concentration": q.clip(q.mean("rat", 3, 1), 0.15, 0.75), "usd_trend": f"usd_close / {q.lag('usd_close', 10)} - 1"},

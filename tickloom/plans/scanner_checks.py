@@ -230,7 +230,25 @@ def intraday(s, d, side):
     return pl.intraday_plan(b, zones, clean.validate_intraday(b, F.lit("2024-01-31").cast("timestamp_ntz")), side)
 
 
-R.add("x18_intraday_plan", lambda s, d: intraday(s, d, "long").withColumn("side", F.lit("long")).unionByName(intraday(s, d, "short").withColumn("side", F.lit("short"))))
+
+
+def _plan_sql(side: str) -> str:
+    """Twin of the hourly plan on the smoothed series, whose true range is always 22."""
+    long = side == "long"
+    pick, bound, g = ("greatest", "least", 1) if long else ("least", "greatest", -1)
+    near, far = ("top", "bottom") if long else ("bottom", "top")
+    return f"""{side}0 AS (SELECT l.symbol, l.c, z.top, z.bottom, row_number() OVER (PARTITION BY l.symbol ORDER BY abs(z.{near} - l.c) / l.c, z.zn) AS rn FROM lasth l LEFT JOIN hz z ON z.symbol = l.symbol AND z.{near} {'<' if long else '>'} l.c AND abs(z.{near} - l.c) / l.c <= 0.03),
+{side}1 AS (SELECT *, coalesce({near}, c * {0.995 if long else 1.005}) AS e FROM {side}0 WHERE rn = 1),
+{side}2 AS (SELECT *, greatest(least(coalesce({far} - 22 * {0.2 * g}, e - 22 * {1.5 * g}), e * {0.985 if long else 1.04}), e * {0.96 if long else 1.015}) AS s FROM {side}1),
+{side}3 AS (SELECT *, {bound}({pick}({'521' if long else '499'}, c + 22 * {2.0 * g}, e + (e - s) * {g} * {1.5 * g}), e * {1.06 if long else 0.94}) AS t FROM {side}2),
+{side}4 AS (SELECT *, CASE WHEN c {'>=' if long else '<='} e + (t - e) * 0.7 THEN {pick}(s, e) ELSE s END AS s2, {pick}(c, {'521' if long else '499'}) AS p0 FROM {side}3),
+{side} AS (SELECT symbol, '{side}' AS side, CASE WHEN s2 = e THEN 'Break-even protected' WHEN NOT ({'s2 < e AND e < t' if long else 't < e AND e < s2'}) THEN '{side.capitalize()} plan ordering invalid' WHEN NOT abs(e - s2) / e BETWEEN 0.015 - 1e-9 AND 0.04 + 1e-9 THEN 'Intraday stop outside 1.5%-4.0%' WHEN abs(t - e) / abs(e - s2) < 1.5 - 1e-9 THEN 'Risk:reward below 1.5' ELSE 'OK' END AS reason, e, s2, t, CASE WHEN abs(p0 - c) / c <= 0.03 THEN p0 END AS p0 FROM {side}4)"""
+
+
+HZ = [q.HOURLY, "hs AS (SELECT symbol, bar_no, n_bars, 500 + close % 20 AS c FROM hours)", "hz AS (SELECT symbol, bar_no AS zn, c + 2 AS top, c - 3 AS bottom FROM hs WHERE bar_no % 50 = 0)", "lasth AS (SELECT symbol, c FROM hs WHERE bar_no = n_bars - 1)"]
+R.add("x18_intraday_plan", lambda s, d: intraday(s, d, "long").withColumn("side", F.lit("long")).unionByName(intraday(s, d, "short").withColumn("side", F.lit("short"))).select(
+    "symbol", "side", "reason", fix("entry", 4).alias("entry"), fix("stop", 4).alias("stop"), fix("target", 4).alias("target"), fix("phase0", 4).alias("phase0")),
+      q.sql([*HZ, _plan_sql("long"), _plan_sql("short")], f"SELECT symbol, side, reason, {q.fix('e', 4)} AS entry, {q.fix('s2', 4)} AS stop, {q.fix('t', 4)} AS target, {q.fix('p0', 4)} AS phase0 FROM (SELECT * FROM long UNION ALL SELECT * FROM short)"))
 
 # ---- multi-timeframe -------------------------------------------------------------------------------
 

@@ -67,7 +67,14 @@ for name, cols in FLAGS.items():
     R.add(name, lambda s, d, cols=cols: smc.market_structure(bars_daily(s, d)).select(*KEY, *cols), q.sql([q.DAILY, *STR], f"SELECT symbol, ts, {', '.join(cols)} FROM str"))
 R.add("w32_first_hit_per_segment", lambda s, d: smc.market_structure(bars_daily(s, d)).where("smc_bos_bull OR smc_bos_bear OR smc_choch").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_breaks"), F.max("ts").alias("last_break")),
       q.sql([q.DAILY, *STR], "SELECT symbol, count(*) AS n_breaks, max(ts) AS last_break FROM str WHERE smc_bos_bull OR smc_bos_bear OR smc_choch GROUP BY symbol"))
-R.add("p4_structure_causal", lambda s, d: smc.market_structure(bars_daily(s, d), mode="causal").select(*KEY, "smc_bos_bull", "smc_bos_bear", "smc_choch", "smc_idm_bull", "smc_idm_bear"))
+_lagged = lambda c, k: f"lag({c}, {k}) OVER ({q.P})"
+CAUSAL = [SW,
+          f"s0 AS (SELECT *, CASE WHEN {_lagged('swing_high', 3)} THEN {_lagged('high', 3)} END AS sh, CASE WHEN {_lagged('swing_low', 3)} THEN {_lagged('low', 3)} END AS sl, CASE WHEN bar_no >= 5 AND {_lagged('swing_high', 4)} THEN {_lagged('high', 4)} END AS mh, CASE WHEN bar_no >= 5 AND {_lagged('swing_low', 4)} THEN {_lagged('low', 4)} END AS ml FROM sw)",
+          *STR[2:4], "trn AS (SELECT *, lag(k) OVER (PARTITION BY symbol ORDER BY bar_no) AS pk FROM brk)", *STR[6:8],
+          f"""cz AS (SELECT s1.symbol, s1.ts, s1.bar_no, t.k, t.pk, last_value(t.k IGNORE NULLS) OVER (PARTITION BY s1.symbol ORDER BY s1.bar_no ROWS UNBOUNDED PRECEDING) AS dr, gb.bar_no IS NOT NULL AS g1, gs.bar_no IS NOT NULL AS g2
+ FROM s1 LEFT JOIN trn t ON t.symbol = s1.symbol AND t.bar_no = s1.bar_no LEFT JOIN gb ON gb.symbol = s1.symbol AND gb.bar_no = s1.bar_no LEFT JOIN gs ON gs.symbol = s1.symbol AND gs.bar_no = s1.bar_no)"""]
+R.add("p4_structure_causal", lambda s, d: smc.market_structure(bars_daily(s, d), mode="causal").select(*KEY, "smc_bos_bull", "smc_bos_bear", "smc_choch", "smc_idm_bull", "smc_idm_bear"),
+      q.sql([q.DAILY, *CAUSAL], "SELECT symbol, ts, coalesce(k = 'bull' AND (pk IS NULL OR pk = 'bull'), false) AS smc_bos_bull, coalesce(k = 'bear' AND (pk IS NULL OR pk = 'bear'), false) AS smc_bos_bear, coalesce(pk <> k, false) AS smc_choch, g1 AND coalesce(dr = 'bull', false) AS smc_idm_bull, g2 AND coalesce(dr = 'bear', false) AS smc_idm_bear FROM cz"))
 _w = lambda tbl, dr, wt: f"coalesce((SELECT sum(CASE WHEN s.close BETWEEN z.bottom AND z.top THEN {wt} ELSE 0 END) FROM {tbl} z WHERE z.symbol = s.symbol AND z.direction = '{dr}' AND z.rn <= 5), 0)"
 SCORE = [*OB, *FVG, *STR,
          f"sc0 AS (SELECT s.*, {_w('ob', 'Bullish', 'z.strength')} * 0.30 - {_w('ob', 'Bearish', 'z.strength')} * 0.30 + {_w('fvg', 'Bullish', '1 - z.filled_pct')} * 0.20 - {_w('fvg', 'Bearish', '1 - z.filled_pct')} * 0.20 + smc_bos_bull::INT * 0.20 - smc_bos_bear::INT * 0.20 AS b FROM str s)",

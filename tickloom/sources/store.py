@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tickloom.operators import clean, joins
 from tickloom.operators.context import positioning_columns
 from tickloom.functions.series import index_bars
+from tickloom.session import materialize
 
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
@@ -180,6 +181,8 @@ def report_tables(rows: DataFrame, n: int = 20) -> dict[str, DataFrame]:
 
 
 def write_report(rows: DataFrame, path: str, n: int = 20) -> None:
+    """One CSV folder per table; the ranked rows are computed once and read back for each."""
+    rows = materialize(rows, "report_rows")
     for name, df in report_tables(rows, n).items():
         df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
 
