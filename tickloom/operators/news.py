@@ -114,14 +114,20 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def matched(rule: Column) -> Column:
+    """Keeps the rows with a match. A generator, because a filter on the match would be pushed below the
+    lower-casing and repeat it for every word."""
+    return F.explode(F.array_compact(F.array(rule)))
+
+
 def news_impact(headlines: DataFrame) -> DataFrame:
     """Asset impact of each headline by its first matching keyword; one row per affected asset."""
-    low = F.lower("headline")
+    low = F.col("_low")
     rules = [
         (low.contains(k), F.struct(F.lit(i).alias("impact"), F.lit(d).alias("direction"), F.array(*[F.lit(t) for t in targets]).alias("targets"), F.lit(r).alias("reason")))
         for k, i, d, targets, r in IMPACT_RULES
     ]
-    d = headlines.withColumn("_m", first_rule(low, rules)).where(F.col("_m").isNotNull())
+    d = headlines.withColumn("_low", F.lower("headline")).select("*", matched(first_rule(low, rules)).alias("_m"))
     return d.select(*headlines.columns, "_m.impact", "_m.direction", "_m.reason", F.explode("_m.targets").alias("asset"))
 
 
@@ -139,7 +145,7 @@ def headline_events(headlines: DataFrame) -> DataFrame:
         for words, t, s, c in EVENT_RULES
     ]
     d = headlines.withColumns({"headline": F.trim("headline"), "_low": F.lower("headline"), "source_quality": publisher_grade(F.col("publisher"))})
-    d = d.where(F.col("headline") != "").withColumn("_e", first_rule(low, rules)).where(F.col("_e").isNotNull())
+    d = d.where(F.col("headline") != "").select("*", matched(first_rule(low, rules)).alias("_e"))
     conf = F.col("_e.base") + lookup(F.col("category"), CATEGORY_BONUS, 0.0) + lookup(F.col("source_quality"), {"A": 0.06, "D": -0.08}, 0.0)
     return d.withColumns({
         "event_type": F.col("_e.event_type"), "severity": F.col("_e.severity"), "confidence": clip(conf, 0.20, 0.98),
