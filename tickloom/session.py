@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SHARED_CONF = "tickloom.shared.dir"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,18 +34,54 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for materialised tables: the cluster's if it names one, else a private one (tests only)."""
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+_PRIVATE: dict[str, str] = {}
+
+
+def _is_machine_local(spark: SparkSession, path: str) -> bool:
+    """True where a path that names no scheme resolves to the local file system."""
+    if "://" in path or path.startswith("file:"):
+        return False
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf).getScheme() in (None, "file")
+
+
+def shared_dir(spark: SparkSession, path: str | None = None) -> str:
+    """The folder for materialised tables.
+
+    Taken from the argument, else the session's ``tickloom.shared.dir``, else ``spark.checkpoint.dir``. A session in one
+    process may go without: it gets a private folder that ends with the process. On a cluster a missing setting, or a path
+    that would mean another disk on every executor, is an error (a mount that all machines share is named ``file:///...``).
+    """
+    path = path or spark.conf.get(SHARED_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        if path:
+            return path
+        app = spark.sparkContext.applicationId
+        if app not in _PRIVATE:
+            _PRIVATE[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            atexit.register(shutil.rmtree, _PRIVATE[app], ignore_errors=True)
+        return _PRIVATE[app]
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, path)
+        raise ValueError(f"set {SHARED_CONF} or {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+    if _is_machine_local(spark, path):
+        raise ValueError(f"{path} is a machine-local folder; name one that the driver and all executors share, with its scheme")
     return path
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: short lineage that survives executor loss."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has materialised; frames read from there can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
