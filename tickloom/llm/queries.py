@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe
+from tickloom.llm import bpe, mixing, quality
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,23 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_byte_bpe"] = byte_bpe
+
+
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+
+
+QUERIES["op2_source_mix"] = source_mix
+ORACLES["op2_source_mix"] = mixing.ORACLE
+
+
+def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(documents(spark, sf_dir, "doc_id", "text")).drop("text")
+    rows = quality.apply_policy(quality.apply_policy(rows, "base", "_base"), "v1", "_v1")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"),
+                       (F.col("_base") & F.col("_v1")).alias("kept"), "n_lines", "failures")
+
+
+QUERIES["op7_quality_ledger"] = quality_ledger
+ORACLES["op7_quality_ledger"] = quality.ORACLE
