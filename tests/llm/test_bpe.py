@@ -36,6 +36,12 @@ def test_edits_and_appends_are_exact(text, put, at, drop):
     assert ids == LIB.encode_ordinary(text + put)
 
 
+def test_the_fast_matcher_splits_alike():
+    for c in map(chr, range(256)):
+        for text in (f"a{c}1 x", f" {c}{c}'s", f"{c} \n{c}"):
+            assert ENC.latin.findall(text) == ENC.any.findall(text)
+
+
 def test_tables_of_prefixes_extend():
     word = "unbelievablenessless".encode()
     table = ENC.last_tokens(word)
