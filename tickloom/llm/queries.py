@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, mixing, quality
+from tickloom.llm import bpe, mixing, ngram_join, quality
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,10 @@ def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op7_quality_ledger"] = quality_ledger
 ORACLES["op7_quality_ledger"] = quality.ORACLE
+
+
+def ngram_join_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(documents(spark, sf_dir, "doc_id", "text"), n=4, percent=85)
+
+
+QUERIES["op10_ngram_join"] = ngram_join_groups
