@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, mixing, ngram_join, quality
+from tickloom.llm import bpe, mixing, ngram_join, piece_counts, quality
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,14 @@ def ngram_join_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_ngram_join"] = ngram_join_groups
+
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+TOKEN_LIMIT = 4096
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = piece_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), PIECE_MODEL)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+QUERIES["op1_token_counts"] = token_counts
