@@ -43,3 +43,10 @@ def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, source: str, m
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), values], names=[*keep, name])
 
     return df.mapInArrow(run, schema)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row: as a generator's output they are not copied into what uses them."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    rest = [c for c in df.columns if c not in columns]
+    return df.select("*", row).select(*rest, *[F.col(f"_once.{n}").alias(n) for n in columns])

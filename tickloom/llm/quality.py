@@ -10,10 +10,10 @@ table gives an empty ledger; columns named like a result are replaced; a text of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SPACE, WORD
+from tickloom.llm.common import SPACE, WORD, once
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -41,13 +41,6 @@ def mask(policy: str) -> int:
     return sum(BIT[name] for name in POLICIES[policy])
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once per row: as a generator's output they are not copied into what uses them."""
-    names = list(columns)
-    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_row")
-    return df.select("*", row).select(*df.columns, *[F.col(f"_row.{n}").alias(n) for n in names])
-
-
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measurements (all long).
 
@@ -56,14 +49,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(WORD))
     d = docs.select(*[c for c in docs.columns if c not in MEASURES], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    d = _once(d, _w=F.filter(F.split("_t", SPACE), lambda x: x != ""), _l=lines)
+    d = once(d, _w=F.filter(F.split("_t", SPACE), lambda x: x != ""), _l=lines)
     n = F.size("_w")
     windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i), F.get("_w", i + 1)))
-    d = _once(d, _h=F.when(n > 2, windows).otherwise(F.array().cast("array<bigint>")))
+    d = once(d, _h=F.when(n > 2, windows).otherwise(F.array().cast("array<bigint>")))
     placed = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = _once(d, _p=F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    d = once(d, _p=F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     same = lambda x, k: F.coalesce((F.get("_p", k - 1)["h"] == x["h"]) | (k == -1), F.lit(False)) | F.coalesce(F.get("_p", k + 1)["h"] == x["h"], F.lit(False))
-    d = _once(d, _s=F.sort_array(F.transform(F.filter("_p", same), lambda x: x["i"])))
+    d = once(d, _s=F.sort_array(F.transform(F.filter("_p", same), lambda x: x["i"])))
     covered = F.aggregate(
         F.zip_with("_s", F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))),
         F.lit(0).cast("bigint"), lambda total, x: total + x)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, licenses, mixing, ngram_join, piece_counts, quality
-from tickloom.llm.common import documents
+from tickloom.llm import bpe, iblt, licenses, mixing, ngram_join, piece_counts, quality
+from tickloom.llm.common import documents, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,19 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op9_license_scan"] = license_scan
 ORACLES["op9_license_scan"] = licenses.oracle()
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = iblt.with_next(documents(spark, sf_dir, "doc_id", "text"), "text", "next")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    edited = F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
+    d = once(d.select("doc_id", text.alias("text"), "next", edited.alias("edited")), a=iblt.digests(F.col("text")), e=iblt.digests(F.col("edited")), b=iblt.digests(F.col("next")))
+    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", "e", "b")
+    d = iblt.with_difference(iblt.with_difference(d, "a", "e", "d_edited"), "a", "b", "d_next")
+    return d.select("doc_id", "n_chars", "edited_sha256", iblt.fingerprint(F.col("a")).alias("fingerprint"), iblt.fingerprint(F.col("e")).alias("edited_fingerprint"),
+                    iblt.likeness("a", "e", "d_edited").alias("near_edited"), iblt.likeness("a", "b", "d_next").alias("near_next"),
+                    F.col("d_edited.retries").alias("retries_edited"), F.col("d_next.retries").alias("retries_next"))
+
+
+QUERIES["op6_fingerprints"] = fingerprints
