@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, iblt, licenses, mixing, ngram_join, piece_counts, quality
+from tickloom.llm import bpe, iblt, licenses, mixing, ngram_join, pii, piece_counts, quality
 from tickloom.llm.common import documents, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,14 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_fingerprints"] = fingerprints
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES["op8_personal_data"] = personal_data
