@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Elements of a merged array that one record carries.
+CHUNK = 4096
+
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -50,3 +54,18 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
     rest = [c for c in df.columns if c not in columns]
     return df.select("*", row).select(*rest, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
+def array_chunks(total: np.ndarray) -> pa.RecordBatch:
+    """A task's array as records (chunk, part), without parts that are all zero."""
+    full = [k for k in range(-(-len(total) // CHUNK)) if total[k * CHUNK : (k + 1) * CHUNK].any()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full, pa.int32()), pa.array([total[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in full], pa.binary())], names=["chunk", "part"])
+
+
+def merged_array(chunks: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, dtype: type) -> np.ndarray:
+    """Adds up an array that every task sends in chunks. Its size is fixed, so the result may go to the driver and to all tasks."""
+    out = np.zeros(size, dtype)
+    for k, part in chunks.rdd.map(lambda r: (r[0], np.frombuffer(r[1], dtype))).reduceByKey(add, 64).collect():
+        out[k * CHUNK : k * CHUNK + len(part)] = part
+    return out

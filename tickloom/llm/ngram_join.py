@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from tickloom.llm.common import array_chunks, merged_array
 from tickloom.session import materialize
 
-#: Counters of the frequency sketch (powers of two), and how many of them one record carries.
-SKETCH_BITS, CHUNK = 21, 4096
+#: Counters of the frequency sketch, as a power of two.
+SKETCH_BITS = 21
 #: Bits of the filter that tells which classes have to be read again.
 BLOOM_BITS = 26
 #: Hash ranges of the suffix filter.
@@ -119,22 +120,6 @@ def least(size: int, percent: int) -> int:
     return (size * percent + 99) // 100
 
 
-def _merged(chunks: DataFrame, add, size: int, dtype) -> np.ndarray:
-    """Adds up an array that every task sends in chunks; its size is fixed, so it may go to the driver and to all tasks."""
-    out = np.zeros(size, dtype)
-    step = size // max(1, size // CHUNK)
-    pairs = chunks.rdd.map(lambda r: (r[0], np.frombuffer(r[1], dtype))).reduceByKey(add, 64)
-    for k, part in pairs.collect():
-        out[k * step : k * step + len(part)] = part
-    return out
-
-
-def _chunks(total: np.ndarray) -> pa.RecordBatch:
-    step = len(total) // max(1, len(total) // CHUNK)
-    full = [k for k in range(len(total) // step) if total[k * step : (k + 1) * step].any()]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([total[k * step : (k + 1) * step].tobytes() for k in full], pa.binary())], names=["chunk", "part"])
-
-
 def frequencies(docs: DataFrame, n: int, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
     """Counters of how many documents have a shingle, by the shingle's top bits, over all documents."""
 
@@ -144,10 +129,10 @@ def frequencies(docs: DataFrame, n: int, text: str = "text", bits: int = SKETCH_
             values, _ = shingle_sets(batch.column(0).to_pylist(), n)
             total += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if total.any():
-            yield _chunks(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))
+            yield array_chunks(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))
 
     wide = lambda a, b: np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32)
-    return _merged(docs.select(text).mapInArrow(run, "chunk int, part binary"), wide, 1 << bits, np.uint32)
+    return merged_array(docs.select(text).mapInArrow(run, "chunk int, part binary"), wide, 1 << bits, np.uint32)
 
 
 def with_class(docs: DataFrame, n: int, text: str = "text", ranges: bool = False) -> DataFrame:
@@ -261,9 +246,9 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int, text: str =
                 for p in place(key):
                     bits[p >> 6] |= np.uint64(1 << (p & 63))
         if bits.any():
-            yield _chunks(bits)
+            yield array_chunks(bits)
 
-    bits = spark.sparkContext.broadcast(_merged(keys.mapInArrow(fill, "chunk int, part binary"), np.bitwise_or, words, np.uint64))
+    bits = spark.sparkContext.broadcast(merged_array(keys.mapInArrow(fill, "chunk int, part binary"), np.bitwise_or, words, np.uint64))
 
     def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()

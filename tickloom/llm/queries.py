@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, iblt, licenses, mixing, ngram_join, pii, piece_counts, quality
+from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, pii, piece_counts, quality
 from tickloom.llm.common import documents, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,10 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_personal_data"] = personal_data
+
+
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(documents(spark, sf_dir, "doc_id", "text"), lbl.held_out(F.col("doc_id")))
+
+
+QUERIES["op3_lm_scores"] = lm_scores
