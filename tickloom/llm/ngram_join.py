@@ -39,6 +39,8 @@ BLOOM_BITS = 26
 RANGES = 128
 #: A bucket is dealt out to one more task for every so many rows that the sketch expects.
 BUCKET_ROWS = 4000
+#: Distances at which rows of a bucket are paired at first.
+NEAR = (1, 2, 3, 5, 8)
 #: Bytes of text that are hashed at a time, and classes that a task remembers to have sent.
 SLICE, SENT = 1 << 20, 1_000_000
 
@@ -204,21 +206,22 @@ def _suffix(percent: int):
 
 
 def neighbours(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of classes that stand next to each other in a bucket, ordered by place, size and class."""
+    """Pairs (x, y) of classes that stand close to each other in a bucket, ordered by place, size and class: a number of pairs
+    in proportion to the rows. The least edited copies come first, and are paired with all."""
     w = W.Window.partitionBy("shingle", "deal").orderBy("at", "n", "key")
-    d = buckets.withColumn("before", F.lag(F.struct("key", "n", "at")).over(w)).where("before is not null")
-    d = d.select(F.struct("key", "n", "at").alias("a"), F.col("before").alias("b")).where(_possible(percent))
-    return d.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y")).distinct()
+    one = F.struct("key", "n", "at")
+    near = F.array(F.first(one).over(w), *[F.lag(one, k).over(w) for k in NEAR])
+    d = buckets.withColumn("near", near).withColumn("b", F.explode(F.array_distinct(F.array_compact("near")))).select(one.alias("a"), "b").where("a.key <> b.key")
+    return d.where(_possible(percent)).select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y")).distinct()
 
 
-def crossing(buckets: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes in a bucket that no group joins yet and that the filters let pass."""
+def crossing(buckets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes in a bucket that no group joins yet and that the length and positional filters let pass."""
     d = buckets.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
     mixed = d.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("shingle")
-    d = d.join(mixed, "shingle", "left_semi").join(classes.select("key", "ranges"), "key")
-    d = materialize(d.select("shingle", "key", "n", "at", "group", "ranges"), "crossing")
+    d = materialize(d.join(mixed, "shingle", "left_semi").select("shingle", "key", "n", "at", "group"), "crossing")
     on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group"))
-    pairs = d.alias("a").join(d.alias("b"), on & _possible(percent) & _suffix(percent))
+    pairs = d.alias("a").join(d.alias("b"), on & _possible(percent))
     return pairs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
 
 
@@ -322,7 +325,7 @@ def class_groups(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "
     first = materialize(near_pairs(neighbours(buckets, percent), classes, percent), "pairs")
     links = materialize(verify(rows, first, n, percent), "links")
     groups = components(links)
-    rest = materialize(crossing(buckets, groups, classes, percent), "pairs")
+    rest = materialize(near_pairs(crossing(buckets, groups, percent), classes, percent), "pairs")
     links = links.union(verify(rows, rest, n, percent))
     return members.drop("ranges"), components(links)
 
@@ -347,8 +350,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "d
     """``docs`` with one document of each group: the one with the smallest id. Documents without words all stay."""
     members, groups = class_groups(docs, n, percent, doc_id, text)
     chosen = _grouped(members, groups).where("key = best_key").select(F.col("key").alias("_chosen"), F.col("best_id").alias("_id"))
-    d = with_class(docs, n, text).join(chosen, F.col("_key").eqNullSafe(F.col("_chosen")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    d = with_class(docs.toDF(*name.values()), n, name[text])
+    d = d.join(chosen, F.col("_key").eqNullSafe(F.col("_chosen")) & F.col(name[doc_id]).eqNullSafe(F.col("_id")), "left")
     # rows that repeat an id with the same set are copies of each other
-    nth = F.row_number().over(W.Window.partitionBy("_key", doc_id).orderBy(text))
-    copies = d.where("_chosen is not null").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-    return copies.unionByName(d.where("_key is null").select(*docs.columns))
+    nth = F.row_number().over(W.Window.partitionBy("_key", name[doc_id]).orderBy(name[text]))
+    copies = d.where("_chosen is not null").withColumn("_nth", nth).where("_nth = 1").select(*name.values())
+    return copies.unionByName(d.where("_key is null").select(*name.values())).toDF(*docs.columns)
