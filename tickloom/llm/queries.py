@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, pii, piece_counts, quality
+from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, pii, piece_counts, quality, secret_forest
 from tickloom.llm.common import documents, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,12 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_lm_scores"] = lm_scores
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_forest.scan(documents(spark, sf_dir, "doc_id", "text", "source"))
+    spans = F.array_join(F.transform("findings", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_candidates", "n_secrets", spans.alias("spans"), F.array_max(F.transform("findings", lambda s: s["probability"])).alias("probability"))
+
+
+QUERIES["op5_secret_scan"] = secret_scan
