@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import collect, to_bars, walk
 from tickloom.functions import series
-from tickloom.functions.series import at_last, exact_median, index_bars, per_block, running, running_from_end, tail
+from tickloom.functions.series import at_last, ewm_reach, exact_median, index_bars, per_block, running, running_from_end, tail
 from tickloom.operators import indicators as ind
 
 
@@ -103,3 +103,28 @@ def test_hot_symbol_is_split(spark, monkeypatch):
     pdf = pd.concat([walk(1000, 1, "HOT"), walk(60, 2, "COLD")], ignore_index=True)
     sizes = per_block(to_bars(spark, pdf), lambda d, f: d.withColumn("_size", F.count(F.lit(1)).over(series.Window.partitionBy("symbol", "_blk"))), lookback=20)
     assert sizes.agg(F.max("_size")).first()[0] <= 70
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 4, 5, 6])
+@pytest.mark.parametrize("block", [16, 4096])
+def test_short_spans_over_long_series(spark, monkeypatch, span, block):
+    monkeypatch.setattr(series, "BLOCK", block)
+    pdf = walk(4100, 5, "A")
+    pdf.loc[pdf.index[3000:3400], "close"] = 100.0
+    pdf.loc[[0, 7, 8, 2000], "close"] = None
+    alpha = 2 / (span + 1)
+    bars = to_bars(spark, pdf)
+    for adjust in (True, False):
+        got = collect(per_block(bars, lambda d, f: d.withColumn("e", f.ewm("close", alpha, 2, adjust)), lookback=ewm_reach(alpha) + 8, block=block), "bar_no")
+        if adjust:
+            want = pdf["close"].ewm(alpha=alpha, adjust=True, min_periods=2, ignore_na=False).mean().to_numpy()
+            seen = pdf["close"].notna().to_numpy()
+            np.testing.assert_allclose(got["e"].to_numpy()[seen], want[seen], rtol=1e-9)
+        else:
+            assert np.isfinite(got["e"].to_numpy()[10:]).all()
+
+
+def test_equal_times_are_numbered_alike(spark):
+    pdf = pd.concat([walk(40, 1, "A"), walk(40, 2, "A"), walk(40, 3, "A")])
+    one, two = (collect(to_bars(spark, pdf.sample(frac=1, random_state=k)), "bar_no") for k in (1, 2))
+    assert one.equals(two[one.columns])

@@ -87,3 +87,14 @@ def test_notices(spark, landed):
     events, path = landed
     got = st.run_available(source(spark, events, path), out(spark), each=st.batch_notice).toPandas()
     assert got["n_rows"].sum() == events.count() and set(got["notice"]) == {"OK"}
+
+
+def test_latest_quotes_over_batches(spark, landed):
+    events, path = landed
+    want = sorted((r.symbol, r.price, r.n_ticks) for r in st.latest_quotes(ticks(events)).collect())
+    stream = st.latest_quotes(ticks(source(spark, events, path)))
+    for mode in ("complete", "update"):
+        got = st.run_available(stream, out(spark), mode, keys=("symbol",)).collect()
+        assert sorted((r.symbol, r.price, r.n_ticks) for r in got) == want
+    with pytest.raises(ValueError):
+        st.run_available(stream, out(spark), "update")

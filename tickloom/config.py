@@ -132,8 +132,6 @@ class StochasticSettings:
 @dataclass(frozen=True)
 class ForecastSettings:
     horizons: tuple[int, ...] = (1, 21, 42, 63, 126)
-    train_rows: int = 252
-    panel_rows: int = 200_000
+    train_rows: int | None = None
     min_rows: int = 50
     confidence_threshold: float = 0.25
-    retrain_every: int = 21

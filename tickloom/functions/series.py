@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Smoothing above which an exponential mean is summed term by term.
+DIRECT_ALPHA = 0.3
 UP, DOWN = Window.unboundedPreceding, Window.unboundedFollowing
 
 
@@ -32,7 +34,9 @@ def index_bars(
     df: DataFrame, key: str = "symbol", ts: str = "ts", chunk: str = "quarter", then: tuple[str, ...] = ()
 ) -> DataFrame:
     """Add ``bar_no`` and ``n_bars``. Rows are counted per (key, calendar chunk) first, so the only
-    per-key window runs over one row per chunk. ``then`` lists further columns that order equal times."""
+    per-key window runs over one row per chunk. ``then`` lists further columns that order equal times; rows that
+    are equal in these as well are ordered by a hash of all their values, so that numbers do not change between runs."""
+    hashed = F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
     chunked = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)).cast("timestamp_ntz"))
     over_chunks = Window.partitionBy(key).orderBy("_chunk")
     counts = (
@@ -41,7 +45,7 @@ def index_bars(
         .withColumn("n_bars", F.sum("_n").over(Window.partitionBy(key)))
         .drop("_n")
     )
-    in_chunk = Window.partitionBy(key, "_chunk").orderBy(ts, *then)
+    in_chunk = Window.partitionBy(key, "_chunk").orderBy(ts, *then, hashed)
     return (
         chunked.join(counts, [key, "_chunk"])
         .withColumn("bar_no", F.col("_before") + F.row_number().over(in_chunk) - 1)
@@ -115,6 +119,8 @@ class Frame:
         """Exponentially weighted mean as a ratio of running sums, anchored at the block centre so the
         weights stay inside the double range. Rows older than ``ewm_reach`` weigh less than one ulp."""
         c = col(c)
+        if alpha > DIRECT_ALPHA:
+            return self._short_ewm(c, alpha, mp, adjust)
         k = -math.log(1 - alpha)
         pos = F.col("bar_no") - F.col("_blk") * self.block - self.block // 2
         wt = F.exp(F.lit(k) * pos)
@@ -126,10 +132,24 @@ class Frame:
             value = F.sum(c * wt * share).over(run) / wt
         return F.when(F.count(c).over(run) >= mp, value) if mp > 0 else value
 
+    def _short_ewm(self, c: Column, alpha: float, mp: int, adjust: bool) -> Column:
+        """The same mean for fast decay: the few bars that weigh anything are summed one by one, since weights
+        anchored at a block's centre would leave the double range."""
+        terms = [(F.lag(c, j).over(self.w) if j else c, (1 - alpha) ** j, F.col("bar_no") - j) for j in range(ewm_reach(alpha) + 1)]
+        if adjust:
+            num = sum((F.coalesce(x * w, F.lit(0.0)) for x, w, _ in terms[1:]), F.coalesce(c, F.lit(0.0)))
+            den = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w, _ in terms[1:]), F.when(c.isNotNull(), 1.0).otherwise(0.0))
+            value = F.try_divide(num, den)
+        else:
+            share = lambda at: F.when(at == 0, 1.0).otherwise(alpha)
+            parts = [F.coalesce(x * w * share(at), F.lit(0.0)) for x, w, at in terms]
+            value = F.when(F.count(c).over(self.w.rowsBetween(UP, 0)) > 0, sum(parts[1:], parts[0]))
+        return F.when(F.count(c).over(self.w.rowsBetween(UP, 0)) >= mp, value) if mp > 0 else value
+
 
 def ewm_reach(alpha: float) -> int:
     """Bars after which an exponential weight falls under double precision."""
-    return math.ceil(37.5 / -math.log(1 - alpha))
+    return math.ceil(37.5 / -math.log(1 - alpha)) if alpha < 1 else 0
 
 
 def per_block(

@@ -36,7 +36,7 @@ def neutral_when_short(df: DataFrame, min_bars: int, values: dict[str, object])
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
-    """Lower-case canonical names; an empty table when OHLCV is incomplete."""
+    """Lower-case canonical names. A table without all of OHLCV and a time is an error."""
     by_name: dict[str, str] = {}
     for c in df.columns:
         low = c.strip().lower()
@@ -45,7 +45,7 @@ def normalize_columns(df: DataFrame) -> DataFrame:
             by_name[target] = c
     out = df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in by_name.items()])
     if missing(out, [*OHLCV, "ts"]):
-        return neutral(out, {c: None for c in missing(out, [*OHLCV, "ts"])}).limit(0)
+        raise ValueError(f"no column for {', '.join(missing(out, [*OHLCV, 'ts']))}")
     return out.withColumn("ts", F.to_timestamp_ntz(F.col("ts").cast("string"))).withColumns(
         {c: F.col(c).cast("double") for c in OHLCV}
     )
@@ -166,9 +166,10 @@ def floor_minutes(ts: Column, minutes: int) -> Column:
     return F.timestamp_seconds(secs - secs % (minutes * 60)).cast("timestamp_ntz")
 
 
-def confirmed_candles(bars: DataFrame, now: Column, minutes: int) -> DataFrame:
+def confirmed_candles(bars: DataFrame, now: Column, minutes: int, order: str = "ingest_seq") -> DataFrame:
     """Closed bars only. A symbol whose series has no time of day and no repeated day is a daily
-    series handed in by mistake and is dropped whole."""
+    series handed in by mistake and is dropped whole. Of repeated bars the last by ``order`` (if there is such a
+    column), then by value, is kept."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
     kinds = bars.groupBy("symbol", day.alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("ts") != day).alias("_timed")
@@ -177,7 +178,7 @@ def confirmed_candles(bars: DataFrame, now: Column, minutes: int) -> DataFrame:
     return (
         bars.join(kinds.where("_intraday").select("symbol"), "symbol", "left_semi")
         .where(F.col("ts") < floor_minutes(now, minutes))
-        .groupBy("symbol", "ts").agg(F.last(F.struct(*rest)).alias("_r")).select("symbol", "ts", "_r.*")
+        .groupBy("symbol", "ts").agg(F.max_by(F.struct(*rest), F.struct(*([order] if order in rest else []), *rest)).alias("_r")).select("symbol", "ts", "_r.*")
     )
 
 

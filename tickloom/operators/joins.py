@@ -27,7 +27,7 @@ def asof_join(
     )
     keep = [c for c in ("bar_no", "n_bars") if c in left.columns]
     stacked = stacked.withColumnsRenamed({c: f"_{c}" for c in keep})
-    d = running(index_bars(stacked, key, ts, chunk, then=("_side",)), {"_m": ("last", "_r")}, key=key)
+    d = running(index_bars(stacked, key, ts, chunk, then=("_side", "_r")), {"_m": ("last", "_r")}, key=key)
     d = d.where(F.col("_side") == 1).select("*", *[F.col(f"_m.{c}").alias(c) for c in columns])
     d = d.drop("_side", "_r", "_m", "bar_no", "n_bars").withColumnsRenamed({f"_{c}": c for c in keep})
     return fill(d, columns, back=True) if back_fill else d

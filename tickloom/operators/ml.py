@@ -16,6 +16,7 @@ from tickloom.operators.clean import finite_or_zero
 from tickloom.operators.indicators import MACD_REACH, add_atr, add_macd, add_rsi, clip, nonzero
 from tickloom.operators.profile import rolling_profile
 from tickloom.operators.seasonality import seasonality
+from tickloom.session import materialize
 
 BASE_FEATURES = [
     *[f"lag_ret_{k}" for k in range(1, 6)], "ma_5_rel", "ma_15_rel", "rsi_14", "atr_14_rel", "macd_hist_rel", "roc_5", "roc_20", "volume_ratio",
@@ -58,22 +59,26 @@ def feature_table(bars: DataFrame, extra: list[DataFrame] | None = None, horizon
     return d.withColumns({c: finite_or_zero(F.col(c).cast("double")) for c in names}), names
 
 
-def train(table: DataFrame, features: list[str], cfg: ForecastSettings = ForecastSettings(), trees: int = 20, depth: int = 4) -> dict[int, tuple]:
-    """One boosted-tree model per horizon on the panel of recent rows, with residual quantiles from a
-    held-out fifth of the rows (split-conformal band). Horizons with under ``min_rows`` rows are left out."""
+def train(table: DataFrame, features: list[str], cfg: ForecastSettings = ForecastSettings(), trees: int = 20, depth: int = 4) -> dict[int, tuple | None]:
+    """One boosted-tree model per horizon on all labelled rows (``train_rows`` keeps the last rows of each symbol
+    instead), with residual quantiles from a held-out fifth of the rows (split-conformal band). A horizon with under
+    ``min_rows`` labelled rows has no model."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    recent = tail(table, cfg.train_rows)
-    models = {}
-    for h in cfg.horizons:
-        y = f"target_{h}"
-        rows = recent.where(F.col(y).isNotNull()).select("symbol", "bar_no", y, *features)
+    labels = [f"target_{h}" for h in cfg.horizons]
+    recent = table if cfg.train_rows is None else tail(table, cfg.train_rows)
+    recent = materialize(recent.select("symbol", "bar_no", *labels, *features), "labelled")
+    counts = recent.agg(*[F.count(y).alias(y) for y in labels]).first()
+    models: dict[int, tuple | None] = {}
+    for h, y in zip(cfg.horizons, labels):
+        if counts[y] < cfg.min_rows:
+            models[h] = None
+            continue
+        rows = recent.where(F.col(y).isNotNull())
         held = F.pmod(F.xxhash64("symbol", "bar_no"), F.lit(5)) == 0
         fit, calib = rows.where(~held), rows.where(held)
-        if rows.limit(cfg.min_rows).count() < cfg.min_rows:
-            continue
         stages = [
             VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
             GBTRegressor(featuresCol="_z", labelCol=y, predictionCol=f"q50_{h}", maxIter=trees, maxDepth=depth, stepSize=0.05, seed=42),
@@ -84,30 +89,36 @@ def train(table: DataFrame, features: list[str], cfg: ForecastSettings = Forecas
     return models
 
 
-def forecast(table: DataFrame, models: dict[int, tuple], cfg: ForecastSettings = ForecastSettings()) -> DataFrame:
-    """Target, lower and upper price per horizon, bias, confidence and veto of every row of ``table``."""
+def forecast(table: DataFrame, models: dict[int, tuple | None], cfg: ForecastSettings = ForecastSettings()) -> DataFrame:
+    """Target, lower and upper price per horizon, bias, confidence and veto of every row of ``table``. A horizon
+    without a model has null prices and the status NO_MODEL; without the primary one the row is vetoed."""
     d = table
-    for h, (model, lo, hi) in models.items():
+    for h, fitted in models.items():
+        names = [f"ai_target_{h}d", f"ai_lower_{h}d", f"ai_upper_{h}d"]
+        if fitted is None:
+            d = d.withColumns({**{c: F.lit(None).cast("double") for c in names}, f"ai_status_{h}d": F.lit("NO_MODEL")})
+            continue
+        model, lo, hi = fitted
         d = model.transform(d).drop("_x", "_z")
-        mid = clip(F.col(f"q50_{h}"), -1.0, 1.0)
-        d = d.withColumns({
-            f"ai_target_{h}d": F.col("close") * F.exp(mid), f"ai_lower_{h}d": F.col("close") * F.exp(clip(F.col(f"q50_{h}") + lo, -1.0, 1.0)),
-            f"ai_upper_{h}d": F.col("close") * F.exp(clip(F.col(f"q50_{h}") + hi, -1.0, 1.0)),
-        }).drop(f"q50_{h}")
-    return forecast_signals(d, cfg, min(models)) if models else d.withColumns({"ai_bias": F.lit(0), "ai_confidence": F.lit(0.0), "ai_veto": F.lit(True)})
+        values = [F.col("close") * F.exp(clip(F.col(f"q50_{h}") + x, -1.0, 1.0)) for x in (0.0, lo, hi)]
+        d = d.withColumns({**dict(zip(names, values)), f"ai_status_{h}d": F.lit("OK")}).drop(f"q50_{h}")
+    if not models:
+        return d.withColumns({"ai_bias": F.lit(0), "ai_signal": F.lit(0), "ai_confidence": F.lit(0.0), "ai_veto": F.lit(True)})
+    return forecast_signals(d, cfg, min(models))
 
 
 def forecast_signals(d: DataFrame, cfg: ForecastSettings = ForecastSettings(), h: int = 1) -> DataFrame:
-    """Bias only when the whole band is on one side, confidence from its width, veto when it is wide."""
+    """Bias only when the whole band is on one side, confidence from its width, veto when it is wide. A row without a
+    price or a band has no confidence and is vetoed."""
     c, lo, hi = F.col("close"), F.col(f"ai_lower_{h}d"), F.col(f"ai_upper_{h}d")
     conf = clip(F.lit(1.0) - F.try_divide(hi - lo, c) / 0.05, 0.0, 1.0)
-    d = d.withColumn("ai_confidence", conf)
+    d = d.withColumn("ai_confidence", F.coalesce(conf, F.lit(0.0)))
     veto = F.col("ai_confidence") < cfg.confidence_threshold
     up, down = F.log(F.try_divide(lo, c)) > 0.001, F.log(F.try_divide(hi, c)) < -0.001
     return d.withColumns({"ai_veto": veto, "ai_bias": F.when(veto, 0).when(down, -1).when(up, 1).otherwise(0)}).withColumn("ai_signal", F.col("ai_bias"))
 
 
-def fit_report(table: DataFrame, models: dict[int, tuple], features: list[str], h: int = 1) -> DataFrame:
+def fit_report(table: DataFrame, models: dict[int, tuple | None], features: list[str], h: int = 1) -> DataFrame:
     """R2, MAE and certification of the primary model, one row per feature with its importance."""
     model = models[h][0]
     y, p = F.col(f"target_{h}"), F.col(f"q50_{h}")
@@ -244,5 +255,5 @@ def anomaly_scores(rows: DataFrame, forest: DataFrame, features: list[str] = ANO
     for f in features:
         whole = whole & F.col(f).isNotNull()
     d = rows.withColumn("vp_ml_score", F.when(whole, score(F.struct(*[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features]))))
-    cut = d.agg(F.percentile_approx("vp_ml_score", cfg.contamination, 10000)).scalar()
+    cut = d.agg(F.expr(f"percentile(vp_ml_score, {cfg.contamination})")).scalar()
     return d.withColumn("vp_ml_anomaly", F.coalesce(F.col("vp_ml_score") < cut, F.lit(False)))

@@ -106,11 +106,11 @@ def risk_budget(rows: DataFrame, risk: str = "risk", total: float = 1.0, by: str
 
 
 def volatility_size(rows: DataFrame, cfg: RiskSettings = RiskSettings(), atr_multiplier: float = 2.0) -> DataFrame:
-    """Shares risking a fixed share of capital per ATR stop, capped, times the crash multiplier column."""
+    """Shares risking a fixed share of capital per ATR stop, capped, times the crash multiplier column; none without a price."""
     stop = F.col("atr") * atr_multiplier
     most = F.try_divide(F.col("capital") * cfg.max_position_pct, F.col("entry_price"))
     size = F.least(F.try_divide(F.col("capital") * cfg.risk_per_trade, stop), most) * F.coalesce("crash_multiplier", F.lit(1.0))
-    return rows.withColumn("shares", F.when(stop > 0, size).otherwise(0.0))
+    return rows.withColumn("shares", F.when((stop > 0) & (F.col("entry_price") > 0), size).otherwise(0.0))
 
 
 def kelly_fraction(win_rate: Column, avg_win: Column, avg_loss: Column, cfg: RiskSettings = RiskSettings()) -> Column:

@@ -244,19 +244,19 @@ R.add("j15_pair_correlations", lambda s, d: (lambda p: p.select("a", "b", "days"
 
 
 def sources(s, d):
-    b = bars_daily(s, d).where(F.col("bar_no") < 5).select("symbol", "ts", "close", "market")
+    b = bars_daily(s, d).select("symbol", "ts", "close", "market")
     fresh = b.where(F.col("market") == "VN")
     primary = b.where(F.col("market") != "US").withColumn("close", F.col("close") + 1)
     return joins.by_source_priority([fresh, primary, b.withColumn("close", F.col("close") + 2)])
 
 
 R.add("j16_source_priority", lambda s, d: sources(s, d).select("symbol", "ts", "close", "src_rank"),
-      q.sql(q.DAILY, "SELECT symbol, ts, close + CASE market WHEN 'VN' THEN 0 WHEN 'TW' THEN 1 ELSE 2 END AS close, CASE market WHEN 'VN' THEN 0 WHEN 'TW' THEN 1 ELSE 2 END AS src_rank FROM bars WHERE bar_no < 5"))
+      q.sql(q.DAILY, "SELECT symbol, ts, close + CASE market WHEN 'VN' THEN 0 WHEN 'TW' THEN 1 ELSE 2 END AS close, CASE market WHEN 'VN' THEN 0 WHEN 'TW' THEN 1 ELSE 2 END AS src_rank FROM bars"))
 R.add("j17_asset_bundle", lambda s, d: bars_daily(s, d).where(is_last()).select("symbol", "market").join(
-    tail(bars_daily(s, d), 5).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("bars")), "symbol", "left").join(
+    tail(bars_daily(s, d), 252).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("bars")), "symbol", "left").join(
     table(s, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.round(F.avg("p_retailprice"), 2).alias("_p"), F.count(F.lit(1)).alias("n_parts")), "symbol", "left").select(
     "symbol", "market", F.size("bars").alias("n_recent"), F.element_at("bars", -1)["close"].alias("last_close"), "n_parts"),
-      q.sql(q.DAILY, "SELECT symbol, any_value(market) AS market, 5 AS n_recent, arg_max(close, bar_no) AS last_close, (SELECT count(*) FROM part WHERE p_brand = symbol) AS n_parts FROM bars GROUP BY symbol"))
+      q.sql(q.DAILY, "SELECT symbol, any_value(market) AS market, least(count(*), 252) AS n_recent, arg_max(close, bar_no) AS last_close, (SELECT count(*) FROM part WHERE p_brand = symbol) AS n_parts FROM bars GROUP BY symbol"))
 
 # ---- set operations and top-k ------------------------------------------------------------------
 R.add("se1_union_keep_last", lambda s, d: joins.keep_last(raw_sessions(s, d).withColumn("day", F.col("ts").cast("date")).select("symbol", "day", "close", "ingest_seq"), ["symbol", "day"], "ingest_seq"),
@@ -268,8 +268,8 @@ R.add("se3_concat_of_tops", lambda s, d: (lambda t: t.where(F.col("market") == "
 R.add("se4_overlap_and_difference", lambda s, d: (lambda a, b: a.intersect(b).withColumn("kind", F.lit("both")).unionByName(a.exceptAll(b).withColumn("kind", F.lit("only"))))(
     bars_daily(s, d).where(is_last()).select("symbol"), WATCH(s, d)),
       q.sql(q.DAILY, "SELECT DISTINCT symbol, CASE WHEN symbol IN (SELECT p_brand FROM part WHERE p_size >= 50) THEN 'both' ELSE 'only' END AS kind FROM bars"))
-R.add("tk1_multi_key_top", lambda s, d: bars_daily(s, d).where(F.col("volume") > 60).orderBy("market", F.desc("volume"), F.desc("close"), "symbol", "ts").limit(25).select("market", *KEY, "volume", "close"),
-      q.sql(q.DAILY, "SELECT market, symbol, ts, volume, close FROM bars WHERE volume > 60 ORDER BY market, volume DESC, close DESC, symbol, ts LIMIT 25"))
+R.add("tk1_multi_key_top", lambda s, d: bars_daily(s, d).orderBy("market", F.desc("volume"), F.desc("close"), "symbol", "ts").limit(25).select("market", *KEY, "volume", "close"),
+      q.sql(q.DAILY, "SELECT market, symbol, ts, volume, close FROM bars ORDER BY market, volume DESC, close DESC, symbol, ts LIMIT 25"))
 R.add("tk2_last_n_per_symbol", lambda s, d: tail(bars_daily(s, d), 20).select(*KEY, "close"),
       q.sql(q.DAILY, "SELECT symbol, ts, close FROM bars WHERE bar_no >= n_bars - 20"))
 R.add("tk3_first_max", lambda s, d: bars_daily(s, d).groupBy("symbol").agg(F.max_by("ts", F.struct("volume", -F.col("bar_no"))).alias("ts"), F.max("volume").alias("volume")),

@@ -45,8 +45,8 @@ def add(name, op, ctes, select, last="scan"):
     R.add(name, lambda s, d: op(scan(s, d)).select(*[fix(c, v[1]).alias(c) if isinstance(v, tuple) else F.col(c) for c, v in select.items()]), q.sql([SCAN, *ctes], f"SELECT {cols} FROM {last}"))
 
 
-add("r6_volatility_size", lambda x: risk.volatility_size(x.where("last_close > 0").select("symbol", F.lit(100000.0).alias("capital"), F.col("last_close").alias("entry_price"), F.col("atr_pct").alias("atr"), (F.col("crash_level") / 4).alias("crash_multiplier"))),
-    ["w AS (SELECT * FROM scan WHERE last_close > 0)"], {"symbol": "symbol", "shares": ("CASE WHEN atr_pct > 0 THEN least(2000 / (atr_pct * 2), 25000 / last_close) * crash_level / 4 ELSE 0 END", 4)}, "w")
+add("r6_volatility_size", lambda x: risk.volatility_size(x.select("symbol", F.lit(100000.0).alias("capital"), F.col("last_close").alias("entry_price"), F.col("atr_pct").alias("atr"), (F.col("crash_level") / 4).alias("crash_multiplier"))),
+    ["w AS (SELECT * FROM scan)"], {"symbol": "symbol", "shares": ("CASE WHEN atr_pct > 0 AND last_close > 0 THEN least(2000 / (atr_pct * 2), 25000 / last_close) * crash_level / 4 ELSE 0 END", 4)}, "w")
 
 
 def trades(s, d):
@@ -107,7 +107,7 @@ FEAT = {"lag_ret_1": f"ln(close / {q.lag('close')})", "lag_ret_5": f"ln(close /
 _rsi, _rl = q.chain("bars", *q.RSI_LAYERS, FEAT)
 R.add("m1_feature_table", lambda s, d: (lambda t: t.select(*KEY, *[fix(c, 5).alias(c) for c in ("rsi_14", *FEAT)]))(ml.feature_table(bars_daily(s, d))[0]),
       q.sql([q.DAILY, *_rsi], f"SELECT symbol, ts, {q.fix('rsi', 5)} AS rsi_14, " + ", ".join(f"{q.fix(f'coalesce({c}, 0)', 5)} AS {c}" for c in FEAT) + f" FROM {_rl}"))
-FC_CFG = ForecastSettings(horizons=(1, 21))
+FC_CFG = ForecastSettings()
 
 
 def features(s, d):
@@ -122,15 +122,15 @@ def models(s, d):
     key = (s.sparkContext.applicationId, d)
     if key not in _MODELS:
         t, names = features(s, d)
-        _MODELS[key] = ml.train(t, names, FC_CFG, trees=5, depth=3)
+        _MODELS[key] = ml.train(t, names, FC_CFG)
     return _MODELS[key]
 
 
 R.add("m2_panel_forecasts", lambda s, d: ml.forecast(features(s, d)[0].where(is_last()), models(s, d), FC_CFG).select("symbol", *[F.round(c, 2).alias(c) for h in FC_CFG.horizons for c in (f"ai_target_{h}d", f"ai_lower_{h}d", f"ai_upper_{h}d")]))
-M3 = ["m3a AS (SELECT symbol, last_close AS c, last_close * (0.97 + (k % 60) / 1000.0e0) AS lo, last_close * (0.975 + (k % 90) / 1000.0e0) AS hi FROM scan WHERE last_close > 0)", "m3b AS (SELECT *, greatest(0, least(1, 1 - (hi - lo) / c / 0.05)) AS cf FROM m3a)"]
-add("m3_forecast_signals", lambda x: ml.forecast_signals(x.where("last_close > 0").select("symbol", F.col("last_close").alias("close"), F.expr("last_close * (0.97 + (k % 60) / 1000.0e0)").alias("ai_lower_1d"), F.expr("last_close * (0.975 + (k % 90) / 1000.0e0)").alias("ai_upper_1d"))), M3,
+M3 = ["m3a AS (SELECT symbol, last_close AS c, last_close * (0.97 + (k % 60) / 1000.0e0) AS lo, last_close * (0.975 + (k % 90) / 1000.0e0) AS hi FROM scan)", "m3b AS (SELECT *, CASE WHEN c > 0 THEN greatest(0, least(1, 1 - (hi - lo) / c / 0.05)) ELSE 0 END AS cf FROM m3a)"]
+add("m3_forecast_signals", lambda x: ml.forecast_signals(x.select("symbol", F.col("last_close").alias("close"), F.expr("last_close * (0.97 + (k % 60) / 1000.0e0)").alias("ai_lower_1d"), F.expr("last_close * (0.975 + (k % 90) / 1000.0e0)").alias("ai_upper_1d"))), M3,
     {"symbol": "symbol", "ai_confidence": ("cf", 5), "ai_veto": "cf < 0.25", "ai_bias": "CASE WHEN cf < 0.25 THEN 0 WHEN ln(hi / c) < -0.001 THEN -1 WHEN ln(lo / c) > 0.001 THEN 1 ELSE 0 END"}, "m3b")
-AN_CFG = VolumePriceSettings(trees=50)
+AN_CFG = VolumePriceSettings()
 
 
 def anomalies(s, d):
@@ -141,6 +141,39 @@ def anomalies(s, d):
 R.add("m4_anomaly_forest", lambda s, d: anomalies(s, d).select(*KEY, F.round("vp_ml_score", 6).alias("vp_ml_score"), "vp_ml_anomaly"))
 R.add("m4_anomaly_signals", lambda s, d: flow.volume_price_detector(bars_daily(s, d).join(anomalies(s, d).select("symbol", "bar_no", "vp_ml_anomaly"), ["symbol", "bar_no"], "left")).groupBy("vp_reason", "vp_signal").agg(F.count(F.lit(1)).alias("n")))
 R.add("m5_fit_report", lambda s, d: ml.fit_report(features(s, d)[0], models(s, d), features(s, d)[1]).withColumns({"importance": F.round("importance", 6), "r2": F.round("r2", 6), "mae": F.round("mae", 6)}))
+
+
+def forecast_rows_by_horizon(s, d):
+    """One row per symbol and horizon: is the band in order around the target, and is there a model."""
+    f = ml.forecast(features(s, d)[0].where(is_last()), models(s, d), FC_CFG)
+    each = [F.struct(F.lit(h).alias("horizon"), F.col(f"ai_status_{h}d").alias("status"), F.coalesce((F.col(f"ai_lower_{h}d") <= F.col(f"ai_upper_{h}d")) & (F.col(f"ai_target_{h}d") > 0), F.lit(False)).alias("in_order"),
+                     F.coalesce(F.col(f"ai_lower_{h}d") >= F.col("close") * 0.36, F.lit(False)).alias("clipped")) for h in FC_CFG.horizons]
+    return f.select("symbol", F.explode(F.array(*each)).alias("r")).select("symbol", "r.*")
+
+
+R.add("m2_forecast_bands", forecast_rows_by_horizon,
+      q.sql([q.DAILY, f"h AS (SELECT unnest({list(FC_CFG.horizons)}) AS horizon)", "l AS (SELECT h.horizon, count(*) AS n FROM h JOIN bars ON bar_no < n_bars - h.horizon WHERE close > 0 GROUP BY 1)",
+             "y AS (SELECT symbol, arg_max(close, bar_no) AS last FROM bars GROUP BY symbol)"],
+            f"SELECT symbol, horizon, CASE WHEN n >= {FC_CFG.min_rows} THEN 'OK' ELSE 'NO_MODEL' END AS status, n >= {FC_CFG.min_rows} AND last > 0 AS in_order, n >= {FC_CFG.min_rows} AS clipped FROM y, l"))
+MORE = {"volume_z": f"(volume - {q.mean('volume', 20, 5)}) / nullif({q.std('volume', 20, 5)}, 0)", "price_range": "(high - low) / nullif(close, 0)", "vp_divergence": "volume_ratio * abs(price_change)"}
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ml.ANOMALY_FEATURES)
+
+
+def forest_invariants(s, d):
+    """Rows with all features, flagged rows, and whether every flagged row scores below every other one."""
+    a = anomalies(s, d).where(F.expr(COMPLETE))
+    low, high = F.max(F.when(F.col("vp_ml_anomaly"), F.col("vp_ml_score"))), F.min(F.when(~F.col("vp_ml_anomaly"), F.col("vp_ml_score")))
+    n = F.count(F.lit(1))
+    share = F.count_if("vp_ml_anomaly") / n
+    return a.agg(n.alias("n_complete"), (low < high).alias("below_the_rest"), F.min(F.col("vp_ml_score").between(-1, 0)).alias("in_range"),
+                 (F.abs(share - AN_CFG.contamination) <= 0.005).alias("share_as_set"))
+
+
+R.add("m4_forest_invariants", forest_invariants,
+      q.sql([q.DAILY, *q.chain("bars", *VP_LAYERS, MORE)[0]], f"SELECT count(*) AS n_complete, true AS below_the_rest, true AS in_range, true AS share_as_set FROM {q.chain('bars', *VP_LAYERS, MORE)[1]} WHERE {COMPLETE}"))
+R.add("m5_feature_ranks", lambda s, d: ml.fit_report(features(s, d)[0], models(s, d), features(s, d)[1]).agg(
+    F.count(F.lit(1)).alias("features"), F.sum("rank").alias("ranks"), F.round(F.sum("importance"), 6).alias("importance"), F.bool_and(F.col("certified") == (F.col("r2") > 0)).alias("certified_by_r2")),
+      f"SELECT count(*) AS features, sum(r)::BIGINT AS ranks, 1.0::DOUBLE AS importance, true AS certified_by_r2 FROM (SELECT unnest(range(1, {len(ml.BASE_FEATURES)} + 1)) AS r)")
 R.add("m6_walk_forward_cutoffs", lambda s, d: ml.walk_forward_cutoffs(bars_daily(s, d)).select("symbol", "ts", "cut_no"),
       q.sql(q.DAILY, "SELECT symbol, ts, bar_no AS cut_no FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS e FROM bars) WHERE n_bars >= 260 AND bar_no >= 120 AND bar_no < n_bars - 64 AND (bar_no - 120) % 21 = 0 AND ts >= CAST(CAST(e AS DATE) - INTERVAL 12 MONTH AS TIMESTAMP)"))
 

@@ -114,9 +114,9 @@ EST = ["e0 AS (SELECT *, smc_entry_status IN ('READY', 'NEAR') AND smc_entry_low
 add("x11_entry_stop_target", sc.entry_stop_target, EST, {"symbol": "symbol", "entry": ("CASE WHEN zn THEN (smc_entry_low + smc_entry_high) / 2 ELSE e END", 4), "stop_loss": ("CASE WHEN zn THEN smc_entry_stop ELSE s END", 4), "target": ("CASE WHEN zn THEN smc_entry_target ELSE t2 END", 4),
     "reward_risk": ("CASE WHEN zn THEN CASE WHEN smc_entry_rr > 0 THEN smc_entry_rr ELSE (smc_entry_target - smc_entry_high) / greatest(smc_entry_high - smc_entry_stop, 1e-9) END ELSE (t2 - e) / greatest(e - s, 1e-9) END", 3)})
 TP = ["t0 AS (SELECT *, CASE WHEN wyckoff_target > 0 THEN greatest(ai_target, wyckoff_target) ELSE ai_target END AS g, CASE ai_bias WHEN 'Bullish' THEN last_close * 0.96 WHEN 'Bearish' THEN last_close * 1.04 ELSE last_close * 0.95 END AS st FROM scan)"]
-_prr = "CASE WHEN ai_bias = 'Bullish' THEN round_even((g - last_close) / (last_close - st), 2) WHEN ai_bias = 'Bearish' THEN round_even((last_close - g) / (st - last_close), 2) ELSE 0 END"
-R.add("x12_trade_plan", lambda s, d: sc.trade_plan(scan(s, d).where("last_close > 0")).select("symbol", fix("plan_stop", 2).alias("plan_stop"), fix("plan_goal", 2).alias("plan_goal"), fix("plan_rr", 2).alias("plan_rr")),
-      q.sql([SCAN, *TP], f"SELECT symbol, {q.fix('round_even(st, 2)', 2)} AS plan_stop, {q.fix('round_even(g, 2)', 2)} AS plan_goal, {q.fix(_prr, 2)} AS plan_rr FROM t0 WHERE last_close > 0"))
+_prr = "CASE WHEN last_close = st THEN 0 WHEN ai_bias = 'Bullish' THEN round_even((g - last_close) / (last_close - st), 2) WHEN ai_bias = 'Bearish' THEN round_even((last_close - g) / (st - last_close), 2) ELSE 0 END"
+R.add("x12_trade_plan", lambda s, d: sc.trade_plan(scan(s, d)).select("symbol", fix("plan_stop", 2).alias("plan_stop"), fix("plan_goal", 2).alias("plan_goal"), fix("plan_rr", 2).alias("plan_rr")),
+      q.sql([SCAN, *TP], f"SELECT symbol, {q.fix('round_even(st, 2)', 2)} AS plan_stop, {q.fix('round_even(g, 2)', 2)} AS plan_goal, {q.fix(_prr, 2)} AS plan_rr FROM t0"))
 R.add("x13_buy_alerts", lambda s, d: sc.buy_alerts(scan(s, d)).select("symbol", "smc_entry_status", "smc_entry_score"),
       q.sql(SCAN, "SELECT symbol, smc_entry_status, smc_entry_score FROM scan WHERE smc_entry_status IN ('READY', 'NEAR') AND NOT veto AND market IN ('VN', 'TW') AND smc_entry_score >= 6 AND smc_entry_rr >= 1.4 AND NOT (smc_entry_status = 'NEAR' AND smc_entry_distance_pct > 1.5) AND qmf_signal >= 0 AND stoch_state <> 'OVERBOUGHT' AND institutional_score >= 0.05 ORDER BY CASE smc_entry_status WHEN 'READY' THEN 0 ELSE 1 END, smc_entry_score DESC, institutional_score DESC, smc_entry_distance_pct, symbol LIMIT 10"))
 add("x14_alert_keys", lambda x: x.withColumn("alert_key", sc.alert_key()), [], {"symbol": "symbol", "alert_key": "market || '|' || symbol || '|' || smc_entry_status || '|' || smc_entry_type || '|' || printf('%.2f', round_even(smc_entry_low, 2)) || '-' || printf('%.2f', round_even(smc_entry_high, 2))"})
@@ -177,17 +177,18 @@ R.add("x_universe_scan", lambda s, d: sc.universe_scan(bars_daily(s, d), benchma
 
 def with_forecast(x):
     """One forecast row per scan row; the horizon follows the key."""
-    return x.where("last_close > 0").withColumns({
+    return x.withColumns({
         "horizon": F.expr("CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 21 ELSE 63 END"), "current_price": F.col("last_close"), "predicted_return": F.col("pred_21d_ret") / 5,
         "predicted_lower": F.col("last_close") * 0.97, "predicted_upper": F.col("last_close") * 1.04, "predicted_price": F.col("last_close") * (F.col("pred_21d_ret") / 500 + 1), "confidence": F.col("confidence_boosted"), "bias": pl.bias_label(F.col("pred_21d_ret") / 5)})
 
 
-FC = "fc AS (SELECT *, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 21 ELSE 63 END AS horizon, last_close AS cur, pred_21d_ret / 5 AS pr, CASE WHEN pred_21d_ret / 5 > 1 THEN '🟢 BULLISH' WHEN pred_21d_ret / 5 < -1 THEN '🔴 BEARISH' ELSE '🟡 NEUTRAL' END AS bias FROM scan WHERE last_close > 0)"
+FC = "fc AS (SELECT *, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 21 ELSE 63 END AS horizon, last_close AS cur, pred_21d_ret / 5 AS pr, CASE WHEN pred_21d_ret / 5 > 1 THEN '🟢 BULLISH' WHEN pred_21d_ret / 5 < -1 THEN '🔴 BEARISH' ELSE '🟡 NEUTRAL' END AS bias FROM scan)"
 add("m7_bias_labels", with_forecast, [FC], {"symbol": "symbol", "horizon": "horizon", "bias": "bias"})
 CAL = [FC, "c0 AS (SELECT *, greatest(-1, least(1, wyckoff_score * 0.45 + smc_score * 0.35 + qmf_score * 0.20)) AS prior, stoch_k > 85 AND stoch_d > 85 AS ov, stoch_k < 15 AND stoch_d < 15 AS un, CASE horizon WHEN 1 THEN 0.25 WHEN 5 THEN 0.45 WHEN 21 THEN 0.70 ELSE 0.90 END AS hs FROM fc)",
        "c1 AS (SELECT *, pr / 100 + prior * 0.015 * hs AS r0 FROM c0)", "c2 AS (SELECT *, CASE WHEN (ov AND r0 > 0) OR (un AND r0 < 0) THEN r0 * CASE WHEN horizon <= 5 THEN 0.70 ELSE 0.85 END ELSE r0 END AS rt FROM c1)",
        "c3 AS (SELECT *, cur * (rt + 1) AS pp, greatest(0.01, least(0.22, abs(cur * 1.04 - cur * 0.97) / greatest(cur, 1e-9) * CASE WHEN wyckoff_phase = 'RANGE' OR abs(smc_score) < 0.12 THEN 1.15 ELSE 1 END * CASE WHEN ov OR un THEN 1.1 ELSE 1 END)) AS bd, greatest(0, least(1, confidence_boosted + CASE WHEN sign(pr / 100) = sign(prior) THEN 0.08 ELSE -0.08 END * least(abs(prior), 1) - CASE WHEN ov OR un THEN 0.03 ELSE 0 END - CASE WHEN qmf_signal = 0 THEN 0.02 ELSE 0 END)) AS cf FROM c2)"]
-add("x19_calibrated_forecasts", lambda x: pl.calibrate(with_forecast(x)), CAL, {"symbol": "symbol", "horizon": "horizon", "predicted_price": ("pp", 4), "predicted_return": ("rt * 100", 5), "predicted_lower": ("pp * (1 - bd / 2)", 4), "confidence": ("cf", 6)})
+add("x19_calibrated_forecasts", lambda x: pl.calibrate(with_forecast(x)), CAL, {"symbol": "symbol", "horizon": "horizon", "predicted_price": ("CASE WHEN cur > 0 THEN pp ELSE cur * (pred_21d_ret / 500 + 1) END", 4), "predicted_return": ("CASE WHEN cur > 0 THEN rt * 100 ELSE pr END", 5),
+     "predicted_lower": ("CASE WHEN cur > 0 THEN pp * (1 - bd / 2) ELSE cur * 0.97 END", 4), "confidence": ("CASE WHEN cur > 0 THEN cf ELSE confidence_boosted END", 6)})
 VETO = [FC, "vt AS (SELECT *, CASE WHEN stoch_k > 88 AND stoch_d > 85 AND qmf_signal < 0 AND pr > 0 THEN 'OVERBOUGHT_OUTFLOW' WHEN stoch_k < 12 AND stoch_d < 15 AND qmf_signal > 0 AND pr < 0 THEN 'OVERSOLD_INFLOW' WHEN abs(smc_score) < 0.08 AND abs(qmf_score) < 0.10 AND abs(pr) > 1.2 THEN 'LOW_CONVICTION_HIGH_FORECAST' ELSE 'NONE' END AS vr FROM fc)"]
 add("x20_auto_veto", lambda x: pl.merge_vetoes(pl.auto_veto(with_forecast(x)), {"flag_b": "VAR_GATE"}), VETO,
     {"symbol": "symbol", "veto_active": "vr <> 'NONE' OR flag_b", "veto_reason": "CASE WHEN vr <> 'NONE' AND flag_b THEN vr || ' | VAR_GATE' WHEN flag_b THEN 'VAR_GATE' ELSE vr END", "veto_severity": "CASE WHEN vr <> 'NONE' OR flag_b THEN 'HIGH' ELSE 'LOW' END"})
@@ -211,8 +212,8 @@ _t = lambda x: f"least(10, greatest(0, CAST(trunc({x}) AS INT)))"
 SM = [f"sm0 AS (SELECT *, CASE WHEN smc_signal <> 0 THEN {_t('(smc_score + 1) * 5')} ELSE 5 END AS f0, 5 AS f1, {_t('(confluence_score + 9) / 18 * 10')} AS f2, CASE WHEN elliott_confidence IS NULL THEN NULL WHEN elliott_bias = 'Bullish' THEN {_t('floor(elliott_confidence / 10)')} WHEN elliott_bias = 'Bearish' THEN {_t('10 - floor(elliott_confidence / 10)')} ELSE 5 END AS f3, CASE WHEN data_coverage >= 40 AND fundamental_grade <> 'N/A' THEN CAST(trunc(total_score / 10) AS INT) END AS f4, {_t('(smc_score * 0.5 + 0.5) * 10')} AS f5 FROM scan)",
       "sm1 AS (SELECT *, (f0 * 2.0 + f1 * 1.5 + f2 * 2.0 + coalesce(f3, 0) * 1.5 + coalesce(f4, 0) * 1.5 + f5 * 1.0)::DOUBLE / (65 + CASE WHEN f3 IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN f4 IS NOT NULL THEN 15 ELSE 0 END) * 100 AS cp, (f0 >= 7)::INT + (f1 >= 7)::INT + (f2 >= 7)::INT + coalesce((f3 >= 7)::INT, 0) + coalesce((f4 >= 7)::INT, 0) + (f5 >= 7)::INT AS nh, 4 + (f3 IS NOT NULL)::INT + (f4 IS NOT NULL)::INT AS nc FROM sm0)"]
 add("x25_signal_matrix", pl.signal_matrix, SM, {"symbol": "symbol", "composite": ("cp", 4), "conviction": "CASE WHEN nh >= nc * 0.6 THEN 'HIGH' WHEN nh >= nc * 0.4 THEN 'MEDIUM' ELSE 'LOW' END"})
-RD = ["rd AS (SELECT *, abs(last_close - e) / e AS ds FROM (SELECT *, CASE WHEN flag_b THEN NULL ELSE last_close * (1 + (k % 30) / 1000.0e0) END AS e FROM scan WHERE last_close > 0))", "rd1 AS (SELECT *, CASE WHEN e IS NULL THEN 'DISABLED' WHEN ds < 0.005 THEN 'READY' WHEN ds < 0.015 THEN 'ALMOST' ELSE 'WAITING' END AS b FROM rd)"]
-add("x26_readiness", lambda x: pl.readiness(x.where("last_close > 0").withColumns({"current_price": F.col("last_close"), "entry": F.expr("CASE WHEN flag_b THEN NULL ELSE last_close * (1 + (k % 30) / 1000.0e0) END"), "stop": F.col("last_close") * 0.9, "target": F.col("last_close") * 1.2, "confidence": F.col("confidence_boosted"), "pattern": F.expr("CASE WHEN k % 7 = 0 THEN 'BULL FLAG' ELSE 'None' END")})), RD,
+RD = ["rd AS (SELECT *, abs(last_close - e) / e AS ds FROM (SELECT *, CASE WHEN flag_b THEN NULL ELSE last_close * (1 + (k % 30) / 1000.0e0) END AS e FROM scan))", "rd1 AS (SELECT *, CASE WHEN e IS NULL THEN 'DISABLED' WHEN ds < 0.005 THEN 'READY' WHEN ds < 0.015 THEN 'ALMOST' ELSE 'WAITING' END AS b FROM rd)"]
+add("x26_readiness", lambda x: pl.readiness(x.withColumns({"current_price": F.col("last_close"), "entry": F.expr("CASE WHEN flag_b THEN NULL ELSE last_close * (1 + (k % 30) / 1000.0e0) END"), "stop": F.col("last_close") * 0.9, "target": F.col("last_close") * 1.2, "confidence": F.col("confidence_boosted"), "pattern": F.expr("CASE WHEN k % 7 = 0 THEN 'BULL FLAG' ELSE 'None' END")})), RD,
     {"symbol": "symbol", "ready_status": "CASE WHEN b = 'READY' AND (confidence_boosted > 0.7 OR abs(smc_score) > 0.4) THEN 'TRIGGER' WHEN e IS NOT NULL AND k % 7 = 0 THEN 'PYRAMID' ELSE b END", "tp1": ("e + (last_close * 1.2 - e) * 0.5", 4)})
 add("x27_allocation_mode", lambda x: x.withColumn("mode", pl.allocation_mode(F.col("crash_level"), F.col("regime"))), [], {"symbol": "symbol", "mode": "CASE WHEN crash_level >= 2 THEN 'DEFENSIVE' WHEN regime = 'BULL' THEN 'OFFENSIVE' ELSE 'NEUTRAL' END"})
 

@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
 from tickloom.operators.news import GeoSettings, causal_map, execution_gate, geo_risk
@@ -125,19 +126,31 @@ def batch_notice(batch: DataFrame, batch_id: int) -> DataFrame:
     return batch.agg(F.count(F.lit(1)).alias("n_rows")).withColumns({"batch_id": F.lit(batch_id), "notice": F.when(F.col("n_rows") == 0, "NO_NEW_DATA").otherwise("OK")})
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None,
+                  keys: tuple[str, ...] = ()) -> DataFrame:
     """Drive a stream over all landed data and read the result back. Every micro-batch overwrites its own
-    folder, so a batch that is run again after a failure replaces its output."""
+    folder, so a batch that is run again after a failure replaces its output. In complete mode the last batch is the
+    result; in update mode the last row of each of ``keys`` is."""
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
     spark: SparkSession = stream.sparkSession
     schema = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = each(batch, batch_id) if each else batch
         schema["out"] = out.schema
-        out.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        out.write.mode("overwrite").parquet(f"{path}/out/batch_no={batch_id}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     if "out" not in schema:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(schema["out"]).parquet(*[f"{path}/out/batch=*"])
+    columns = schema["out"].names
+    landed = spark.read.schema(T.StructType([*schema["out"].fields, T.StructField("batch_no", T.IntegerType())])).parquet(f"{path}/out")
+    if mode == "complete":
+        last = spark.read.parquet(f"{path}/out").agg(F.max("batch_no")).scalar()
+        landed = landed.where(F.col("batch_no") == F.coalesce(last, F.lit(-1)))
+    elif mode == "update":
+        rest = [c for c in columns if c not in keys]
+        landed = landed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_r")).select(*keys, "_r.*")
+    return landed.select(*columns)
