@@ -14,8 +14,8 @@ from tickloom.llm.queries import QUERIES
 def pieces(text: str | None) -> set:
     out = set()
     for line in (text or "").split("\n"):
-        w = re.findall(r"[^\x20\x09-\x0D]+", line)
-        out |= {tuple(w[i : i + iblt.PIECE]) for i in range(0, len(w), iblt.PIECE)}
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        out |= {line[at[i][0] : at[min(i + iblt.PIECE, len(at)) - 1][1]] for i in range(0, len(at), iblt.PIECE)}
     return out
 
 

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tickloom.llm.common import SPACE, once
+from tickloom.llm.common import WORD, once
 
 #: Words of a piece of a paragraph, digests per section, cells (per hash function) of the stored fingerprint, rounds of peeling.
-PIECE, SECTION, CELLS, ROUNDS = 16, 256, 4, 24
+PIECE, SECTION, CELLS, ROUNDS = 32, 256, 4, 24
+PIECES = rf"{WORD}(?:[\x20\x09\x0B-\x0D]+{WORD}){{0,{PIECE - 1}}}"
 #: Cells per digest that may differ, by retry. Three hash functions need 1.23 in the long run, small sets more.
 RETRIES = (0.7, 1.5, 2.5)
 #: Rows of one range of ids.
@@ -32,11 +33,9 @@ _NONE = f"array<{_CELL}>"
 
 
 def digests(text: Column) -> Column:
-    """The sorted distinct digests of a text's paragraph pieces."""
-    words = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.filter(F.split(line, SPACE), lambda w: w != ""))
-    pieces = F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda w: F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PIECE).cast("int")), lambda k: F.xxhash64(F.array_join(F.slice(w, k * PIECE + 1, F.lit(PIECE)), " "))))
-    return F.array_sort(F.array_distinct(F.flatten(pieces)))
+    """The sorted distinct digests of a text's paragraph pieces: runs of words within a line."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda piece: F.xxhash64(piece))))
 
 
 def _check(key: Column) -> Column:
@@ -59,7 +58,7 @@ def _fold(entries: Column) -> Column:
         return F.when(cur["c"] == x["c"], F.named_struct(F.lit("done"), acc["done"], F.lit("cur"), both)).otherwise(
             F.named_struct(F.lit("done"), _with(acc["done"], cur), F.lit("cur"), x))
 
-    return F.aggregate(F.array_sort(entries), start, add, lambda acc: _with(acc["done"], acc["cur"]))
+    return F.aggregate(F.sort_array(entries), start, add, lambda acc: _with(acc["done"], acc["cur"]))
 
 
 def _with(done: Column, cell: Column) -> Column:
@@ -79,15 +78,16 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(difference: Column, cells: Column) -> Column:
     """struct(cells: what is left, found: digests with the side they are on, 1 or -1)."""
-    found = "array<struct<n:int,key:bigint>>"
-    start = F.struct(difference.alias("cells"), F.array().cast(found).alias("found"))
+    start = F.struct(difference.alias("cells"), F.array().cast("array<struct<n:int,key:bigint>>").alias("found"), F.lit(True).alias("live"))
+    state3 = lambda cells, found, live: F.named_struct(F.lit("cells"), cells, F.lit("found"), found, F.lit("live"), live)
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["chk"] == _check(x["key"])))
         new = F.array_distinct(F.transform(pure, lambda x: F.named_struct(F.lit("n"), x["n"], F.lit("key"), x["key"])))
-        done = lambda s: F.named_struct(F.lit("cells"), _fold(F.concat(state["cells"], F.flatten(F.transform(s, lambda k: _entries(k["key"], -k["n"], cells))))),
-                                        F.lit("found"), F.concat(state["found"], s))
-        return F.when(F.size(state["cells"]) == 0, state).otherwise(F.get(F.transform(F.array(new), lambda s: F.when(F.size(s) == 0, state).otherwise(done(s))), F.lit(0)))
+        gone = lambda s: F.flatten(F.transform(s, lambda k: _entries(k["key"], -k["n"], cells)))
+        on = lambda s: F.when(F.size(s) == 0, state3(state["cells"], state["found"], F.lit(False))).otherwise(
+            state3(_fold(F.concat(state["cells"], gone(s))), F.concat(state["found"], s), F.lit(True)))
+        return F.when(~state["live"] | (F.size(state["cells"]) == 0), state).otherwise(F.get(F.transform(F.array(new), on), F.lit(0)))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
@@ -97,15 +97,16 @@ def _sections(a: Column, b: Column) -> Column:
 
 
 def _attempt(a: Column, b: Column, per_digest: float) -> Column:
-    """Per section: what is left after peeling the difference, and the digests found."""
+    """Per section: what is left after peeling the difference, and the digests found. Sketches are linear, so both sides' entries
+    are added up at once, one side's negative."""
     n = _sections(a, b)
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
 
     def section(s: Column) -> Column:
-        mine = lambda keys: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(11)), n) == s)
-        cells = lambda x: F.ceil((F.size(x["a"]) + F.size(x["b"]) + 6) * per_digest / 3).cast("int")
-        sets = F.named_struct(F.lit("a"), mine(a), F.lit("b"), mine(b))
-        work = lambda x: peel(subtract(sketch(x["a"], cells(x)), sketch(x["b"], cells(x))), cells(x))
-        return F.get(F.transform(F.array(sets), work), F.lit(0))
+        mine = lambda keys: F.when(n == 1, keys).otherwise(F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(11)), n) == s))
+        all_of = lambda x: F.concat(*[F.flatten(F.transform(x[side], lambda k: _entries(k, F.lit(sign), x["cells"]))) for side, sign in (("a", 1), ("b", -1))])  # noqa: E731, B023
+        sized = lambda x: F.named_struct(F.lit("a"), x["a"], F.lit("b"), x["b"], F.lit("cells"), F.ceil((F.size(x["a"]) + F.size(x["b"]) + 6) * per_digest / 3).cast("int"))
+        return bound(F.named_struct(F.lit("a"), mine(a), F.lit("b"), mine(b)), lambda x: bound(sized(x), lambda y: peel(_fold(all_of(y)), y["cells"])))
 
     return F.transform(F.sequence(F.lit(0), n - 1), section)
 

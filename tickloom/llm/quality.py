@@ -53,7 +53,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("_w")
     windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i), F.get("_w", i + 1)))
     d = once(d, _h=F.when(n > 2, windows).otherwise(F.array().cast("array<bigint>")))
-    placed = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = once(d, _p=F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     same = lambda x, k: F.coalesce((F.get("_p", k - 1)["h"] == x["h"]) | (k == -1), F.lit(False)) | F.coalesce(F.get("_p", k + 1)["h"] == x["h"], F.lit(False))
     d = once(d, _s=F.sort_array(F.transform(F.filter("_p", same), lambda x: x["i"])))
