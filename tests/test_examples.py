@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import collect, to_bars, walk
-from tickloom.operators import clean, flow, plans, risk, scanner, smc, wyckoff
+from tickloom.operators import clean, flow, risk, scanner, smc, trade_plans as plans, wyckoff
 from tickloom.operators import indicators as ind
 
 

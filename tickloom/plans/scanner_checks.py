@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.series import at_last, is_last, tail
 from tickloom.operators import context as cx
-from tickloom.operators import plans as pl
+from tickloom.operators import trade_plans as pl
 from tickloom.operators import scanner as sc
 from tickloom.operators import clean, wyckoff
 from tickloom.operators.confluence import confluence, timeframe_bias

@@ -12,8 +12,9 @@ from tickloom.operators import flow, indicators as ind, scanner as sc
 from tickloom.operators import profile, risk
 from tickloom.plans import sqlkit as q
 from tickloom.plans.clean_join_checks import INSTR, instruments, raw_sessions, SESS
-from tickloom.plans.flow_context_checks import GR, FS, QMF_LAYERS, QUOTES, statement
+from tickloom.plans.flow_context_checks import BINS, FS, GR, QMF_LAYERS, QUOTES, SPAN, statement
 from tickloom.plans.registry import KEY, Registry, fix, rounded, sel
+from tickloom.plans.risk_ml_checks import var_sql
 from tickloom.plans.scanner_checks import MID, RATED, SCAN, SHORT, rated, scan
 from tickloom.session import shared_dir
 from tickloom.sources import registry, store
@@ -177,7 +178,10 @@ R.add("u2_market_readers", from_registry, q.sql(q.DAILY, "SELECT market, count(*
 R.add("u3_native_row_functions", lambda s, d: bars_daily(s, d).select(*KEY, F.when(F.col("close") > F.col("open"), "up").when(F.col("close") < F.col("open"), "down").otherwise("flat").alias("bar_kind")),
       q.sql(q.DAILY, "SELECT symbol, ts, CASE WHEN close > open THEN 'up' WHEN close < open THEN 'down' ELSE 'flat' END AS bar_kind FROM bars"))
 R.add("u4_group_transforms", lambda s, d: ind.sma(bars_daily(s, d), (5,)).select(*KEY, fix(F.try_divide("close", "sma_5"), 5).alias("ma_5_rel")), q.sql(q.DAILY, f"SELECT symbol, ts, {q.fix('close / ' + q.mean('close', 5), 5)} AS ma_5_rel FROM bars"))
-R.add("u5_aggregating_kernels", lambda s, d: profile.profile_levels(bars_daily(s, d)).join(risk.value_at_risk(bars_daily(s, d)), "symbol").select("symbol", F.size("levels").alias("n_levels"), (F.col("var_pct") > 0).alias("has_var")),
-      q.sql(q.DAILY, "SELECT DISTINCT symbol, 3 AS n_levels, true AS has_var FROM bars"))
+R.add("u5_aggregating_kernels", lambda s, d: profile.profile_levels(bars_daily(s, d)).join(risk.value_at_risk(bars_daily(s, d)), "symbol").select(
+    "symbol", F.size("levels").alias("n_levels"), fix(F.aggregate("levels", F.lit(0.0), lambda a, x: a + x), 3).alias("levels"), fix("var_pct", 6).alias("var_pct")),
+      q.sql([*var_sql("true"), SPAN(80), BINS(24), "lv AS (SELECT symbol, (lo + b * ((hi - lo) / 24) + (lo + (b + 1) * ((hi - lo) / 24))) / 2 AS level FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY vol DESC, b DESC) AS rn FROM bv) WHERE rn <= 3)",
+             "ls AS (SELECT symbol, count(*) AS n, sum(level) AS s FROM lv GROUP BY symbol)"],
+            f"SELECT symbol, ls.n AS n_levels, {q.fix('s', 3)} AS levels, {q.fix('abs(v)', 6)} AS var_pct FROM ls JOIN v2 USING (symbol)"))
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -86,6 +86,12 @@ ZONES = lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("sy
 
 R.add("st9_zone_alerts", lambda s, d: run(s, bar_stream(s, d), each=st.alert_once(out(s), ZONES(s, d))).select("alert_key"),
       q.sql([q.HOURLY, "z AS (SELECT event_type AS symbol, quantile_cont(value, 0.98) AS bottom, quantile_cont(value, 0.99) AS top FROM events GROUP BY 1)"], "SELECT DISTINCT h.symbol || '|' || strftime(h.ts, '%Y-%m-%d') || '|' || printf('%.2f-%.2f', bottom, top) AS alert_key FROM hours h JOIN z USING (symbol) WHERE low <= top AND high >= bottom"))
-R.add("st10_batch_notices", lambda s, d: run(s, source(s, d), each=st.batch_notice).agg(F.sum("n_rows").alias("n_rows"), F.max("notice").alias("notice")), "SELECT CAST(count(*) AS BIGINT) AS n_rows, 'OK' AS notice FROM events")
+def notices(s, d):
+    """A batch with all events, and one in which no event is left."""
+    full = run(s, source(s, d), each=st.batch_notice)
+    return full.unionByName(run(s, source(s, d).where("event_type = 'none of the given ones'"), each=st.batch_notice)).groupBy("notice").agg(F.sum("n_rows").alias("n_rows"))
+
+
+R.add("st10_batch_notices", notices, "SELECT CASE WHEN keep THEN 'OK' ELSE 'NO_NEW_DATA' END AS notice, CAST(count(*) FILTER (keep) AS BIGINT) AS n_rows FROM events, (VALUES (true), (false)) v(keep) GROUP BY keep")
 
 QUERIES, ORACLES = R.queries, R.oracles

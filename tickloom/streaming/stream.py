@@ -78,13 +78,21 @@ def risk_slice(events: DataFrame, now: Column, cfg: GeoSettings = GeoSettings())
 
 
 def risk_over_history(path: str, normalize: Callable[[DataFrame], DataFrame], cfg: GeoSettings = GeoSettings()) -> Callable[[DataFrame, int], DataFrame]:
-    """A foreachBatch step that lands each batch and scores the look-back over all landed batches, so the
-    risk does not depend on how the stream was cut into batches."""
+    """A foreachBatch step that lands each batch by day and scores the look-back over all landed batches, so the
+    risk does not depend on how the stream was cut into batches. Only days that the look-back reaches are read, and
+    the newest time so far is carried from batch to batch."""
 
     def step(batch: DataFrame, batch_id: int) -> DataFrame:
-        batch.write.mode("overwrite").parquet(f"{path}/history/batch={batch_id}")
-        landed = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/history")
-        end = landed.agg(F.max("ts")).scalar()
+        spark = batch.sparkSession
+        batch.withColumn("_day", F.to_date("ts")).write.mode("overwrite").partitionBy("_day").parquet(f"{path}/history/_batch={batch_id}")
+        ends = batch.agg(F.max("ts").alias("end"))
+        if batch_id > 0:
+            ends = ends.union(spark.read.schema(ends.schema).parquet(f"{path}/end/batch={batch_id - 1}"))
+        ends.agg(F.max("end").alias("end")).write.mode("overwrite").parquet(f"{path}/end/batch={batch_id}")
+        end = F.lit(str(spark.read.schema(ends.schema).parquet(f"{path}/end/batch={batch_id}").first()[0])).try_cast("timestamp_ntz")
+        schema = T.StructType([*batch.schema.fields, T.StructField("_batch", T.IntegerType()), T.StructField("_day", T.DateType())])
+        landed = spark.read.schema(schema).parquet(f"{path}/history").where(F.col("_batch") <= batch_id)
+        landed = landed.where(F.col("_day") >= F.date_sub(end.cast("date"), cfg.lookback_hours // 24 + 1)).drop("_batch", "_day")
         return risk_slice(normalize(landed), end, cfg).drop("latest_event_ts")
 
     return step
