@@ -69,3 +69,17 @@ def merged_array(chunks: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.n
     for k, part in chunks.rdd.map(lambda r: (r[0], np.frombuffer(r[1], dtype))).reduceByKey(add, 64).collect():
         out[k * CHUNK : k * CHUNK + len(part)] = part
     return out
+
+
+def most_frequent(df: DataFrame, count: str, size: int) -> DataFrame:
+    """The rows with the largest counts, at most ``size``: all above a threshold that a histogram over the counts' magnitudes
+    gives, so that neither the driver nor a task sees more than these rows."""
+    step = F.floor(F.log2(count) * 16)
+    hist = df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 16 x 63 rows
+    cut, total = None, 0
+    for r in sorted(hist, key=lambda r: -r.step):
+        total += r.n
+        if total > size:
+            break
+        cut = r.step
+    return df.where(step >= cut) if cut is not None else df.limit(0)

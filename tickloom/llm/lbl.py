@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import array_chunks, merged_array
+from tickloom.llm.common import array_chunks, merged_array, most_frequent
 from tickloom.session import materialize
 
 #: Classes: the end, frequent words, endings, and one for the rest.
@@ -182,7 +182,8 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = total + ends, distinct + (ends > 0)
 
-    top = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(max(hot, FREQUENT)).collect()
+    top = most_frequent(counts.where(F.octet_length("word") <= HOT_BYTES), "c", max(hot, FREQUENT)).collect()
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     words = [bytes(r.word) for r in top[:FREQUENT]]
     own = set(words)
     endings = [bytes(r.k) for r in _per_word(counts, lambda w: b" " if w in own else ending(w), "binary").where(F.col("k") != b" ")
