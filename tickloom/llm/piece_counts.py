@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm.common import most_frequent
+from tickloom.session import materialize
+
 #: Pre-tokens joined inside the reading tasks, their longest length in characters, and how many candidates a task proposes.
 HOT, HOT_CHARS, PROPOSED = 200_000, 24, 20_000
 #: Distinct pre-tokens that a task holds before it forgets the rare ones.
@@ -83,7 +86,7 @@ def frequent(docs: DataFrame, pieces: Pieces, text: str = "text", size: int = HO
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top]), pa.array([x[1] for x in top], pa.int64())], names=["token", "n"])
 
     found = docs.select(text).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [r.token for r in found.orderBy(F.desc("n"), "token").limit(size).collect()]
+    return sorted(r.token for r in most_frequent(materialize(found, "proposed"), "n", size).collect())
 
 
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), size: int = HOT) -> DataFrame:
