@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tickloom.llm.common import with_arrow_column
 
 #: Distinct pieces, and token pairs, that a worker remembers before it starts over.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Pieces of more bytes get a whole table from left to right; in shorter ones only the prefixes in question are looked at.
 WHOLE_TABLE = 200
 #: A pre-token's end depends on this many characters behind it at most.

@@ -15,8 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Elements of a merged array that one record carries.
-CHUNK = 4096
+#: Elements of a merged array that one record carries; rows that Python code gets at a time.
+CHUNK, ROWS = 4096, 512
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -40,11 +40,13 @@ def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, source: str, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = None
-        for batch in batches:
+        for whole in batches:
             compute = compute or make()
-            values = compute(batch.column(source).to_pylist())
-            keep = [n for n in batch.schema.names if n != name]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), values], names=[*keep, name])
+            keep = [n for n in whole.schema.names if n != name]
+            for at in range(0, whole.num_rows, ROWS):  # whole batches as Python objects would take much memory
+                batch = whole.slice(at, ROWS)
+                values = compute(batch.column(source).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), values], names=[*keep, name])
 
     return df.mapInArrow(run, schema)
 
