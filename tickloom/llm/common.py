@@ -59,16 +59,22 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def array_chunks(total: np.ndarray) -> pa.RecordBatch:
-    """A task's array as records (chunk, part), without parts that are all zero."""
-    full = [k for k in range(-(-len(total) // CHUNK)) if total[k * CHUNK : (k + 1) * CHUNK].any()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int32()), pa.array([total[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in full], pa.binary())], names=["chunk", "part"])
+    """A task's array as records (chunk, part), without parts that are all zero; parts of small numbers take a byte for each."""
+    parts = {k: total[k * CHUNK : (k + 1) * CHUNK] for k in range(-(-len(total) // CHUNK))}
+    parts = {k: x.astype(np.uint8) if x.max() < 256 else x for k, x in parts.items() if x.any()}
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["chunk", "part"])
 
 
 def merged_array(chunks: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, dtype: type) -> np.ndarray:
     """Adds up an array that every task sends in chunks. Its size is fixed, so the result may go to the driver and to all tasks."""
-    out = np.zeros(size, dtype)
-    for k, part in chunks.rdd.map(lambda r: (r[0], np.frombuffer(r[1], dtype))).reduceByKey(add, 64).collect():
+    if size % CHUNK:
+        raise ValueError(f"{size} is no multiple of {CHUNK}")
+    out, whole = np.zeros(size, dtype), CHUNK
+
+    def wide(part: bytes) -> np.ndarray:
+        return np.frombuffer(part, np.uint8 if len(part) == whole else dtype).astype(dtype)
+
+    for k, part in chunks.rdd.map(lambda r: (r[0], r[1])).combineByKey(wide, lambda a, b: add(a, wide(b)), add, 64).collect():
         out[k * CHUNK : k * CHUNK + len(part)] = part
     return out
 

@@ -13,7 +13,7 @@
 Defined cases: null, empty or blank texts have an empty set, no class, and are linked with nothing (their component is their
 own id); with fewer than ``n`` words the whole sequence is the one shingle; repeated rows are copies of each other; ids may be
 null (a component's id is its smallest known one) or repeat; empty tables give empty tables; other columns are not looked at.
-Shingles and classes are told apart by 64- and 128-bit hashes.
+Shingles and classes are told apart by 64- and 96-bit hashes.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def _sets(texts: list, n: int) -> Iterator[np.ndarray]:
 
 
 def _key(shingles: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+    return hashlib.blake2b(shingles.tobytes(), digest_size=12).digest() if len(shingles) else None
 
 
 def least(size: int, percent: int) -> int:
@@ -316,9 +316,11 @@ def class_groups(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     members = materialize(with_class(rows, n, ranges=True).select("doc_id", F.col("_key").alias("key"), F.col("_n").alias("n"), F.col("_ranges").alias("ranges")), "members")
     buckets = prefixes(rows, n, percent, frequencies(rows, n)).repartition("shingle", "deal").dropDuplicates(["shingle", "deal", "key"])
-    several = W.Window.partitionBy("shingle", "deal")
-    buckets = buckets.withColumn("lo", F.min("key").over(several)).withColumn("hi", F.max("key").over(several))
-    buckets = materialize(buckets.where("lo <> hi or deal > 0").drop("lo", "hi"), "buckets")
+    # a row whose neighbours by size are too small or too large has no partner in its bucket
+    by_size = W.Window.partitionBy("shingle", "deal").orderBy("n")
+    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
+    buckets = buckets.withColumn("near", F.coalesce(near, F.lit(False)) | (F.col("deal") > 0)).where("near").drop("near")
+    buckets = materialize(buckets, "buckets")
     classes = members.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     classes = materialize(classes, "classes")
 
