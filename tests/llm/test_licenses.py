@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 
 from conftest import SF
 from tickloom.llm import licenses
@@ -39,3 +40,29 @@ def test_cases(spark):
         got = (r.n_words, r.n_base, r.first_word, r.last_word, list(r.base_labels), list(r.labels), r.score)
         assert got == plain(texts[r.doc_id]), (texts[r.doc_id] or "")[:60]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def over_lines(text: str) -> dict[str, float]:
+    """Containment by label, over all runs of the text's words."""
+    words, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), {}
+    for label, notice in licenses.TEMPLATES:
+        t, n = set(notice.split()), licenses.SPREAD * len(notice.split())
+        best = max((len(set(words[i : i + n]) & t) for i in range(len(words))), default=0)
+        if best >= licenses.needed(len(t), licenses.THRESHOLD):
+            out[label] = max(out.get(label, 0.0), best / len(t))
+    return out
+
+
+def test_wrapped_notices(spark):
+    wrap = lambda text, width, mark="": "\n".join(mark + x for x in textwrap.wrap(text, width))
+    notices = [notice for _, notice in licenses.TEMPLATES]
+    texts = [wrap(n, w, m) for n in notices for w, m in ((12, ""), (30, "# "), (72, " * "))]
+    texts += ["Released under the\nMIT License", wrap("This work is licensed under a Creative Commons Attribution 4.0 International License", 40),
+              "filler words " * 2000 + "\n" + wrap(notices[12], 70) + "\n" + "filler " * 3000, "released\n" + "x " * 50 + "\nunder the mit license"]
+    texts += ["x " * k + "\n" + wrap(notices[1], 25) for k in (200, 230, 255, 256, 257)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in licenses.scan(df, wrapped=True).collect():
+        want = over_lines(texts[r.doc_id])
+        lines = {m.label for m in r.matches if m.line is not None}
+        assert set(r.labels) == set(want) | lines | set(r.base_labels) and (r.n_base or r.score == max(want.values(), default=0.0)), texts[r.doc_id][:80]
+        assert r.labels or r.doc_id == len(notices) * 3 + 3

@@ -5,6 +5,10 @@ ordered by their frequency over all blocks of the corpus, rare first. A template
 of its first ``size - needed + 1`` words (prefix filter), enough template words at all (length filter), and enough of them
 left, on both sides, behind the first shared word (positional filter). What passes is verified once.
 
+With ``wrapped``, runs of words that go over line ends are blocks as well, up to ``SPREAD`` times as long as the template, so
+that a notice is found however its lines are wrapped. They are looked for in overlapping pieces of a text's words; a piece that
+has a prefix word of a template and enough of its words (prefix and length filter) is verified run by run.
+
 Defined cases: null and empty texts have no words and no labels; repeated rows are scanned each; blocks may be of any length;
 an empty table gives an empty table; columns not asked for are not read. The row number that ties the parts of a row together
 needs an input that reads the same again, such as files.
@@ -43,6 +47,8 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 #: Share of a template's words that a block must contain, in percent.
 THRESHOLD = 90
+#: How many times as many words as a template has a run of words over line ends may have; words from one piece of a text to the next.
+SPREAD, PIECE = 2, 256
 #: Phrases that give a label wherever their words stand together.
 PHRASES: list[tuple[str, str]] = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
@@ -64,6 +70,10 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<line:int,label:string,containment:double>>")
+
+
 def block_words(text: Column, words: Sequence[str]) -> Column:
     """Per line: the distinct words that are in ``words``."""
     known = _strings(words)
@@ -78,10 +88,29 @@ def rare_first(docs: DataFrame, templates: Sequence[tuple[str, str]], text: str
     return sorted(words, key=lambda w: (count.get(w, 0), w))
 
 
+def over_lines(words: Column, templates: Sequence[tuple[str, str]], percent: int, first_words: Sequence[str]) -> Column:
+    """Per template that a run of ``words`` (a text's, in order) matches: no line, label, containment. Each piece goes on for as
+    many words as the longest run has, so every run lies in one piece."""
+    notices = [(label, sorted(set(notice.split())), SPREAD * len(notice.split())) for label, notice in templates]
+    longest = max((n for *_, n in notices), default=1)
+    known = F.array(*[F.struct(F.lit(label).alias("label"), _strings(t).alias("t"), F.lit(needed(len(t), percent)).alias("need"), F.lit(n).alias("n")) for label, t, n in notices])
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(PIECE))
+    pieces = F.filter(F.transform(starts, lambda k: F.slice(words, k, F.lit(PIECE + longest))), lambda p: F.arrays_overlap(p, _strings(first_words)))
+
+    def best(p: Column, x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.size(F.array_intersect(F.slice(p, k, x["n"]), x["t"])))
+        return F.struct(F.lit(None).cast("int").alias("line"), x["label"].alias("label"), F.array_max(runs).alias("share"), x["need"].alias("need"), F.size(x["t"]).alias("size"))
+
+    found = F.flatten(F.transform(pieces, lambda p: F.transform(F.filter(known, lambda x: F.size(F.array_intersect(p, x["t"])) >= x["need"]), lambda x: best(p, x))))
+    return F.array_distinct(F.transform(F.filter(found, lambda m: m["share"] >= m["need"]),
+                                        lambda m: F.struct(m["line"].alias("line"), m["label"].alias("label"), (m["share"] / m["size"]).alias("containment"))))
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = THRESHOLD, phrases: Sequence[tuple[str, str]] = PHRASES,
-         text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+         text: str = "text", keep: Sequence[str] = ("doc_id",), wrapped: bool = False) -> DataFrame:
     """One row per row of ``docs``: the kept columns, n_words, n_base, first_word, last_word, base_labels and labels (arrays),
-    matches (line, label, containment of each matching template) and score."""
+    matches (line, label, containment of each matching template) and score. With ``wrapped``, notices over line ends match
+    too; their line is null, and they are left out where a line has the label with the same containment or a higher one."""
     spark = docs.sparkSession
     order = rare_first(docs, templates, text)
     place = {w: i + 1 for i, w in enumerate(order)}
@@ -99,8 +128,12 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, perc
                      lambda x: (F.size(x["b"]) >= shortest) & F.arrays_overlap(x["b"], F.array(*map(F.lit, first_words)).cast("array<int>")))
     any_phrase = "(?<= )(?:" + "|".join(p for p, _ in phrases) + ")(?= )"
     d = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_keep"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    d = d.select("_row", "_keep", lines.alias("_lines"), F.explode(F.array(_spaced(ascii_lower(F.col("_text"))))).alias("_s"))
+    d = d.select("_row", "_keep", lines.alias("_lines"), F.contains("_text", F.lit("\n")).alias("_ends"), F.explode(F.array(_spaced(ascii_lower(F.col("_text"))))).alias("_s"))
     before = lambda c: _spaces(c) - 1
+    over = _none()
+    if wrapped and templates:
+        over = over_lines(F.split(F.trim("_s"), " "), templates, percent, [order[w - 1] for w in first_words])
+        over = F.when(F.col("_ends"), over).otherwise(_none())
     d = d.withColumn("n_base", F.regexp_count("_s", F.lit(any_phrase)).cast("long"))
     base = F.struct(
         F.greatest(F.when(F.length("_s") > 2, _spaces(F.col("_s")) - 1).otherwise(0), F.lit(0)).cast("long").alias("n_words"), "n_base",
@@ -108,7 +141,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, perc
         F.when(F.col("n_base") > 0, before(F.regexp_extract("_s", "(?s)^(.*)" + any_phrase, 1))).alias("last_word"),
         F.when(F.col("n_base") > 0, F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains("_s", F.lit(f" {p} ")), F.lit(label)) for p, label in phrases])))))
         .otherwise(_strings([])).alias("base_labels"),
-        "_keep")
+        over.alias("over"), "_keep")
     d = d.select("_row", "_lines", base.alias("base")).select("_row", "base", F.explode_outer("_lines").alias("l"))
     d = d.select("_row", "base", "l.line", "l.b", F.posexplode_outer("l.b").alias("j", "word"))
     small = (F.size("b") >= F.col("need")) & (F.least(F.size("t") - F.col("i"), F.size("b") - F.col("j")) >= F.col("need"))
@@ -116,6 +149,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, perc
     share = F.size(F.array_intersect("b", "t"))
     d = d.withColumn("match", F.when(F.col("try") & (share >= F.col("need")), F.struct("line", "label", (share / F.size("t")).alias("containment"))))
     d = d.groupBy("_row").agg(F.first("base").alias("b"), F.collect_set("match").alias("matches"))
+    more = F.filter("b.over", lambda o: ~F.exists("matches", lambda m: (m["label"] == o["label"]) & (m["containment"] >= o["containment"])))
+    d = d.select("b", F.concat("matches", more).alias("matches"))
     own = [c for c in keep if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "matches", "score")]
     labels = F.array_sort(F.array_distinct(F.concat("b.base_labels", F.transform("matches", lambda m: m["label"]))))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))

@@ -70,7 +70,7 @@ QUERIES["op1_token_counts"] = token_counts
 
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
+    found = licenses.scan(documents(spark, sf_dir, "doc_id", "text"), wrapped=True)
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
                         F.array_join("labels", ",").alias("labels"), "score")
 
