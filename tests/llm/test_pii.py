@@ -82,3 +82,26 @@ def test_cases_and_redaction(spark):
     assert clean[0].text is None and clean[2].text == "call [PHONE] now" == clean[7].text and clean[3].text == "x [EMAIL], [IP]" and clean[4].text == "é [PHONE]."
     assert clean[6].n_chars == len("w " * 60000 + "[EMAIL]") and pii.redact(df).columns == df.columns
     assert pii.detect(df.limit(0)).count() == 0 == pii.redact(df.limit(0)).count()
+
+
+def test_numbers_in_long_runs_without_spaces(spark):
+    phone, card = "212-555-0142", "4111111111111112"
+    heads = ['{"id":17,"name":"abcdefghij","street":"klmnopqrst","city":"uvwxyz","key":"', "name,street,city,country,code,remark,colour," * 3, "https://www.example.com/a/long/path/to/some/page?first=abc&second=def&key=",
+             "\u79c1\u306e\u96fb\u8a71\u756a\u53f7\u306f" * 9, "a" * 300, "x1y2z3" * 50 + "w"]
+    cases = [(head + value + tail, kind, len(head), len(value)) for head in heads for value, kind in ((phone, "phone"), (card, "card")) for tail in ("", '"}', "\u3067\u3059\u3002" * 20)]
+    cases += [(heads[0] + "(212)555-0142", "phone", len(heads[0]), 13), (heads[3] + "4111 1111 1111 1112", "card", len(heads[3]), 19)]
+    got = pii.find([c[0] for c in cases], FIELD)
+    for (text, kind, start, size), spans in zip(cases, got):
+        assert (kind, start, start + size, False) in spans, text
+        assert all(s[3] or s[1:3] == (start, start + size) for s in spans), text
+    df = spark.createDataFrame([(i, c[0], 0) for i, c in enumerate(cases)], "doc_id int, text string, n_chars int")
+    for r in pii.redact(df).collect():
+        text, kind, start, size = cases[r.doc_id]
+        assert r.text == text[:start] + f"[{kind.upper()}]" + text[start + size :]
+
+
+def test_long_look_alikes_and_tokens():
+    for text in ('token="24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', 'token="2d480315a6562b81c25342984c4087344558d00e"', '"id":"12345678-1234-4123-a456-123456789012","at":"2024-01-02T12:30:45"', "build/2024-01-02/v1.22.3/part-00017.parquet", "1" * 24 + "a" * 20):
+        assert pii.find([text], FIELD) == [[]], text
+    for text in ("a" * 200000 + "1", "1" * 200000, "1." * 100000, "+1" * 100000, "(1" * 100000, "(" * 200000 + "1", "a1-" * 70000):
+        assert "".join(m.group() for m in pii.words_of(text)) == text

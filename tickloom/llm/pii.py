@@ -2,7 +2,8 @@
 
 Patterns give e-mail addresses, IP addresses, card numbers (with their check digit) and international phone numbers. The
 random field is trained on the driver from a small labelled table of lines and adds spans that no pattern span touches, such as
-national phone numbers and mistyped card numbers. It labels whole lines; training checks that a line of plain words can only
+national phone numbers and mistyped card numbers. Words that are longer than what the features see (minified data, addresses of
+pages, scripts without spaces) are cut into tokens first, so that nothing in them stays unseen. It labels whole lines; training checks that a line of plain words can only
 be labelled as such (the margin of its scores exceeds anything that transitions can give), so lines without a digit or an
 at sign need no decoding. The others are decoded together by Viterbi in numpy.
 
@@ -31,7 +32,14 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 #: Distinct words whose scores a task remembers, and words that are decoded together.
 REMEMBERED, DECODED = 100_000, 200_000
 
+#: Characters of a shape; longer words with a digit are cut into tokens.
+SEEN = 24
+
 _WORD = re.compile(WORD)
+_NUMBER = r"\+?[0-9](?:[.-]?[0-9]){6,}"
+_HEX = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![0-9A-Za-z])"
+#: Tokens of a long word: UUIDs and digests (look-alikes of the labelled table), bracketed digits, numbers of seven and more digits, ASCII letters with shorter numbers, other letters, marks.
+_TOKEN = re.compile(rf"{_HEX}|\([0-9]+\)|{_NUMBER}|(?:(?!{_NUMBER})[A-Za-z0-9])+|(?:(?![A-Za-z0-9])[^\W_])+|(?:(?!\([0-9]|\+[0-9])[\W_])+|.")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -84,10 +92,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def words_of(line: str) -> list[re.Match]:
+    """What the field labels: words, and the tokens of long ones."""
+    out: list[re.Match] = []
+    for m in _WORD.finditer(line):
+        if m.end() - m.start() > SEEN and _DIGIT.search(line, m.start(), m.end()):
+            out += _TOKEN.finditer(line, m.start(), m.end())
+        else:
+            out.append(m)
+    return out
+
+
 def shape(word: str) -> str:
     """Runs of digits by their length, runs of letters, and all else as it is."""
     s = re.sub(r"[0-9]+", lambda m: "9" + "abcdefghijklmnopqrs"[min(len(m.group()), 19) - 1], word[:60])
-    return re.sub(r"[^\W\d_]{3,}", "w", re.sub(r"9[a-s]", lambda m: "<" + str(ord(m.group()[1]) - 96) + ">", s))[:24]
+    return re.sub(r"[^\W\d_]{3,}", "w", re.sub(r"9[a-s]", lambda m: "<" + str(ord(m.group()[1]) - 96) + ">", s))[:SEEN]
 
 
 def _coarse(word: str) -> str:
@@ -329,7 +348,7 @@ def find(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int
         at = 0
         for line in t.split("\n"):
             if "@" in line or _DIGIT.search(line):
-                lines.append((i, at, list(_WORD.finditer(line))))
+                lines.append((i, at, words_of(line)))
                 held += len(lines[-1][2])
                 if held > DECODED:
                     flush()
