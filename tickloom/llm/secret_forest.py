@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, judged by a random forest that removes false positives.
 
-Candidates are long runs of token characters with letters and digits, and values assigned to names such as ``password``. The
+Candidates are long runs of token characters with letters and digits, and values assigned to names with ``password`` and the
+like in them. Runs with filler in them, and very long ones, are judged part by part, so that no head hides what is glued to it. The
 forest (MLlib) is trained on a small table of labelled findings and sees each candidate's length, how its characters change
 class, how much of it dictionary words cover, the path it was found at, and the words next to it.
 
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of context on either side, and of a candidate that features look at.
-CONTEXT, LOOKED_AT = 32, 400
+#: Characters of context on either side, and of a candidate that is judged in one part unless it has filler.
+CONTEXT, ONE_PART = 32, 400
 
 _RUN = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
-_ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,})")
+_ASSIGNED = re.compile(r"(?i)(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]*?(?:password|passwd|pwd|secret|token|api_?key))[A-Za-z0-9_]++[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,})")
+_FILLER = re.compile(r"(.)\1{7,}", re.S)
 _NAMED = re.compile(r"(?i)passw|pwd|secret|token|api_?key")
 #: Dictionary words, words near secrets, words near look-alikes, and parts of paths with examples.
 DICTIONARY = """about account admin address after also and array back base before begin block build cache call change check class client code commit config content count create data database date
@@ -39,6 +41,8 @@ NEAR_SECRET = re.compile(r"(?i)secret|token|passw|pwd|api[_ -]?key|access[_ -]?k
 NEAR_OTHER = re.compile(r"(?i)sha\d*|md5|commit|checksum|digest|hash|uuid|guid|revision|integrity|etag|order|isbn|version|build|id")
 EXAMPLE_PATH = re.compile(r"(?i)test|example|sample|doc|mock|fixture|lock|readme|demo")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xoxb-", "eyJ", "AIza", "glpat-")
+_PREFIX = re.compile("(?=" + "|".join(map(re.escape, PREFIXES)) + ")")
+_CUTS = (_PREFIX, re.compile("="), re.compile("/"), re.compile("[^A-Za-z0-9]"))
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)), re.I)
 FEATURES = ["length", "log_length", "digits", "upper", "lower", "other", "changes", "entropy", "distinct", "hex", "covered", "longest_run", "prefix", "dashes", "slashes",
             "near_secret", "near_other", "assigned", "quoted", "example_path", "placeholder"]
@@ -59,12 +63,43 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What of a candidate is judged by itself: what filler leaves of it; of a very long one what known prefixes, equal signs,
+    slashes and then other marks leave (encoded data, most of which would be such parts, stays whole). Parts are as long as a run
+    or, behind a name, an assigned value has to be, and have letters and digits; a candidate without such parts is judged whole."""
+    least = 6 if _NAMED.search(text, max(0, start - CONTEXT), start) else 16
+
+    def cut(spans: list[tuple[int, int]], mark: re.Pattern) -> list[tuple[int, int]]:
+        out = []
+        for a, b in spans:
+            for m in mark.finditer(text, a, b):
+                out.append((a, m.start()))
+                a = m.end()
+            out.append((a, b))
+        return [s for s in out if s[0] < s[1]]
+
+    def judged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [s for s in spans if s[1] - s[0] >= least and re.search("[0-9]", text[s[0] : s[1]]) and re.search("[A-Za-z]", text[s[0] : s[1]])]
+
+    spans = cut([(start, end)], _FILLER)
+    for k, mark in enumerate(_CUTS):
+        out = []
+        for s in spans:
+            some = cut([s], mark) if s[1] - s[0] > ONE_PART else [s]
+            encoded = k > 1 and 2 * sum(b - a for a, b in judged(some)) > s[1] - s[0]
+            out += [s] if encoded else some
+        spans = out
+    return judged(spans) or [(start, end)]
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def features(text: str, start: int, end: int, path: str | None) -> list[float]:
-    s, before, after = text[start : min(end, start + LOOKED_AT)], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+def features(text: str, start: int, end: int, path: str | None, whole: tuple[int, int] | None = None) -> list[float]:
+    """Of a part of the candidate ``whole``, or all of it; a part has the surroundings of the candidate and its own inside it."""
+    a, b = whole or (start, end)
+    s, before, after = text[start:end], text[max(a, start - CONTEXT) : start] + text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
     kinds, n = [_kind(c) for c in s], len(s)
     share = [kinds.count(k) / n for k in range(4)]
     count = Counter(s)
@@ -117,7 +152,7 @@ def train(spark: SparkSession, findings: Sequence[tuple[str, int, int, str, int]
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, text: str = "text", path: str = "source", keep: Sequence[str] = ("doc_id",), cut: float = 0.5) -> DataFrame:
-    """One row per row of ``docs``: the kept columns, n_candidates, n_secrets and findings (start, end, probability), by start.
+    """One row per row of ``docs``: the kept columns, n_candidates (parts count each), n_secrets and findings (start, end, probability), by start.
     Candidates below the probability ``cut`` are false positives."""
     model = model or train(docs.sparkSession, labelled_findings())
     d = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_keep"), F.col(text).alias("_text"), F.col(path).cast("string").alias("_path"))
@@ -127,12 +162,12 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
         for batch in batches:
             at, start, end, x = [], [], [], []
             for i, (t, p) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                spans = candidates(t)
-                for a, b in spans or [(None, None)]:
+                spans = [(p, s) for s in candidates(t) for p in parts(t, *s)]
+                for (a, b), s in spans or [((None, None), None)]:
                     at.append(i)
                     start.append(a)
                     end.append(b)
-                    x.append([0.0] * len(FEATURES) if a is None else features(t, a, b, p))
+                    x.append([0.0] * len(FEATURES) if a is None else features(t, a, b, p, s))
             where = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=schema.names)
 
