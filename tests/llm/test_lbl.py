@@ -72,3 +72,14 @@ def test_the_model_is_normalised_and_learns():
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=2), 1, atol=1e-4)
     uni = np.log10(seen.sum(axis=(0, 1)) / seen.sum())
     assert (seen * table).sum() > (seen * uni).sum() * 0.8
+
+
+def test_training_sees_every_trigram_by_its_count():
+    rng = np.random.default_rng(2)
+    seen = np.zeros((lbl.CLASSES,) * 3, np.int64)
+    seen[rng.integers(0, 90, 3000), rng.integers(0, 90, 3000), rng.integers(0, 90, 3000)] = 10**6
+    swapped = seen.copy()
+    seen[94, 95, 92] = seen[93, 91, 90] = swapped[94, 95, 90] = swapped[93, 91, 92] = 40  # too few for a draw of fixed size
+    one, other = (lbl.LogBilinear().fit(x, steps=100) for x in (seen, swapped))
+    gain = lambda m: (m.source[94] @ m.place[0] + m.source[95] @ m.place[1]) @ (m.target[92] - m.target[90])
+    assert gain(one) > gain(other)

@@ -3,7 +3,7 @@
 A word's probability is that of its class after the two classes before it, times the word's share of its class. Classes are
 the most frequent words by themselves, groups of words with a common ending, all other words, and the end of the text. The
 class model is log-bilinear (the next class is scored by the product of its vector with a linear prediction from the vectors
-before it), trained in numpy by noise-contrastive estimation on the corpus's class trigrams; batched matrix products over
+before it), trained in numpy by noise-contrastive estimation in full passes over all the corpus's class trigrams; batched matrix products over
 all pairs of classes then give its normalised log-probabilities. Shares are smoothed counts over the whole training corpus.
 
 What is gathered: every training document's word counts (shuffled by word) and its class trigrams (added up in an array of
@@ -83,39 +83,29 @@ class LogBilinear:
         self.place = np.stack([np.eye(size) * 0.5] * 2) + rng.normal(0, 0.02, (2, size, size))
         self.bias = np.full(k, -math.log(k))
 
-    def fit(self, trigrams: np.ndarray, steps: int = 700, batch: int = 2048, noise: int = 48, rate: float = 0.1) -> LogBilinear:
-        """Noise-contrastive estimation: tell the corpus's classes from classes drawn by frequency, after contexts of the corpus."""
-        total = trigrams.sum()
+    def fit(self, trigrams: np.ndarray, steps: int = 700, noise: int = 48, rate: float = 0.1) -> LogBilinear:
+        """Noise-contrastive estimation: tell the corpus's classes from ``noise`` times as many classes drawn by frequency, after
+        contexts of the corpus. Every step is a pass over all trigrams by their counts, with the expected noise: matrix products
+        over all pairs of classes, whatever the size of the corpus."""
+        n = trigrams.reshape(CLASSES**2, CLASSES).astype(float)
+        total = n.sum()
         if not total:
             return self
-        cells = np.flatnonzero(trigrams)
-        heap = np.cumsum(trigrams.ravel()[cells] / total)
-        unigram = trigrams.reshape(-1, CLASSES).sum(axis=0) + 0.5
+        n /= total
+        unigram = n.sum(axis=0) * total + 0.5
         unigram /= unigram.sum()
-        log_noise, draw = np.log(noise * unigram), np.cumsum(unigram)
         self.bias = np.log(unigram)
+        drawn, log_noise = n.sum(axis=1, keepdims=True) * (noise * unigram), np.log(noise * unigram)
+        both = n + drawn
         squares = [np.full_like(x, 1e-6) for x in (self.source, self.target, self.place, self.bias)]
         for _ in range(steps):
-            at = cells[np.minimum(np.searchsorted(heap, self.rng.random(batch)), len(cells) - 1)]
-            a, b, w = at // CLASSES**2, at // CLASSES % CLASSES, at % CLASSES
-            z = np.minimum(np.searchsorted(draw, self.rng.random(noise)), CLASSES - 1)
-            sa, sb = self.source[a], self.source[b]
-            q = sa @ self.place[0] + sb @ self.place[1]
-            real = (q * self.target[w]).sum(axis=1) + self.bias[w] - log_noise[w]
-            fake = q @ self.target[z].T + self.bias[z] - log_noise[z]
-            up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-            dq = up[:, None] * self.target[w] + down @ self.target[z]
-            grads = [np.zeros_like(x) for x in (self.source, self.target, self.place, self.bias)]
-            np.add.at(grads[1], w, up[:, None] * q)
-            np.add.at(grads[1], z, down.T @ q)
-            np.add.at(grads[3], w, up)
-            np.add.at(grads[3], z, down.sum(axis=0))
-            grads[2][0], grads[2][1] = sa.T @ dq, sb.T @ dq
-            np.add.at(grads[0], a, dq @ self.place[0].T)
-            np.add.at(grads[0], b, dq @ self.place[1].T)
+            q = ((self.source @ self.place[0])[:, None] + self.source @ self.place[1]).reshape(CLASSES**2, -1)
+            logit = np.clip(q @ self.target.T + (self.bias - log_noise), -30, 30)
+            up = n - both / (1 + np.exp(-logit))  # n (1 - p) - drawn p
+            dq = (up @ self.target).reshape(CLASSES, CLASSES, -1)
+            first, second = dq.sum(axis=1), dq.sum(axis=0)
+            grads = [first @ self.place[0].T + second @ self.place[1].T, up.T @ q, np.stack((self.source.T @ first, self.source.T @ second)), up.sum(axis=0)]
             for x, g, s in zip((self.source, self.target, self.place, self.bias), grads, squares):
-                g /= batch
                 s += g * g
                 x += rate * g / np.sqrt(s)
         return self
