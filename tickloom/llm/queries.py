@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, pii, piece_counts, quality, secret_forest
+from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, periodic, pii, piece_counts, quality, secret_forest
 from tickloom.llm.common import documents, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,16 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_secret_scan"] = secret_scan
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(documents(spark, sf_dir, "doc_id", "text"), change=periodic.repeated_tail)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES["op13_periodic_runs"] = periodic_runs
+ORACLES["op13_periodic_runs"] = periodic.ORACLE
