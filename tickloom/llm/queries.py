@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, periodic, pii, piece_counts, quality, secret_forest
+from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, periodic, pii, piece_counts, quality, secret_forest, tile_join
 from tickloom.llm.common import documents, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,11 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op13_periodic_runs"] = periodic_runs
 ORACLES["op13_periodic_runs"] = periodic.ORACLE
+
+
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tile_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), 0.9)
+
+
+QUERIES["op12_embedding_near_dedup"] = near_vectors
+ORACLES["op12_embedding_near_dedup"] = tile_join.ORACLE
