@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, periodic, pii, piece_counts, quality, secret_forest, tile_join
+from tickloom.llm import bpe, iblt, lbl, licenses, mixing, ngram_join, periodic, pii, piece_counts, prefix_trie, quality, secret_forest, tile_join
 from tickloom.llm.common import documents, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,12 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op12_embedding_near_dedup"] = near_vectors
 ORACLES["op12_embedding_near_dedup"] = tile_join.ORACLE
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(turns)))
+
+
+QUERIES["op11_conversation_trie"] = conversation_trie
+ORACLES["op11_conversation_trie"] = prefix_trie.ORACLE
