@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import collect, to_bars, walk
 from tickloom.config import SmcSettings, VolumePriceSettings
 from tickloom.functions import series
-from tickloom.operators import elliott, flow, joins, ml, risk, smc
+from tickloom.operators import elliott, flow, joins, ml, retests, risk, smc
 
 
 @pytest.fixture(scope="module")
@@ -90,11 +90,12 @@ def test_liquidity_pools(spark, noisy):
     np.testing.assert_allclose(got["level"], want["level"])
 
 
-def test_retests_by_zone_order(spark, noisy):
-    """The streaming claim (bar by bar) equals claiming zone by zone in creation order."""
+@pytest.mark.parametrize("block", [None, 16])
+def test_retests_by_zone_order(spark, noisy, block):
+    """Claims from the first two zones of each bar equal claiming zone by zone in creation order."""
     bars = to_bars(spark, noisy)
     obs = smc.order_blocks(bars)
-    got = collect(smc.retest_entries(bars, obs), "symbol", "bar_no")
+    got = collect(smc.retest_entries(bars, obs, block=block), "symbol", "bar_no")
     blocks = obs.where("direction = 'Bullish'").orderBy("impulse_no").toPandas()
     from tickloom.operators.indicators import stochastic
 
@@ -120,6 +121,56 @@ def test_retests_by_zone_order(spark, noisy):
     assert got["quality"].between(0, 10).all() and (got.loc[got.quality >= 7, "grade"] == "BEST").all()
 
 
+def claimed_in_turn(bars: pd.DataFrame, zones: list[tuple]) -> list[tuple]:
+    """Zone by zone: the bars that it takes and no earlier zone has, two apart at least."""
+    low, high, close, sure, pos = (bars[c].to_numpy() for c in ("low", "high", "close", "confirmed", "bar_no"))
+    free, out = np.ones(len(bars), dtype=bool), []
+    for kind, born, top, bottom in zones:
+        fits = free & (pos > born) & (low <= top) & (high >= bottom) & (close >= bottom) & (sure | (close >= top))
+        last, count = -999, 0
+        for k in np.flatnonzero(fits):
+            if pos[k] - last >= 2:
+                last, count = pos[k], count + 1
+                free[k] = False
+                out.append((int(pos[k]), kind, top, bottom, count))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,tick", [(1, 0.0), (2, 1.0), (3, 0.25)])
+def test_claims_of_crowded_prices(spark, monkeypatch, seed, tick):
+    """Prices that stay in a narrow range, many zones over each other, chains of neighbours over block ends."""
+    monkeypatch.setattr(retests, "STRETCH", 300)
+    monkeypatch.setattr(retests, "AT_ONCE", 7)
+    rng = np.random.default_rng(seed)
+    n = 1500
+    mid = 100 + 6 * np.sin(np.arange(n) / 90) + np.cumsum(rng.normal(0, 0.15, n))
+    pdf = pd.DataFrame({"symbol": "A", "bar_no": np.arange(n), "n_bars": n, "low": mid - rng.exponential(0.6, n), "high": mid + rng.exponential(0.6, n), "confirmed": rng.random(n) < 0.5})
+    if tick:
+        pdf["low"], pdf["high"] = np.floor(pdf.low / tick) * tick, np.ceil(pdf.high / tick) * tick
+    pdf["close"] = pdf.low + (pdf.high - pdf.low) * rng.choice([0.0, 0.3, 1.0, 0.7], n)
+    at = np.sort(rng.choice(n, 260, replace=False))
+    bottom = pdf.low.to_numpy()[at] - rng.choice([0.0, 0.25, 0.5, 3.0], 260)
+    gaps = pd.DataFrame({"symbol": "A", "born": at, "top": bottom + rng.choice([0.25, 0.5, 1.0, 4.0], 260), "bottom": bottom})
+    late = pd.DataFrame({"symbol": "A", "turn": [5, 6, 7], "born": [900, 20, 400], "top": [101.0, 99.0, 104.0], "bottom": [100.0, 97.0, 90.0]})
+    d = pdf[rng.random(n) < 0.9]
+    want = claimed_in_turn(d, [("FVG", *z) for z in gaps[["born", "top", "bottom"]].itertuples(index=False)] + [("OB", *z) for z in late[["born", "top", "bottom"]].itertuples(index=False)])
+    found = retests.first_two_zones(spark.createDataFrame(d), spark.createDataFrame(gaps), spark.createDataFrame(late), block=64)
+    got = collect(retests.claims(found, block=64), "bar_no")
+    assert len(want) > 300 and max(w[4] for w in want) > 5
+    assert [tuple(r) for r in got[["bar_no", "zone_type", "zone_top", "zone_bottom", "retest_no"]].itertuples(index=False)] == want
+
+
+def test_few_zones_are_kept_in_a_cell(spark):
+    """Gaps of a price that swings in one range: what a cell keeps does not grow with their number."""
+    kept = []
+    for n in (400, 4000):
+        rng = np.random.default_rng(n)
+        bottom = np.round(100 + rng.random(n) * 2, 2)
+        gaps = spark.createDataFrame(pd.DataFrame({"symbol": "A", "born": np.arange(n) * 9, "top": np.round(bottom * 1.004, 2), "bottom": bottom}))
+        kept.append(retests.cell_zones(gaps).groupBy("cell").count().agg({"count": "max"}).first()[0])
+    assert kept[1] < 2 * kept[0] and kept[1] < 120
+
+
 def test_zigzag(spark, noisy):
     got = collect(elliott.zigzag(to_bars(spark, noisy), 0.08, last=10_000), "symbol", "pivot_no")
     for sym, g in noisy.groupby("symbol"):

@@ -1,9 +1,8 @@
 """Price-structure zones, breaks, sweeps, retest entries and their composite signal.
 
 Every step is relational: swings and gaps are block windows, "first bar that breaks the level" is a
-minimum per segment, "was the zone entered later" is a suffix extreme read at one row. Only the greedy
-clustering of swing levels and the greedy claiming of retest bars are sequential; they stream over
-pre-filtered rows inside tasks.
+minimum per segment, "was the zone entered later" is a suffix extreme read at one row. Retest bars are
+claimed in ``retests``. Only the greedy clustering of swing levels is sequential.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import SmcSettings
 from tickloom.functions.series import Frame, index_bars, is_last, per_block, running, running_from_end
+from tickloom.operators import retests
 from tickloom.operators.clean import missing, neutral
 from tickloom.operators.indicators import add_atr, add_stochastic, clip, truthy
 from tickloom.session import materialize
@@ -312,53 +312,10 @@ def smc_score(structured: DataFrame, arrays: DataFrame) -> DataFrame:
     return per_block(d, lambda d, f: d.withColumn("smc_score", clip(f.mean("_s", 5, 1), -1.0, 1.0)), lookback=5).drop("_s")
 
 
-def _claim_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Greedy claiming of retest bars. Rows come sorted by (symbol, bar); zones are offered in creation
-    order, gaps before blocks, a bar goes to the first zone that fits, and a zone rests one bar after a
-    claim. Only the open zones are held, not the bars."""
-    symbol = None
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            if r.symbol != symbol:
-                symbol = r.symbol
-                zt, zb = np.empty(64), np.empty(64)
-                zl, zc = np.full(64, -999, dtype=np.int64), np.zeros(64, dtype=np.int64)
-                used = 0
-                blocks = [[z["top"], z["bottom"], int(z["bar_no"]), -999, 0] for z in (r.blocks if r.blocks is not None else [])]
-            if r.eligible:
-                hit = None
-                if used:
-                    t, b = zt[:used], zb[:used]
-                    ok = (r.low <= t) & (r.high >= b) & (r.close >= b) & (r.bar_no - zl[:used] >= 2)
-                    if not r.confirmed:
-                        ok &= r.close >= t
-                    i = int(np.argmax(ok))
-                    if ok[i]:
-                        zl[i] = r.bar_no
-                        zc[i] += 1
-                        hit = ("FVG", zt[i], zb[i], int(zc[i]))
-                if hit is None:
-                    for z in blocks:
-                        if z[2] < r.bar_no and r.low <= z[0] and r.high >= z[1] and r.close >= z[1] and r.bar_no - z[3] >= 2 and (r.confirmed or r.close >= z[0]):
-                            z[3], z[4] = r.bar_no, z[4] + 1
-                            hit = ("OB", z[0], z[1], z[4])
-                            break
-                if hit:
-                    out.append((r.symbol, r.bar_no, *hit))
-            if r.gap_top == r.gap_top and r.gap_top is not None:
-                if used == len(zt):
-                    zt, zb = np.resize(zt, 2 * used), np.resize(zb, 2 * used)
-                    zl, zc = np.resize(zl, 2 * used), np.resize(zc, 2 * used)
-                zt[used], zb[used], zl[used], zc[used] = r.gap_top, r.gap_bottom, -999, 0
-                used += 1
-        yield pd.DataFrame(out, columns=["symbol", "bar_no", "zone_type", "zone_top", "zone_bottom", "retest_no"])
-
-
-def retest_entries(bars: DataFrame, obs: DataFrame, cfg: SmcSettings = SmcSettings()) -> DataFrame:
+def retest_entries(bars: DataFrame, obs: DataFrame, cfg: SmcSettings = SmcSettings(), block: int | None = None) -> DataFrame:
     """Bars that come back to a bullish gap or block and hold it: zone, retest number, quality 0-10,
     grade, factors and the tactical flag."""
-    return _retests(per_block(bars.where(F.col("n_bars") >= 30), lambda d, f: add_retest_inputs(add_gap_lags(d, f), f), lookback=22), obs, cfg)
+    return _retests(per_block(bars.where(F.col("n_bars") >= 30), lambda d, f: add_retest_inputs(add_gap_lags(d, f), f), lookback=22), obs, cfg, block)
 
 
 def add_retest_inputs(d: DataFrame, f: Frame) -> DataFrame:
@@ -366,7 +323,7 @@ def add_retest_inputs(d: DataFrame, f: Frame) -> DataFrame:
     return d.withColumns({"_vm": f.mean("volume", 20, 1), "_r10": F.coalesce(f.pct_change("close", 10), F.lit(0.0))})
 
 
-def _retests(d: DataFrame, obs: DataFrame, cfg: SmcSettings) -> DataFrame:
+def _retests(d: DataFrame, obs: DataFrame, cfg: SmcSettings, block: int | None = None) -> DataFrame:
     d = d.where(F.col("n_bars") >= 30)
     rng = F.greatest(F.col("high") - F.col("low"), F.lit(1e-9))
     gap = (F.col("low") > F.col("_h2")) & ((F.col("low") - F.col("_h2")) / F.greatest("close", F.lit(1e-9)) >= cfg.fvg_min_size_pct)
@@ -376,14 +333,11 @@ def _retests(d: DataFrame, obs: DataFrame, cfg: SmcSettings) -> DataFrame:
         "eligible": F.col("stoch_status") != "OVERBOUGHT", "confirmed": bull_close | reject,
         "gap_top": F.when(gap, F.col("low")), "gap_bottom": F.when(gap, F.col("_h2")),
     })
-    blocks = obs.where(F.col("direction") == "Bullish").groupBy("symbol").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("impulse_no", "top", "bottom", "bar_no"))), lambda z: F.struct(z["top"].alias("top"), z["bottom"].alias("bottom"), z["bar_no"].alias("bar_no"))).alias("blocks"))
-    first = d.where(F.col("bar_no") == 0).select("symbol").join(blocks, "symbol").withColumn("bar_no", F.lit(0).cast("long"))
-    feed = d.select("symbol", "bar_no", "high", "low", "close", "eligible", "confirmed", "gap_top", "gap_bottom")
-    feed = feed.where(F.col("eligible") | F.col("gap_top").isNotNull() | (F.col("bar_no") == 0)).join(first, ["symbol", "bar_no"], "left")
-    claims = feed.repartition("symbol").sortWithinPartitions("symbol", "bar_no").mapInPandas(
-        _claim_entries, "symbol string, bar_no long, zone_type string, zone_top double, zone_bottom double, retest_no int")
-    d = claims.join(d, ["symbol", "bar_no"])
+    born = lambda c: F.col(c).cast("long").alias("born")
+    gaps = d.where(F.col("gap_top").isNotNull()).select("symbol", born("bar_no"), F.col("gap_top").alias("top"), F.col("gap_bottom").alias("bottom"))
+    blocks = obs.where(F.col("direction") == "Bullish").select("symbol", F.col("impulse_no").cast("long").alias("turn"), born("bar_no"), "top", "bottom")
+    found = retests.first_two_zones(d.where("eligible").select("symbol", "bar_no", "n_bars", "low", "high", "close", "confirmed"), gaps, blocks, block)
+    d = retests.claims(found, block).join(d, ["symbol", "bar_no"])
     c, k, top, bottom = F.col("close"), F.col("stoch_k"), F.col("zone_top"), F.col("zone_bottom")
     price = F.greatest(c, F.lit(1e-9))
     above = F.greatest(c - top, F.lit(0.0)) / price
