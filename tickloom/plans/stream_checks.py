@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tickloom.operators import news
 from tickloom.plans import sqlkit as q
 from tickloom.plans.registry import Registry, fix
+from tickloom.plans.smc_checks import CAUSAL
 from tickloom.session import shared_dir
 from tickloom.sources.driver_tables import bars_hourly, table
 from tickloom.streaming import stream as st
+from tickloom.streaming import tracking
 
 R = Registry()
 
@@ -69,6 +71,29 @@ def bar_stream(s, d):
 
 R.add("st6_tracked_symbols", lambda s, d: run(s, st.track_symbols(bar_stream(s, d))).select("symbol", "ts", fix("ema", 4).alias("ema"), fix("trail_stop", 4).alias("trail_stop")),
       q.sql([q.HOURLY], f"SELECT symbol, ts, {q.fix(f'sum(close * exp(0.16705408466316624 * (bar_no - 300)) * CASE WHEN bar_no = 0 THEN 1.0 ELSE 0.15384615384615385 END) OVER {q.RUN} / exp(0.16705408466316624 * (bar_no - 300))', 4)} AS ema, {q.fix(f'max(close) OVER {q.RUN} * 0.95', 4)} AS trail_stop FROM hours"))
+
+
+def structure(s, d):
+    stream = tracking.track_structure(bar_stream(s, d), delay="2 hours", max_idle_minutes=36 * 60)
+    return ntz(st.run_available(stream, out(s), state_store=tracking.ROCKS))
+
+
+# Bars behind the watermark; a gap of over 36 hours ends a symbol, which is numbered anew behind it.
+_SPELLS = ["hq AS (SELECT *, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) > INTERVAL 36 HOUR AS anew FROM h0)",
+           "hs AS (SELECT *, symbol || '|' || count(*) FILTER (anew) OVER (PARTITION BY symbol ORDER BY ts) AS spell FROM hq)",
+           "hb AS (SELECT spell AS symbol, symbol AS name, ts, high, low, close, row_number() OVER (PARTITION BY spell ORDER BY ts) - 1 AS bar_no, count(*) OVER (PARTITION BY spell) AS n_bars FROM hs)",
+           f"bars AS (SELECT *, {q.TR.replace('PARTITION BY symbol', 'PARTITION BY spell')} AS tr FROM (SELECT *, symbol AS spell FROM hb))"]
+R.add("st6_structure_state", lambda s, d: structure(s, d).select("symbol", "ts", "event", "break_dir", *[fix(c, 4).alias(c) for c in ("ema", "trail_stop", "atr_stop", "swing_high", "swing_low")]),
+      q.sql([q.HOURLY, *_SPELLS, *CAUSAL[:5],
+             f"""sx AS (SELECT s1.*, sum(close * exp(0.16705408466316624 * (s1.bar_no - 300)) * CASE WHEN s1.bar_no = 0 THEN 1.0 ELSE 0.15384615384615385 END) OVER w / exp(0.16705408466316624 * (s1.bar_no - 300)) AS ema,
+ max(close) OVER w * 0.95 AS trail_stop, {q.mean('tr', 14, 1)} AS atr, last_value(k IGNORE NULLS) OVER w AS dr, k, pk FROM s1 LEFT JOIN trn t ON t.symbol = s1.symbol AND t.bar_no = s1.bar_no WINDOW w AS {q.RUN})""",
+             f"sy AS (SELECT *, max(close - 3.0 * atr) OVER {q.RUN} AS atr_stop FROM sx)",
+             """sz AS (SELECT name AS symbol, ts, bar_no = n_bars - 1 AS final, CASE WHEN k IS NULL THEN NULL WHEN pk <> k THEN 'CHOCH_' ELSE 'BOS_' END || upper(k) AS event, CASE dr WHEN 'bull' THEN 'bull' WHEN 'bear' THEN 'bear' END AS break_dir,
+ ema, trail_stop, atr_stop, lvl_sh AS swing_high, lvl_sl AS swing_low FROM sy)""",
+             "mw AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM h0)",
+             """su AS (SELECT symbol, ts, event, break_dir, ema, trail_stop, atr_stop, swing_high, swing_low FROM sz, mw WHERE ts <= w
+ UNION ALL SELECT sz.symbol, sz.ts + INTERVAL 36 HOUR, 'EXPIRED', break_dir, ema, trail_stop, atr_stop, swing_high, swing_low FROM sz, mw WHERE final AND sz.ts + INTERVAL 36 HOUR < w)"""],
+            "SELECT symbol, ts, event, break_dir, " + ", ".join(f"{q.fix(c, 4)} AS {c}" for c in ("ema", "trail_stop", "atr_stop", "swing_high", "swing_low")) + " FROM su"))
 R.add("st7_latest_quotes", lambda s, d: run(s, st.latest_quotes(ticks(s, d)), "complete"), "SELECT event_type AS symbol, last(value ORDER BY ts, event_id) AS price, max(ts) AS ts, count(*) AS n_ticks FROM events GROUP BY 1")
 
 

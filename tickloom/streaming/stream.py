@@ -47,13 +47,14 @@ def latest_quotes(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "tick_id")).alias("price"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n_ticks"))
 
 
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 _STATE = "peak double, ema double, n long"
 _TRACK = "symbol string, ts timestamp, close double, ema double, trail_stop double"
 
 
-def track_symbols(bars: DataFrame, span: int = 12, trail_pct: float = 0.05, max_idle: str = "") -> DataFrame:
-    """Running EMA and ratcheting stop of every symbol across micro-batches. State per symbol is three
-    numbers; rows of a batch are folded in time order."""
+def track_symbols(bars: DataFrame, span: int = 12, trail_pct: float = 0.05) -> DataFrame:
+    """Running EMA and ratcheting stop of every symbol across micro-batches, for feeds whose batches come in time order: state per
+    symbol is three numbers, and every row is answered at once. ``tracking.track_structure`` waits for late rows and lets symbols expire."""
     alpha = 2 / (span + 1)
 
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -135,10 +136,10 @@ def batch_notice(batch: DataFrame, batch_id: int) -> DataFrame:
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None,
-                  keys: tuple[str, ...] = ()) -> DataFrame:
+                  keys: tuple[str, ...] = (), state_store: str | None = None) -> DataFrame:
     """Drive a stream over all landed data and read the result back. Every micro-batch overwrites its own
     folder, so a batch that is run again after a failure replaces its output. In complete mode the last batch is the
-    result; in update mode the last row of each of ``keys`` is."""
+    result; in update mode the last row of each of ``keys`` is. ``state_store`` names the provider that this query keeps its state in."""
     if mode == "update" and not keys:
         raise ValueError("update mode needs the keys of its rows")
     spark: SparkSession = stream.sparkSession
@@ -149,7 +150,11 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", each: Call
         schema["out"] = out.schema
         out.write.mode("overwrite").parquet(f"{path}/out/batch_no={batch_id}")
 
+    before = spark.conf.get(STORE_CONF)
+    if state_store:
+        spark.conf.set(STORE_CONF, state_store)
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    spark.conf.set(STORE_CONF, before)  # the running query has its own copy
     query.awaitTermination()
     if "out" not in schema:
         return spark.createDataFrame([], stream.schema)
