@@ -85,8 +85,9 @@ _SPELLS = ["hq AS (SELECT *, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts)
            f"bars AS (SELECT *, {q.TR.replace('PARTITION BY symbol', 'PARTITION BY spell')} AS tr FROM (SELECT *, symbol AS spell FROM hb))"]
 R.add("st6_structure_state", lambda s, d: structure(s, d).select("symbol", "ts", "event", "break_dir", *[fix(c, 4).alias(c) for c in ("ema", "trail_stop", "atr_stop", "swing_high", "swing_low")]),
       q.sql([q.HOURLY, *_SPELLS, *CAUSAL[:5],
-             f"""sx AS (SELECT s1.*, sum(close * exp(0.16705408466316624 * (s1.bar_no - 300)) * CASE WHEN s1.bar_no = 0 THEN 1.0 ELSE 0.15384615384615385 END) OVER w / exp(0.16705408466316624 * (s1.bar_no - 300)) AS ema,
- max(close) OVER w * 0.95 AS trail_stop, {q.mean('tr', 14, 1)} AS atr, last_value(k IGNORE NULLS) OVER w AS dr, k, pk FROM s1 LEFT JOIN trn t ON t.symbol = s1.symbol AND t.bar_no = s1.bar_no WINDOW w AS {q.RUN})""",
+             "sj AS (SELECT s1.*, t.k, t.pk FROM s1 LEFT JOIN trn t ON t.symbol = s1.symbol AND t.bar_no = s1.bar_no)",
+             f"""sx AS (SELECT *, sum(close * exp(0.16705408466316624 * (bar_no - 300)) * CASE WHEN bar_no = 0 THEN 1.0 ELSE 0.15384615384615385 END) OVER {q.RUN} / exp(0.16705408466316624 * (bar_no - 300)) AS ema,
+ max(close) OVER {q.RUN} * 0.95 AS trail_stop, {q.mean('tr', 14, 1)} AS atr, last_value(k IGNORE NULLS) OVER {q.RUN} AS dr FROM sj)""",
              f"sy AS (SELECT *, max(close - 3.0 * atr) OVER {q.RUN} AS atr_stop FROM sx)",
              """sz AS (SELECT name AS symbol, ts, bar_no = n_bars - 1 AS final, CASE WHEN k IS NULL THEN NULL WHEN pk <> k THEN 'CHOCH_' ELSE 'BOS_' END || upper(k) AS event, CASE dr WHEN 'bull' THEN 'bull' WHEN 'bear' THEN 'bear' END AS break_dir,
  ema, trail_stop, atr_stop, lvl_sh AS swing_high, lvl_sl AS swing_low FROM sy)""",
