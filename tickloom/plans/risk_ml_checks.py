@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import ForecastSettings, VolumePriceSettings
 from tickloom.functions.series import is_last, per_block, tail
-from tickloom.operators import flow, joins, ml, risk
+from tickloom.operators import flow, joins, ml, risk, walkforward
 from tickloom.operators import indicators as ind
 from tickloom.plans import sqlkit as q
 from tickloom.plans.flow_context_checks import VP_LAYERS
@@ -177,6 +177,37 @@ R.add("m5_feature_ranks", lambda s, d: ml.fit_report(features(s, d)[0], models(s
 R.add("m6_walk_forward_cutoffs", lambda s, d: ml.walk_forward_cutoffs(bars_daily(s, d)).select("symbol", "ts", "cut_no"),
       q.sql(q.DAILY, "SELECT symbol, ts, bar_no AS cut_no FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS e FROM bars) WHERE n_bars >= 260 AND bar_no >= 120 AND bar_no < n_bars - 64 AND (bar_no - 120) % 21 = 0 AND ts >= CAST(CAST(e AS DATE) - INTERVAL 12 MONTH AS TIMESTAMP)"))
 
+WF_H = (1, 5, 21, 63)
+
+
+def refits(s, d):
+    """Walk-forward forecasts of a model with one feature, which SQL can fit too."""
+    def table():
+        def fn(t, f):
+            move = lambda h: F.greatest(F.least(F.log(F.try_divide(f.lead("close", h), F.col("close"))), F.lit(1.0)), F.lit(-1.0))
+            return t.withColumns({"roc_20": F.coalesce(f.pct_change("close", 20), F.lit(0.0)), **{f"target_{h}": F.when(f.lead("close", h).isNotNull(), move(h)) for h in WF_H}})
+        b = bars_daily(s, d)
+        t = per_block(b, fn, lookback=20, lookahead=max(WF_H))
+        return walkforward.walk_forward(t, ml.walk_forward_cutoffs(b), ["roc_20"], WF_H, ridge=0.0)
+    return derived_table(s, d, "walk_forward", table)
+
+
+WF = [q.DAILY, f"wf AS (SELECT *, coalesce(close / {q.lag('close', 20)} - 1, 0) AS x, max(ts) OVER (PARTITION BY symbol) AS e FROM bars)",
+      "wc AS (SELECT symbol, bar_no AS cut_no, close AS cur, x AS x0 FROM wf WHERE n_bars >= 260 AND bar_no >= 120 AND bar_no < n_bars - 64 AND (bar_no - 120) % 21 = 0 AND ts >= CAST(CAST(e AS DATE) - INTERVAL 12 MONTH AS TIMESTAMP))",
+      f"wy AS (SELECT a.symbol, a.bar_no + h AS known, h, a.x, greatest(-1, least(1, ln(b.close / a.close))) AS y FROM wf a, (SELECT unnest({list(WF_H)}) AS h) JOIN wf b ON b.symbol = a.symbol AND b.bar_no = a.bar_no + h)",
+      """wm AS (SELECT wc.symbol, cut_no, h, any_value(cur) AS cur, any_value(x0) AS x0, count(*) AS n_train, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_syy(y, x) / count(*) AS syy, regr_sxy(y, x) / count(*) AS sxy
+ FROM wc JOIN wy ON wy.symbol = wc.symbol AND known <= cut_no GROUP BY wc.symbol, cut_no, h HAVING count(*) >= 50)""",
+      "wv AS (SELECT *, greatest(-1, least(1, a + b * x0)) AS mv, sqrt(greatest(syy - b * sxy, 0)) AS sg FROM wm)",
+      f"fr AS (SELECT symbol, cut_no, h, n_train, cur, cur * exp(mv) AS pr, cur * exp(mv * abs(mv) / greatest(abs(mv) + sg, 1e-12)) AS pc, cur * exp(greatest(-1, mv - {walkforward.BAND!r} * sg)) AS pl, cur * exp(least(1, mv + {walkforward.BAND!r} * sg)) AS pu FROM wv)",
+      "fe AS (SELECT fr.*, b.close AS a FROM fr JOIN bars b ON b.symbol = fr.symbol AND b.bar_no = cut_no + h)"]
+R.add("m6_walk_forward_refits", lambda s, d: refits(s, d).select("symbol", "cut_no", "horizon", "n_train", *[fix(c, 3).alias(c) for c in ("price_raw", "price_cal", "price_lower", "price_upper")]),
+      q.sql(WF, "SELECT symbol, cut_no, h AS horizon, n_train, " + ", ".join(f"{q.fix(c, 3)} AS {n}" for c, n in (("pr", "price_raw"), ("pc", "price_cal"), ("pl", "price_lower"), ("pu", "price_upper"))) + " FROM fr"))
+R.add("a7_walk_forward_accuracy", lambda s, d: ml.ab_accuracy(ml.forecast_errors(refits(s, d), bars_daily(s, d))).select("horizon", *[fix(c, 3).alias(c) for c in ("mae_raw", "mae_cal", "mape_raw", "hit_raw", "hit_cal", "mae_improve_pct")]),
+      q.sql([*WF, "z AS (SELECT h, avg(abs(pr - a)) AS r, avg(abs(pc - a)) AS c, avg(abs(pr - a) / greatest(a, 1e-9)) AS mr, avg((sign(pr - cur) = sign(a - cur))::INT) AS hr, avg((sign(pc - cur) = sign(a - cur))::INT) AS hc FROM fe GROUP BY h)"],
+            f"SELECT h AS horizon, {q.fix('r', 3)} AS mae_raw, {q.fix('c', 3)} AS mae_cal, {q.fix('mr', 3)} AS mape_raw, {q.fix('hr', 3)} AS hit_raw, {q.fix('hc', 3)} AS hit_cal, {q.fix('(r - c) / nullif(r, 0) * 100', 3)} AS mae_improve_pct FROM z"))
+R.add("a8_walk_forward_errors", lambda s, d: ml.reality_check(refits(s, d), bars_daily(s, d)).select("symbol", "cut_no", "horizon", fix("abs_err", 3).alias("abs_err"), fix("ape", 5).alias("ape"), "hit_2pct", fix("dir_hit", 1).alias("dir_hit")),
+      q.sql(WF, f"SELECT symbol, cut_no, h AS horizon, {q.fix('abs(pr - a)', 3)} AS abs_err, {q.fix('abs(pr - a) / greatest(a, 1e-9)', 5)} AS ape, (abs(pr - a) / greatest(a, 1e-9) <= 0.02)::INT AS hit_2pct, {q.fix('(sign(pr - cur) = sign(a - cur))::INT::DOUBLE', 1)} AS dir_hit FROM fe"))
+
 
 def forecast_rows(s, d):
     """Forecast rows at every 21st bar from plain momentum, for the error studies."""
