@@ -152,6 +152,10 @@ class PrefixEncoder:
             at -= len(self.bytes_of[out[-1]])
         return out[::-1]
 
+    def forget(self) -> None:
+        for known in (self._fit, self._last, self._known):
+            known.clear()
+
     def piece(self, text: str) -> list[int]:
         if (ids := self._known.get(text)) is None:
             raw = text.encode()
@@ -217,7 +221,7 @@ class PrefixEncoder:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", packed: bool = False) -> DataFrame:
     """Adds the token ids of each whole text: an array of ints, or packed as little-endian unsigned 32-bit integers."""
 
-    # one entry per token of the vocabulary, whatever the input; a worker's tasks share what it remembers
+    # one entry per token of the vocabulary, whatever the input; what a task remembers goes with it
     encoder = docs.sparkSession.sparkContext.broadcast(PrefixEncoder(load_ranks(ranks_path), pattern))
 
     def make():
@@ -229,6 +233,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
                 return pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary())
             return pa.array(list(ids), pa.list_(pa.int32()))
 
+        run.forget = enc.forget
         return run
 
     return with_arrow_column(docs, out, T.BinaryType() if packed else T.ArrayType(T.IntegerType()), text, make)

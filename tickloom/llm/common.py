@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,10 +30,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the machine: workers stay, and wait idle beside stages that need no Python."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's batches, a bounded number of rows at a time; memory is given back at the end."""
+    try:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                yield whole.slice(at, ROWS)
+    finally:
+        release()
+
+
 def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Callable[[], Callable[[list], pa.Array]]) -> DataFrame:
     """``df`` with column ``name`` (replaced if it is there) computed from ``source`` in Arrow batches.
 
-    ``make`` runs once per task and gives the function from a batch's values to the new array.
+    ``make`` runs once per task and gives the function from a batch's values to the new array. Where that has an attribute
+    ``forget``, it is called at the end of the task, to drop what was remembered from batch to batch.
     """
     if source not in df.columns:
         raise ValueError(f"no column {source}")
@@ -40,13 +61,15 @@ def with_arrow_column(df: DataFrame, name: str, kind: T.DataType, source: str, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = None
-        for whole in batches:
-            compute = compute or make()
-            keep = [n for n in whole.schema.names if n != name]
-            for at in range(0, whole.num_rows, ROWS):  # whole batches as Python objects would take much memory
-                batch = whole.slice(at, ROWS)
+        try:
+            for batch in slices(batches):  # whole batches as Python objects would take much memory
+                compute = compute or make()
+                keep = [n for n in batch.schema.names if n != name]
                 values = compute(batch.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), values], names=[*keep, name])
+        finally:
+            getattr(compute, "forget", lambda: None)()
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from tickloom.llm.common import array_chunks, merged_array
+from tickloom.llm.common import array_chunks, merged_array, slices
 from tickloom.session import materialize
 
 #: Counters of the frequency sketch, as a power of two.
@@ -127,7 +127,7 @@ def frequencies(docs: DataFrame, n: int, text: str = "text", bits: int = SKETCH_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             values, _ = shingle_sets(batch.column(0).to_pylist(), n)
             total += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if total.any():
@@ -143,7 +143,7 @@ def with_class(docs: DataFrame, n: int, text: str = "text", ranges: bool = False
     schema = T.StructType([*schema.fields, T.StructField("_ranges", T.ArrayType(T.IntegerType()))]) if ranges else schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(_sets(batch.column(text).to_pylist(), n))
             more = [pa.array(map(_key, sets), pa.binary()), pa.array(map(len, sets), pa.int32())]
             if ranges:
@@ -164,7 +164,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray, text: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for s in _sets(batch.column(0).to_pylist(), n):
                 key = _key(s)
@@ -255,7 +255,7 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int, text: str =
 
     def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for s in _sets(batch.column(0).to_pylist(), n):
                 key = _key(s)

@@ -141,6 +141,9 @@ class Field:
             self.near.setdefault(_coarse(word), len(self.near))
         return [self.index[f] for f in features(word) if f in self.index]
 
+    def forget(self) -> None:
+        self._seen.clear()
+
     def word(self, word: str) -> tuple[np.ndarray, int]:
         """Scores of the tags by the word itself, and its class as a neighbour."""
         if (known := self._seen.get(word)) is None:
@@ -374,7 +377,11 @@ def detect(docs: DataFrame, field: Field | None = None, text: str = "text", out:
 
     def make():
         kind = pa.list_(pa.struct([(names[0], pa.string()), (names[1], pa.int32()), (names[2], pa.int32()), (names[3], pa.bool_())]))
-        return lambda texts: pa.array([[dict(zip(names, s)) for s in spans] for spans in find(texts, model.value)], kind)
+        def run(texts: list) -> pa.Array:
+            return pa.array([[dict(zip(names, s)) for s in spans] for spans in find(texts, model.value)], kind)
+
+        run.forget = model.value.forget
+        return run
 
     return with_arrow_column(docs, out, SPAN, text, make)
 
@@ -394,7 +401,11 @@ def redact(docs: DataFrame, field: Field | None = None, text: str = "text", n_ch
                 at = max(at, end)
             return "".join([*parts, t[at:]])
 
-        return lambda texts: pa.array([clean(t, s) for t, s in zip(texts, find(texts, model.value))], pa.string())
+        def run(texts: list) -> pa.Array:
+            return pa.array([clean(t, s) for t, s in zip(texts, find(texts, model.value))], pa.string())
+
+        run.forget = model.value.forget
+        return run
 
     d = with_arrow_column(docs, text, T.StringType(), text, make)
     if n_chars and n_chars in docs.columns:
