@@ -15,8 +15,8 @@ from tickloom.functions.series import Frame, per_block, tail
 from tickloom.operators.clean import finite_or_zero
 from tickloom.operators.indicators import MACD_REACH, add_atr, add_macd, add_rsi, clip, nonzero
 from tickloom.operators.profile import rolling_profile
+from tickloom.operators.quantile_trees import QUANTILES, QuantileModel, predict_quantiles, train_quantiles
 from tickloom.operators.seasonality import seasonality
-from tickloom.session import materialize
 
 BASE_FEATURES = [
     *[f"lag_ret_{k}" for k in range(1, 6)], "ma_5_rel", "ma_15_rel", "rsi_14", "atr_14_rel", "macd_hist_rel", "roc_5", "roc_20", "volume_ratio",
@@ -59,52 +59,42 @@ def feature_table(bars: DataFrame, extra: list[DataFrame] | None = None, horizon
     return d.withColumns({c: finite_or_zero(F.col(c).cast("double")) for c in names}), names
 
 
-def train(table: DataFrame, features: list[str], cfg: ForecastSettings = ForecastSettings(), trees: int = 20, depth: int = 4) -> dict[int, tuple | None]:
-    """One boosted-tree model per horizon on all labelled rows (``train_rows`` keeps the last rows of each symbol
-    instead), with residual quantiles from a held-out fifth of the rows (split-conformal band). A horizon with under
-    ``min_rows`` labelled rows has no model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    labels = [f"target_{h}" for h in cfg.horizons]
-    recent = table if cfg.train_rows is None else tail(table, cfg.train_rows)
-    recent = materialize(recent.select("symbol", "bar_no", *labels, *features), "labelled")
-    counts = recent.agg(*[F.count(y).alias(y) for y in labels]).first()
-    models: dict[int, tuple | None] = {}
-    for h, y in zip(cfg.horizons, labels):
-        if counts[y] < cfg.min_rows:
-            models[h] = None
-            continue
-        rows = recent.where(F.col(y).isNotNull())
-        held = F.pmod(F.xxhash64("symbol", "bar_no"), F.lit(5)) == 0
-        fit, calib = rows.where(~held), rows.where(held)
-        stages = [
-            VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
-            GBTRegressor(featuresCol="_z", labelCol=y, predictionCol=f"q50_{h}", maxIter=trees, maxDepth=depth, stepSize=0.05, seed=42),
-        ]
-        model = Pipeline(stages=stages).fit(fit)
-        lo, hi = model.transform(calib).agg(F.percentile_approx(F.col(y) - F.col(f"q50_{h}"), [0.1, 0.9], 10000)).first()[0]
-        models[h] = (model, float(lo), float(hi))
-    return models
-
-
-def forecast(table: DataFrame, models: dict[int, tuple | None], cfg: ForecastSettings = ForecastSettings()) -> DataFrame:
+def train(table: DataFrame, features: list[str], cfg: ForecastSettings = ForecastSettings(), trees: int = 12, depth: int = 3, calibrate: Column | None = None) -> QuantileModel:
+    """Boosted quantile trees for 10, 50 and 90 % of each horizon's clipped return, on all labelled rows (``train_rows`` keeps the last
+    rows of each symbol instead). A horizon with under ``min_rows`` labelled rows has no model."""
+    rows = table if cfg.train_rows is None else tail(table, cfg.train_rows)
+    return train_quantiles(rows, features, cfg.horizons, trees, depth, min_rows=cfg.min_rows, calibrate=calibrate)
+
+
+def forecast(table: DataFrame, model: QuantileModel, cfg: ForecastSettings = ForecastSettings()) -> DataFrame:
     """Target, lower and upper price per horizon, bias, confidence and veto of every row of ``table``. A horizon
     without a model has null prices and the status NO_MODEL; without the primary one the row is vetoed."""
-    d = table
-    for h, fitted in models.items():
-        names = [f"ai_target_{h}d", f"ai_lower_{h}d", f"ai_upper_{h}d"]
-        if fitted is None:
-            d = d.withColumns({**{c: F.lit(None).cast("double") for c in names}, f"ai_status_{h}d": F.lit("NO_MODEL")})
-            continue
-        model, lo, hi = fitted
-        d = model.transform(d).drop("_x", "_z")
-        values = [F.col("close") * F.exp(clip(F.col(f"q50_{h}") + x, -1.0, 1.0)) for x in (0.0, lo, hi)]
-        d = d.withColumns({**dict(zip(names, values)), f"ai_status_{h}d": F.lit("OK")}).drop(f"q50_{h}")
-    if not models:
+    d = predict_quantiles(table, model, "_q")
+    for h in cfg.horizons:
+        names = {f"ai_target_{h}d": f"_q50_{h}", f"ai_lower_{h}d": f"_q10_{h}", f"ai_upper_{h}d": f"_q90_{h}"}
+        if h in model.horizons:
+            d = d.withColumns({n: F.col("close") * F.exp(clip(F.col(q), -1.0, 1.0)) for n, q in names.items()} | {f"ai_status_{h}d": F.lit("OK")}).drop(*names.values())
+        else:
+            d = d.withColumns({n: F.lit(None).cast("double") for n in names} | {f"ai_status_{h}d": F.lit("NO_MODEL")})
+    if not cfg.horizons:
         return d.withColumns({"ai_bias": F.lit(0), "ai_signal": F.lit(0), "ai_confidence": F.lit(0.0), "ai_veto": F.lit(True)})
-    return forecast_signals(d, cfg, min(models))
+    return forecast_signals(d, cfg, min(cfg.horizons))
+
+
+def scan_forecasts(forecasts: DataFrame, near: int = 21, far: int = 63) -> DataFrame:
+    """What the universe scan reads of forecasts: expected moves in percent and the confidence."""
+    move = lambda h: (F.try_divide(F.col(f"ai_target_{h}d"), F.col("close")) - 1) * 100
+    return forecasts.select("symbol", move(near).alias(f"pred_{near}d_ret_raw"), move(far).alias(f"pred_{far}d_ret_raw"), "ai_confidence")
+
+
+def band_coverage(table: DataFrame, model: QuantileModel) -> DataFrame:
+    """Per horizon of the model: labelled rows, the share whose outcome lies in the band, the share of clipped outcomes (a band holds all of one
+    side's or none) and the mean width of the band."""
+    d = predict_quantiles(table, model, "_q")
+    each = [F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("y"), F.col(f"_q10_{h}").alias("lo"), F.col(f"_q90_{h}").alias("hi")) for h in model.horizons]
+    d = d.select(F.explode(F.array(*each)).alias("r")).select("r.*").where("y is not null")
+    return d.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("y").between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage"),
+                                      F.avg((F.abs("y") >= 1).cast("double")).alias("at_limit"), F.avg(F.col("hi") - F.col("lo")).alias("width"))
 
 
 def forecast_signals(d: DataFrame, cfg: ForecastSettings = ForecastSettings(), h: int = 1) -> DataFrame:
@@ -118,13 +108,13 @@ def forecast_signals(d: DataFrame, cfg: ForecastSettings = ForecastSettings(), h
     return d.withColumns({"ai_veto": veto, "ai_bias": F.when(veto, 0).when(down, -1).when(up, 1).otherwise(0)}).withColumn("ai_signal", F.col("ai_bias"))
 
 
-def fit_report(table: DataFrame, models: dict[int, tuple | None], features: list[str], h: int = 1) -> DataFrame:
-    """R2, MAE and certification of the primary model, one row per feature with its importance."""
-    model = models[h][0]
-    y, p = F.col(f"target_{h}"), F.col(f"q50_{h}")
-    scored = model.transform(table.where(y.isNotNull()))
+def fit_report(table: DataFrame, model: QuantileModel, features: list[str], h: int = 1) -> DataFrame:
+    """R2, MAE and certification of the primary horizon's median, one row per feature with its share of the gains."""
+    y, p = F.col(f"target_{h}"), F.col(f"_q50_{h}")
+    scored = predict_quantiles(table.where(y.isNotNull()), model, "_q")
     m = scored.agg((F.lit(1.0) - F.try_divide(F.avg((y - p) ** 2), F.var_pop(y))).alias("r2"), F.avg(F.abs(y - p)).alias("mae")).first()
-    weights = model.stages[-1].featureImportances.toArray()
+    gains = model.gains[model.horizons.index(h) * len(QUANTILES) + 1]
+    weights = gains / max(gains.sum(), 1e-300)
     rows = sorted(zip(features, map(float, weights)), key=lambda x: -x[1])
     spark = table.sparkSession
     return spark.createDataFrame(

@@ -37,6 +37,7 @@ TIPS = (
     "Điều kiện dữ liệu ổn định; tập trung Top Grade A, quản trị rủi ro theo SL.",
     "Không có dữ liệu hợp lệ hôm nay; ưu tiên đứng ngoài và kiểm tra nguồn feed.",
 )
+from tickloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -497,8 +498,10 @@ def universe_scan(bars: DataFrame, bench: DataFrame, forecasts: DataFrame, struc
     from tickloom.operators.flow import quant_money_flow
     from tickloom.operators.indicators import volatility
 
-    survivors = prefilter(tier_filter(tier1(price_action(bars, bench), bars), cfg), quick_phase(bars), cfg)
-    deep = bars.where(F.col("n_bars") >= 80).join(survivors.select("symbol"), "symbol", "left_semi")
+    # cut where several branches go on: a few rows, and the bars of these few symbols that deep scores reach back to
+    survivors = materialize(prefilter(tier_filter(tier1(price_action(bars, bench), bars), cfg), quick_phase(bars), cfg), "survivors")
+    deep = materialize(bars.where(F.col("n_bars") >= 80).join(survivors.select("symbol"), "symbol", "left_semi"), "deep_bars")
+    structure, wyckoff = (materialize(t.join(survivors.select("symbol"), "symbol", "left_semi"), n) for t, n in ((structure, "deep_structure"), (wyckoff, "deep_phases")))
     last = F.col("bar_no") == F.col("n_bars") - 1
     qmf = quant_money_flow(tail(deep, 60)).where(last).select("symbol", "qmf_score", "qmf_signal")
     vol = volatility(tail(deep, 60)).where(last).select("symbol", F.col("ret_std").alias("daily_vol"))

@@ -8,11 +8,15 @@ from tickloom.config import ForecastSettings, VolumePriceSettings
 from tickloom.functions.series import is_last, per_block, tail
 from tickloom.operators import flow, joins, ml, risk, walkforward
 from tickloom.operators import indicators as ind
+from tickloom.operators import scanner as sc
+from tickloom.operators import wyckoff
 from tickloom.plans import sqlkit as q
 from tickloom.plans.flow_context_checks import VP_LAYERS
 from tickloom.plans.registry import KEY, Registry, fix, rounded, sel
 from tickloom.plans.scanner_checks import SCAN, scan
-from tickloom.sources.driver_tables import bars_daily, bars_hourly, derived_table, table
+from tickloom.plans.smc_checks import state
+from tickloom.plans.wyckoff_elliott_checks import wy_table
+from tickloom.sources.driver_tables import bars_daily, bars_hourly, benchmark_daily, derived_table, table
 
 R = Registry()
 RET = f"rt AS (SELECT *, close / {q.lag('close')} - 1 AS r FROM bars)"
@@ -127,6 +131,7 @@ def models(s, d):
 
 
 R.add("m2_panel_forecasts", lambda s, d: ml.forecast(features(s, d)[0].where(is_last()), models(s, d), FC_CFG).select("symbol", *[F.round(c, 2).alias(c) for h in FC_CFG.horizons for c in (f"ai_target_{h}d", f"ai_lower_{h}d", f"ai_upper_{h}d")]))
+R.add("x_universe_scan", lambda s, d: sc.universe_scan(bars_daily(s, d), benchmark_daily(s, d), ml.scan_forecasts(ml.forecast(features(s, d)[0].where(is_last()), models(s, d), FC_CFG)), state(s, d), wyckoff.wyckoff_state(wy_table(s, d))))
 M3 = ["m3a AS (SELECT symbol, last_close AS c, last_close * (0.97 + (k % 60) / 1000.0e0) AS lo, last_close * (0.975 + (k % 90) / 1000.0e0) AS hi FROM scan)", "m3b AS (SELECT *, CASE WHEN c > 0 THEN greatest(0, least(1, 1 - (hi - lo) / c / 0.05)) ELSE 0 END AS cf FROM m3a)"]
 add("m3_forecast_signals", lambda x: ml.forecast_signals(x.select("symbol", F.col("last_close").alias("close"), F.expr("last_close * (0.97 + (k % 60) / 1000.0e0)").alias("ai_lower_1d"), F.expr("last_close * (0.975 + (k % 90) / 1000.0e0)").alias("ai_upper_1d"))), M3,
     {"symbol": "symbol", "ai_confidence": ("cf", 5), "ai_veto": "cf < 0.25", "ai_bias": "CASE WHEN cf < 0.25 THEN 0 WHEN ln(hi / c) < -0.001 THEN -1 WHEN ln(lo / c) > 0.001 THEN 1 ELSE 0 END"}, "m3b")
@@ -155,6 +160,23 @@ R.add("m2_forecast_bands", forecast_rows_by_horizon,
       q.sql([q.DAILY, f"h AS (SELECT unnest({list(FC_CFG.horizons)}) AS horizon)", "l AS (SELECT h.horizon, count(*) AS n FROM h JOIN bars ON bar_no < n_bars - h.horizon WHERE close > 0 GROUP BY 1)",
              "y AS (SELECT symbol, arg_max(close, bar_no) AS last FROM bars GROUP BY symbol)"],
             f"SELECT symbol, horizon, CASE WHEN n >= {FC_CFG.min_rows} THEN 'OK' ELSE 'NO_MODEL' END AS status, n >= {FC_CFG.min_rows} AND last > 0 AS in_order, n >= {FC_CFG.min_rows} AS clipped FROM y, l"))
+
+
+def coverage(s, d):
+    """The band on every fifth bar of all symbols, which neither the trees nor its calibration have seen."""
+    t, names = features(s, d)
+    fold = F.pmod(F.col("bar_no"), F.lit(5))
+    model = ml.train(t.where(fold != 3), names, FC_CFG, calibrate=fold == 4)
+    c = ml.band_coverage(t.where(fold == 3), model)
+    # beside the two points, what chance does to a share of so many rows; clipped outcomes can only come in together
+    off = 0.02 + 1.2 / F.sqrt("n_rows")
+    covered = (F.col("coverage") >= 0.8 - off) & (F.col("coverage") - F.col("at_limit") <= 0.8 + off)
+    return c.select("horizon", "n_rows", covered.alias("covered"), ((F.col("width") > 0) & (F.col("width") < 2)).alias("bounded"))
+
+
+R.add("m2_band_coverage", coverage,
+      q.sql([q.DAILY, f"h AS (SELECT unnest({list(FC_CFG.horizons)}) AS horizon)", "l AS (SELECT h.horizon, count(*) AS n, count(*) FILTER (bar_no % 5 = 3) AS k FROM h JOIN bars ON bar_no < n_bars - h.horizon WHERE close > 0 GROUP BY 1)"],
+            f"SELECT horizon, k AS n_rows, true AS covered, true AS bounded FROM l WHERE n - k >= {FC_CFG.min_rows} AND k > 0"))
 MORE = {"volume_z": f"(volume - {q.mean('volume', 20, 5)}) / nullif({q.std('volume', 20, 5)}, 0)", "price_range": "(high - low) / nullif(close, 0)", "vp_divergence": "volume_ratio * abs(price_change)"}
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ml.ANOMALY_FEATURES)
 

@@ -161,17 +161,6 @@ add("p17_execution_gate", lambda x: sc.execution_gate(x.withColumns({"available"
     {"symbol": "symbol", "daily_bullish": "dbl", "h4_bullish": "h4", "h1_actionable": "h1", "bullish_trigger": "tr", "mtf_confirmed": "dbl AND h4", "buy_triggered": "dbl AND h4 AND h1 AND tr"})
 
 
-def naive_forecasts(s, d):
-    """Momentum stand-in for the model forecasts, so that the scan is reproducible."""
-    from tickloom.operators.indicators import per_block
-
-    b = tail(bars_daily(s, d), 70)
-    x = per_block(b, lambda t, f: t.withColumns({"pred_21d_ret_raw": f.pct_change("close", 21) * 10, "pred_63d_ret_raw": f.pct_change("close", 63) * 10}), lookback=64).where(is_last())
-    return x.select("symbol", "pred_21d_ret_raw", "pred_63d_ret_raw", F.lit(0.3).alias("ai_confidence"))
-
-
-R.add("x_universe_scan", lambda s, d: sc.universe_scan(bars_daily(s, d), benchmark_daily(s, d), naive_forecasts(s, d), state(s, d), wyckoff.wyckoff_state(wy_table(s, d))))
-
 # ---- plans -----------------------------------------------------------------------------------------
 
 
