@@ -171,13 +171,15 @@ def test_few_zones_are_kept_in_a_cell(spark):
     assert kept[1] < 2 * kept[0] and kept[1] < 120
 
 
-def test_zigzag(spark, noisy):
-    got = collect(elliott.zigzag(to_bars(spark, noisy), 0.08, last=10_000), "symbol", "pivot_no")
+@pytest.mark.parametrize("block,threshold", [(None, 0.08), (4, 0.08), (7, 0.02), (50, 0.3)])
+def test_zigzag(spark, noisy, block, threshold):
+    """Blocks of any length give the pivots of the plain loop."""
+    got = collect(elliott.zigzag(to_bars(spark, noisy), threshold, 10_000, block), "symbol", "pivot_no")
     for sym, g in noisy.groupby("symbol"):
         g = g.reset_index(drop=True)
         pivots, ref, kind = [], g.high[0], None
         for i in range(1, len(g)):
-            new = "H" if g.high[i] > ref * 1.08 else "L" if g.low[i] < ref * 0.92 else None
+            new = "H" if g.high[i] > ref * (1 + threshold) else "L" if g.low[i] < ref * (1 - threshold) else None
             if new:
                 ref = g.high[i] if new == "H" else g.low[i]
                 if new == kind:
@@ -188,6 +190,7 @@ def test_zigzag(spark, noisy):
         mine = got[got.symbol == sym]
         assert [(r.bar_no, r.kind) for r in mine.itertuples()] == [(i, k) for i, _, k in pivots]
         np.testing.assert_allclose(mine.price, [p for _, p, _ in pivots])
+        assert list(mine.pivot_no) == list(range(1, len(pivots) + 1))
 
 
 def test_hrp_weights(spark):

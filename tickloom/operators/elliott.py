@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.series import BLOCK
+
 # Rule texts and projection ratios.
 RULES = ("Rule 1: Wave 2 retraced > 100% of Wave 1", "Rule 2: Wave 3 is shortest (invalid)", "Rule 3: Wave 4 overlaps Wave 1 territory")
 RATIOS = {
@@ -16,43 +19,132 @@ RATIOS = {
 }
 
 
-def _pivot_scan(threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows arrive sorted by (symbol, bar). A pivot stays open while the swing extends and is written when
-    the direction turns or the symbol ends; the state is one pivot."""
+def _next_turn(high: np.ndarray, low: np.ndarray, start: int, ref: float, threshold: float) -> tuple[int, str] | None:
+    """The first bar from ``start`` on that is above or below the reference price by the threshold, and on which side."""
+    up, down, step = ref * (1 + threshold), ref * (1 - threshold), 64
+    while start < len(high):
+        hit = (high[start : start + step] > up) | (low[start : start + step] < down)
+        if hit.any():
+            i = start + int(hit.argmax())
+            return i, "H" if high[i] > up else "L"
+        start, step = start + step, 2 * step
+    return None
+
+
+def _summary(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """What a block of bars does to any reference price that comes in. It acts first where a new highest high or lowest low of the
+    block passes the threshold, and what follows depends on that bar and side alone: so a row holds these bars in order, and for each
+    the reference, side and number of turns that the block is left with."""
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_no")
+        high, low, pos = pdf["high"].to_numpy(dtype=float), pdf["low"].to_numpy(dtype=float), pdf["bar_no"].to_numpy()
+        begins = len(pos) > 0 and pos[0] == 0
+        start = 1 if begins else 0
+        left: dict[tuple[int, str], tuple[float, str, int]] = {}
+
+        def leave(i: int, side: str) -> tuple[float, str, int]:
+            trail = []
+            while (i, side) not in left:
+                trail.append((i, side))
+                ref = high[i] if side == "H" else low[i]
+                turn = _next_turn(high, low, i + 1, ref, threshold)
+                if turn is None:
+                    left[i, side] = (float(ref), side, 0)
+                    break
+                i, side = turn
+            for node in reversed(trail):
+                if node not in left:
+                    ref, kind, turns = left[i, side]
+                    left[node] = (ref, kind, turns + (side != node[1]))
+                i, side = node
+            return left[i, side]
+
+        rows = []
+        top = np.fmax.accumulate(high[start:]) if len(high) > start else high[:0]
+        floor = np.fmin.accumulate(low[start:]) if len(low) > start else low[:0]
+        for side, record in (("H", top), ("L", floor)):
+            fresh = np.flatnonzero(np.concatenate([[True], np.diff(record) != 0]) & ~np.isnan(record)) if len(record) else []
+            rows += [(start + int(k), side, float(record[k]), *leave(start + int(k), side)) for k in fresh]
+        rows.sort(key=lambda r: (r[0], r[1]))
+        at, side, price, ref, kind, turns = zip(*rows) if rows else ((),) * 6
+        first = float(high[0]) if begins else None
+        return pd.DataFrame([(*key, first, list(at), list(side), list(price), list(ref), list(kind), list(turns))], columns=["symbol", "_blk", "first", "at", "side", "price", "ref", "kind", "turns"])
+
+    return block
+
+
+_SUMMARY = "symbol string, _blk int, first double, at array<int>, side array<string>, price array<double>, ref array<double>, kind array<string>, turns array<int>"
+_ENTRY = "symbol string, _blk int, ref_in double, kind_in string, no_in long, closes boolean"
+
+
+def _entries(threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Block summaries come sorted by (symbol, block); each block in which something turns gets the state it begins with, and
+    whether its last swing ends there or goes on in a later block."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, ref, kind, open_pivot, no = None, 0.0, None, None, 0
+        symbol, ref, kind, no, waiting = None, 0.0, None, 0, None
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.symbol != symbol:
-                    if open_pivot:
-                        out.append(open_pivot)
-                    symbol, ref, kind, open_pivot, no = r.symbol, r.high, None, None, 0
-                    continue
-                up, down = r.high > ref * (1 + threshold), r.low < ref * (1 - threshold)
-                if not (up or down):
-                    continue
-                now, price = ("H", r.high) if up else ("L", r.low)
-                if now != kind:
-                    if open_pivot:
-                        out.append(open_pivot)
-                    no += 1
-                    kind = now
-                open_pivot = (symbol, no, int(r.bar_no), r.ts, float(price), now)
-                ref = price
-            yield pd.DataFrame(out, columns=["symbol", "pivot_no", "bar_no", "ts", "price", "kind"])
-        if open_pivot:
-            yield pd.DataFrame([open_pivot], columns=["symbol", "pivot_no", "bar_no", "ts", "price", "kind"])
+                    if waiting:
+                        out.append((*waiting, True))
+                    symbol, kind, no, waiting = r.symbol, None, 0, None
+                if r.first is not None and r.first == r.first:
+                    ref = r.first
+                up, down = ref * (1 + threshold), ref * (1 - threshold)
+                for side, price, next_ref, next_kind, turns in zip(r.side, r.price, r.ref, r.kind, r.turns):
+                    if price > up if side == "H" else price < down:
+                        if waiting:
+                            out.append((*waiting, side != kind))
+                        waiting = (r.symbol, r._1, ref, kind, no)
+                        no += (side != kind) + turns
+                        ref, kind = next_ref, next_kind
+                        break
+            yield pd.DataFrame(out, columns=["symbol", "_blk", "ref_in", "kind_in", "no_in", "closes"])
+        if waiting:
+            yield pd.DataFrame([(*waiting, True)], columns=["symbol", "_blk", "ref_in", "kind_in", "no_in", "closes"])
 
     return scan
 
 
-def zigzag(bars: DataFrame, threshold: float = 0.08, last: int = 14) -> DataFrame:
-    """Alternating swing pivots of at least ``threshold``; the newest ``last`` per symbol."""
-    feed = bars.where(F.col("n_bars") >= 10).select("symbol", "bar_no", "ts", "high", "low")
+def _replay(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The pivots of one block from the state it begins with."""
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_no")
+        high, low, pos, ts = (pdf[c].to_numpy() for c in ("high", "low", "bar_no", "ts"))
+        ref, kind, no = pdf["ref_in"].iloc[0], pdf["kind_in"].iloc[0], int(pdf["no_in"].iloc[0])
+        i, out = 0 if pos[0] else 1, []
+        while (turn := _next_turn(high, low, i, ref, threshold)) is not None:
+            i, side = turn
+            if side != kind:
+                kind, no = side, no + 1
+                out.append(None)
+            ref = high[i] if side == "H" else low[i]
+            if not out:
+                out.append(None)
+            out[-1] = (key[0], no, int(pos[i]), ts[i], float(ref), side)
+            i += 1
+        if not pdf["closes"].iloc[0]:
+            out.pop()
+        return pd.DataFrame(out, columns=["symbol", "pivot_no", "bar_no", "ts", "price", "kind"])
+
+    return block
+
+
+def zigzag(bars: DataFrame, threshold: float = 0.08, last: int = 14, block: int | None = None) -> DataFrame:
+    """Alternating swing pivots of at least ``threshold``; the newest ``last`` per symbol.
+
+    Blocks of bars are summed up and, once the state before each is known, replayed in parallel; what goes through one task per symbol is
+    one short row per block."""
+    blk = F.floor(F.col("bar_no") / (block or BLOCK)).cast("int")
+    feed = bars.where(F.col("n_bars") >= 10).select("symbol", "bar_no", "ts", "high", "low", blk.alias("_blk"))
+    sums = feed.select("symbol", "_blk", "bar_no", "high", "low").groupBy("symbol", "_blk").applyInPandas(_summary(threshold), _SUMMARY)
+    entries = sums.repartition("symbol").sortWithinPartitions("symbol", "_blk").mapInPandas(_entries(threshold), _ENTRY)
     schema = "symbol string, pivot_no long, bar_no long, ts timestamp_ntz, price double, kind string"
-    pivots = feed.repartition("symbol").sortWithinPartitions("symbol", "bar_no").mapInPandas(_pivot_scan(threshold), schema)
+    pivots = feed.join(entries, ["symbol", "_blk"]).groupBy("symbol", "_blk").applyInPandas(_replay(threshold), schema)
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("pivot_no")))
     return pivots.withColumn("_rank", rank).where(F.col("_rank") <= last).drop("_rank")
 
