@@ -128,3 +128,31 @@ def test_equal_times_are_numbered_alike(spark):
     pdf = pd.concat([walk(40, 1, "A"), walk(40, 2, "A"), walk(40, 3, "A")])
     one, two = (collect(to_bars(spark, pdf.sample(frac=1, random_state=k)), "bar_no") for k in (1, 2))
     assert one.equals(two[one.columns])
+
+
+def test_exact_percentile(spark):
+    """Ties, outliers and one value, with few buckets so that many passes are needed."""
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=3000), np.round(rng.normal(size=500), 1), np.concatenate([rng.random(400), [1e12, -1e12]]), np.array([2.5]), np.full(40, 7.0)):
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (float("nan"),)], "v double")
+        for share in (0.0, 0.05, 0.5, 0.999, 1.0):
+            np.testing.assert_allclose(series.exact_percentile(df, "v", share, 7), np.quantile(values, share), rtol=1e-12, atol=1e-12)
+    assert series.exact_percentile(spark.createDataFrame([], "v double"), "v", 0.5) is None
+
+
+def test_asof_shuffles_rows_once(spark):
+    """Against a plain merge, with ties, missing keys and empty quarters; one exchange of rows, the others have a row per quarter."""
+    from tickloom.operators.joins import asof_join
+
+    rng = np.random.default_rng(6)
+    day = lambda n: pd.Timestamp("2020-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 1500, n)), unit="D")
+    left = pd.concat([pd.DataFrame({"symbol": s, "ts": day(120), "x": np.arange(120)}) for s in "ABC"])
+    right = pd.concat([pd.DataFrame({"symbol": s, "ts": day(n), "v": rng.random(n)}) for s, n in (("A", 40), ("B", 3))]).sort_values(["symbol", "ts", "v"])
+    ntz = lambda d: spark.createDataFrame(d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = asof_join(ntz(left), ntz(right), ["v"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
+    have = got.toPandas().sort_values(["symbol", "x"]).reset_index(drop=True)
+    want = pd.merge_asof(left.sort_values("ts", kind="stable"), right.sort_values("ts", kind="stable"), on="ts", by="symbol").sort_values(["symbol", "x"]).reset_index(drop=True)
+    np.testing.assert_allclose(have["v"].astype(float), want["v"].astype(float))
+    assert have["v"].isna().sum() >= 120

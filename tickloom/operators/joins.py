@@ -6,30 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import index_bars, running
-
 
 def asof_join(
     left: DataFrame, right: DataFrame, columns: list[str], key: str = "symbol", ts: str = "ts", chunk: str = "quarter",
     back_fill: bool = False,
 ) -> DataFrame:
-    """Newest right row at or before each left row, per key. Both sides are stacked, numbered once and
-    the last right values are carried forward, so nothing is compared pairwise. ``back_fill`` also gives
-    the rows before the first match its values (look-ahead)."""
+    """Newest right row at or before each left row, per key. Both sides are stacked and the last right values carried
+    forward inside calendar chunks; one row per chunk carries what earlier chunks end with. Rows are shuffled once, and nothing
+    is numbered or compared pairwise. ``back_fill`` also gives the rows before the first match its values (look-ahead)."""
     from tickloom.operators.indicators import fill
 
     payload = F.struct(*columns)
     stacked = left.withColumns({"_side": F.lit(1), "_r": F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType)}).unionByName(
         right.select(key, ts, F.lit(0).alias("_side"), payload.alias("_r")), allowMissingColumns=True
-    )
-    keep = [c for c in ("bar_no", "n_bars") if c in left.columns]
-    stacked = stacked.withColumnsRenamed({c: f"_{c}" for c in keep})
-    d = running(index_bars(stacked, key, ts, chunk, then=("_side", "_r")), {"_m": ("last", "_r")}, key=key)
-    d = d.where(F.col("_side") == 1).select("*", *[F.col(f"_m.{c}").alias(c) for c in columns])
-    d = d.drop("_side", "_r", "_m", "bar_no", "n_bars").withColumnsRenamed({f"_{c}": c for c in keep})
+    ).withColumn("_chunk", F.date_trunc(chunk, F.col(ts)).cast("timestamp_ntz"))
+    upto = Window.partitionBy(key, "_chunk").orderBy(ts, "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    newest = F.max_by("_r", F.when(F.col("_side") == 0, F.struct(ts, "_r")))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = stacked.groupBy(key, "_chunk").agg(newest.alias("_end")).select(key, "_chunk", F.last("_end", True).over(before).alias("_carry"))
+    d = stacked.withColumn("_m", F.last("_r", True).over(upto)).where(F.col("_side") == 1)
+    same = [d[c].eqNullSafe(carry[c]) for c in (key, "_chunk")]
+    d = d.join(carry, same[0] & same[1]).select(*[d[c] for c in left.columns], F.coalesce("_m", "_carry").alias("_m"))
+    d = d.select(*[c for c in left.columns if c not in columns], *[F.col(f"_m.{c}").alias(c) for c in columns])
     return fill(d, columns, back=True) if back_fill else d
 
 

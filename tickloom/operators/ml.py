@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.config import ForecastSettings, VolumePriceSettings
-from tickloom.functions.series import Frame, per_block, tail
+from tickloom.functions.series import Frame, exact_percentile, per_block, tail
 from tickloom.operators.clean import finite_or_zero
 from tickloom.operators.indicators import MACD_REACH, add_atr, add_macd, add_rsi, clip, nonzero
 from tickloom.operators.profile import rolling_profile
 from tickloom.operators.quantile_trees import QUANTILES, QuantileModel, predict_quantiles, train_quantiles
 from tickloom.operators.seasonality import seasonality
+from tickloom.session import materialize
 
 BASE_FEATURES = [
     *[f"lag_ret_{k}" for k in range(1, 6)], "ma_5_rel", "ma_15_rel", "rsi_14", "atr_14_rel", "macd_hist_rel", "roc_5", "roc_20", "volume_ratio",
@@ -245,5 +246,6 @@ def anomaly_scores(rows: DataFrame, forest: DataFrame, features: list[str] = ANO
     for f in features:
         whole = whole & F.col(f).isNotNull()
     d = rows.withColumn("vp_ml_score", F.when(whole, score(F.struct(*[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features]))))
-    cut = d.agg(F.expr(f"percentile(vp_ml_score, {cfg.contamination})")).scalar()
+    d = materialize(d, "scored")  # read by each pass of the selection
+    cut = exact_percentile(d, "vp_ml_score", cfg.contamination)
     return d.withColumn("vp_ml_anomaly", F.coalesce(F.col("vp_ml_score") < cut, F.lit(False)))
