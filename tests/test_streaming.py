@@ -54,12 +54,16 @@ def test_bars_equal_batch(spark, landed):
 
 
 def test_alert_is_sent_once(spark, landed):
+    """Keys are sent once over all batches, and old ones leave the state store."""
     events, path = landed
     zones = spark.createDataFrame([(t, 1e9, 0.0) for t in ("click", "view", "error", "signup", "purchase")], "symbol string, top double, bottom double")
     bars = source(spark, events, path).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("low"), F.col("value").alias("high"), F.col("value").alias("close"))
-    got = st.run_available(bars, out(spark), each=st.alert_once(out(spark), zones)).toPandas()
-    assert got["alert_key"].is_unique
-    assert len(got) == events.select("event_type", F.to_date("ts")).distinct().count()
+    seen = []
+    query = st.alert_stream(bars, zones).writeStream.trigger(availableNow=True).option("checkpointLocation", out(spark)).foreachBatch(lambda b, _: seen.extend(r.alert_key for r in b.collect())).start()
+    query.awaitTermination()
+    assert len(seen) == len(set(seen)) == events.select("event_type", F.to_date("ts")).distinct().count()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert kept[-1] <= 5 * 3 < len(seen)
 
 
 def test_risk_covers_all_batches(spark, landed):

@@ -18,6 +18,7 @@ from tickloom.plans.risk_ml_checks import var_sql
 from tickloom.plans.scanner_checks import MID, RATED, SCAN, SHORT, rated, scan
 from tickloom.session import shared_dir
 from tickloom.sources import registry, store
+from tickloom.sources.barstore import BarStore
 from tickloom.sources.driver_tables import bars_daily, bars_hourly, benchmark_daily, table
 
 R = Registry()
@@ -41,6 +42,23 @@ def upserted(s, d):
 R.add("s2_upserted_bars", lambda s, d: upserted(s, d).select(*KEY, "close", "volume", "market"), q.sql(q.DAILY, "SELECT symbol, ts, close + 5000.0 AS close, volume, market FROM bars"))
 
 
+def merged_in_place(s, d):
+    """Three deliveries merged one after the other, the last one twice."""
+    b = bars_daily(s, d).select("symbol", "ts", *OHLCV, "market")
+    since = lambda t: F.col("ts") >= F.lit(t).cast("timestamp_ntz")
+    keep = BarStore(s, scratch(s))
+    keep.merge(b.where(~since("1998-01-01")), 0)
+    keep.merge(b.where(since("1996-06-15") & ~since("1997-02-01")).withColumn("close", F.col("close") + 1), 1)
+    for _ in range(2):
+        keep.merge(b.where(since("1997-01-10") & (F.col("market") != "US")).withColumn("volume", F.col("volume") * 2), 2)
+    return keep.read()
+
+
+R.add("s2_merged_in_place", lambda s, d: merged_in_place(s, d).select(*KEY, "close", "volume", "market"),
+      q.sql(q.DAILY, """SELECT symbol, ts, close + CASE WHEN ts >= '1996-06-15' AND ts < '1997-02-01' AND NOT (ts >= '1997-01-10' AND market <> 'US') THEN 1.0 ELSE 0 END AS close,
+ volume * CASE WHEN ts >= '1997-01-10' AND market <> 'US' THEN 2.0 ELSE 1.0 END AS volume, market FROM bars WHERE ts < '1998-01-01' OR market <> 'US'"""))
+
+
 def instrument_list(s, d):
     path = scratch(s)
     x = instruments(s, d).withColumn("updated", F.lit("2024-01-01").cast("timestamp_ntz") - F.make_dt_interval(days=F.length("name")))

@@ -110,7 +110,7 @@ R.add("st8_rolling_geo_risk", lambda s, d: run(s, source(s, d), each=st.risk_ove
 ZONES = lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.percentile("value", 0.98).alias("bottom"), F.percentile("value", 0.99).alias("top"))
 
 
-R.add("st9_zone_alerts", lambda s, d: run(s, bar_stream(s, d), each=st.alert_once(out(s), ZONES(s, d))).select("alert_key"),
+R.add("st9_zone_alerts", lambda s, d: run(s, st.alert_stream(bar_stream(s, d), ZONES(s, d))).select("alert_key"),
       q.sql([q.HOURLY, "z AS (SELECT event_type AS symbol, quantile_cont(value, 0.98) AS bottom, quantile_cont(value, 0.99) AS top FROM events GROUP BY 1)"], "SELECT DISTINCT h.symbol || '|' || strftime(h.ts, '%Y-%m-%d') || '|' || printf('%.2f-%.2f', bottom, top) AS alert_key FROM hours h JOIN z USING (symbol) WHERE low <= top AND high >= bottom"))
 def notices(s, d):
     """A batch with all events, and one in which no event is left."""

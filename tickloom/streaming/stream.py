@@ -99,23 +99,11 @@ def risk_over_history(path: str, normalize: Callable[[DataFrame], DataFrame], cf
     return step
 
 
-def alert_once(path: str, zones: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
-    """A foreachBatch step: zone alerts of the batch that no earlier batch has sent; their keys are landed
-    per batch, and a repeated batch replaces its own keys."""
-
-    def step(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        earlier = spark.createDataFrame([], "alert_key string")
-        if batch_id > 0:
-            sent = spark.read.schema("alert_key string, batch int").parquet(f"{path}/sent")
-            earlier = sent.where(F.col("batch") < batch_id).select("alert_key")
-        fresh = unsent(zone_alerts(batch, zones), earlier)
-        rest = [c for c in fresh.columns if c != "alert_key"]
-        fresh = fresh.groupBy("alert_key").agg(F.min_by(F.struct(*rest), "ts").alias("_r")).select("alert_key", "_r.*")
-        fresh.select("alert_key").write.mode("overwrite").parquet(f"{path}/sent/batch={batch_id}")
-        return fresh
-
-    return step
+def alert_stream(bars: DataFrame, zones: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Closed bars of a stream that touch a standing zone, one for each alert key, as soon as the first one comes. Keys name a day, so those
+    that were sent are kept in the state store for ``delay`` of event time (a day at least, or a key could come again) and dropped then: what a
+    batch reads does not grow with what was sent before it."""
+    return zone_alerts(with_event_time(bars, "ts", delay), zones).dropDuplicatesWithinWatermark(["alert_key"])
 
 
 def zone_alerts(bars: DataFrame, zones: DataFrame) -> DataFrame:
