@@ -48,7 +48,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     the same hash are repeated, and each adds the words up to the next such place, three at most.
     """
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(WORD))
-    d = docs.select(*[c for c in docs.columns if c not in MEASURES], F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    kept = [c for c in docs.columns if c not in MEASURES]  # under names of their own meanwhile
+    d = docs.select(*[docs[f"`{c}`"].alias(f"_{k}") for k, c in enumerate(kept)], F.coalesce(F.col(text), F.lit("")).alias("_t"))
     d = once(d, _w=F.filter(F.split("_t", SPACE), lambda x: x != ""), _l=lines)
     n = F.size("_w")
     windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i), F.get("_w", i + 1)))
@@ -60,14 +61,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.zip_with("_s", F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))),
         F.lit(0).cast("bigint"), lambda total, x: total + x)
-    return d.withColumns({
+    values = {
         "n_words": n.cast("long"),
         "word_chars": F.length(F.regexp_replace("_t", SPACE, "")).cast("long"),
         "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "n_repeat_words": covered,
-    }).drop("_t", "_w", "_l", "_h", "_p", "_s")
+    }
+    return d.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(kept)], *[v.alias(c) for c, v in values.items()])
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
