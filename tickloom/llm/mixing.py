@@ -112,11 +112,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     size = word_count(text) if size is None else size
     p = plan(docs, weights, share, cap, epochs, doc_id, source, size, text, seed)
     p = small(p, p).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target"), "last_copy")
-    d = docs.withColumns({"_mix_size": size, "_mix_key": shuffle_key(doc_id, seed)})
-    d = d.join(p, d[source].eqNullSafe(p["_mix_source"]), "left")
+    # the document is one column meanwhile, so that none of its own clashes with what is joined
+    d = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("_mix_doc"), F.col(source).alias("_mix_of"), size.alias("_mix_size"), shuffle_key(doc_id, seed).alias("_mix_key"))
+    d = d.join(p, d["_mix_of"].eqNullSafe(p["_mix_source"]), "left")
     given = [F.coalesce(F.struct(F.lit(e).alias("epoch"), F.col("_mix_key").alias("key")) <= F.col("last_copy"), F.lit(False)).cast("int") for e in range(1, epochs + 1)]
     copies = F.when(F.col("_mix_size") > 0, sum(given[1:], given[0])).otherwise(0)
-    out = [c for c in docs.columns if c not in RESULTS]
+    out = [F.col("_mix_doc")[c].alias(c) for c in docs.columns if c not in RESULTS]
     return d.withColumn("_mix_copies", copies).select(
         *out, F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"),
         F.col("_mix_copies").alias("copies"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
