@@ -102,15 +102,24 @@ def merged_array(chunks: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.n
     return out
 
 
-def most_frequent(df: DataFrame, count: str, size: int) -> DataFrame:
+def most_frequent(df: DataFrame, count: str, size: int, parts: int = 4096) -> DataFrame:
     """The rows with the largest counts, at most ``size``: all above a threshold that a histogram over the counts' magnitudes
-    gives, so that neither the driver nor a task sees more than these rows."""
+    gives, so that neither the driver nor a task sees more than these rows. Of the magnitude that no longer fits in whole, rows are
+    taken by a hash of their values, so many counts that are equal, or nearly so, do not leave it out."""
     step = F.floor(F.log2(count) * 16)
     hist = df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 16 x 63 rows
     cut, total = None, 0
     for r in sorted(hist, key=lambda r: -r.step):
+        if total + r.n > size:
+            cut = r.step
+            break
         total += r.n
-        if total > size:
+    if cut is None:
+        return df
+    place = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    upto = 0
+    for r in sorted(df.where(step == cut).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if total + r.n > size:
             break
-        cut = r.step
-    return df.where(step >= cut) if cut is not None else df.limit(0)
+        total, upto = total + r.n, r.place + 1
+    return df.where((step > cut) | ((step == cut) & (place < upto)))
