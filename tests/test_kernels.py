@@ -121,6 +121,44 @@ def test_retests_by_zone_order(spark, noisy, block):
     assert got["quality"].between(0, 10).all() and (got.loc[got.quality >= 7, "grade"] == "BEST").all()
 
 
+@pytest.mark.parametrize("tile", [5, 256])
+def test_pair_moments_by_tiles(spark, tile):
+    rng = np.random.default_rng(tile)
+    days = pd.date_range("2019-01-01", periods=900, freq="D")
+    base = rng.normal(0, 0.01, 900)
+    wide = pd.DataFrame({f"S{k}": base * (k % 3) + rng.normal(0.0005, 0.01, 900) for k in range(17)}, index=days).mask(rng.random((900, 17)) < 0.2)
+    rows = wide.rename_axis("ts").reset_index().melt("ts", var_name="symbol", value_name="ret").dropna()
+    df = spark.createDataFrame(rows).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = joins.pairwise(df, tile=tile).toPandas().set_index(["a", "b"])
+    corr, cov, n = wide.corr(), wide.cov(), wide.notna().astype(int).T @ wide.notna().astype(int)
+    assert len(got) == 17 * 18 // 2 and all(a <= b for a, b in got.index)
+    for (a, b), r in got.iterrows():
+        np.testing.assert_allclose([r["corr"], r["cov"], r["days"]], [corr.loc[a, b], cov.loc[a, b], n.loc[a, b]], rtol=1e-9)
+    few = joins.pairwise(df, tile=tile, least=0.4).toPandas()
+    assert set(zip(few.a, few.b)) == {(a, b) for (a, b), r in got.iterrows() if a == b or abs(r["corr"]) >= 0.4} and 17 < len(few) < 153
+
+
+def test_ranks_of_equal_scores(spark):
+    """Nine in ten rows have one score; ranges split them by symbol, and all three orders come out."""
+    from tickloom.operators import scanner
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    labels = list(scanner.SHORT_ORDER)
+    pdf = pd.DataFrame({"symbol": [f"S{k:05d}" for k in rng.permutation(n)], "market": rng.choice(["VN", "TW", "US"], n, p=[0.8, 0.1, 0.1]), "short_rating": rng.choice(labels, n),
+                        "composite_score": np.where(rng.random(n) < 0.9, 50.0, np.round(rng.random(n) * 100, 1))})
+    got = collect(scanner.ranks(spark.createDataFrame(pdf).repartition(5)), "symbol")
+    pdf["so"] = pdf.short_rating.map(scanner.SHORT_ORDER)
+    best = pdf.sort_values(["composite_score", "symbol"], ascending=[False, True])
+    best["rank"] = np.arange(1, n + 1)
+    best["market_rank"] = best.groupby("market").cumcount() + 1
+    short = best.sort_values(["so", "composite_score", "symbol"], ascending=[True, False, True])
+    short["short_rank"] = np.arange(1, n + 1)
+    want = short.sort_values("symbol").reset_index(drop=True)
+    for c in ("rank", "market_rank", "short_rank"):
+        assert list(got[c]) == list(want[c]), c
+
+
 def claimed_in_turn(bars: pd.DataFrame, zones: list[tuple]) -> list[tuple]:
     """Zone by zone: the bars that it takes and no earlier zone has, two apart at least."""
     low, high, close, sure, pos = (bars[c].to_numpy() for c in ("low", "high", "close", "confirmed", "bar_no"))

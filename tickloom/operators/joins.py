@@ -112,49 +112,80 @@ def keep_first(rows: DataFrame, keys: list[str], order: Column | str) -> DataFra
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def _day_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums, products and counts of every symbol pair over the days of one partition, from matrix products
-    of (days x symbols) blocks. What leaves a task is one row per pair, however many days it has seen."""
-    total: dict[str, np.ndarray] = {}
-    names: list[str] = []
+#: Symbols in a tile's side: a task holds the sums of one pair of tiles at a time, whatever the number of symbols.
+TILE = 256
+
+
+def _tile_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of products of each pair of tiles over the days of the task. Rows come sorted by pair of tiles; each is one day's symbols and
+    values of both. What leaves a task is one row per pair of symbols that have a day in common."""
+    pair, names, total = None, ({}, {}), {}
+
+    def out() -> pd.DataFrame:
+        a, b = (np.array(list(n), dtype=object) for n in names)
+        n = total["n"][: len(a), : len(b)] if total else np.zeros((0, 0))
+        i, j = np.nonzero(n)
+        if pair is not None and pair[0] == pair[1] and len(i):
+            keep = np.array([x <= y for x, y in zip(a[i], b[j])])
+            i, j = i[keep], j[keep]
+        return pd.DataFrame({"a": a[i] if len(i) else [], "b": b[j] if len(i) else [], **{k: total[k][i, j] if len(i) else [] for k in ("n", "sx", "sy", "sxx", "syy", "sxy")}})
+
     for pdf in batches:
-        seen = dict.fromkeys(names)
-        for day in pdf["symbols"]:
-            seen.update(dict.fromkeys(day))
-        grown = list(seen)
-        at = {s: k for k, s in enumerate(grown)}
-        x, m = np.zeros((len(pdf), len(grown))), np.zeros((len(pdf), len(grown)))
-        for i, (day, values) in enumerate(zip(pdf["symbols"], pdf["values"])):
-            cols = [at[s] for s in day]
-            x[i, cols], m[i, cols] = values, 1.0
-        parts = {"xy": x.T @ x, "x": x.T @ m, "xx": (x * x).T @ m, "n": m.T @ m}
-        pad = len(grown) - len(names)
-        for k, v in parts.items():
-            total[k] = v if k not in total else np.pad(total[k], ((0, pad), (0, pad))) + v
-        names = grown
-    if not names:
-        return
-    i, j = np.nonzero(total["n"])
-    symbols = np.array(names, dtype=object)
-    keep = symbols[i] <= symbols[j]
-    i, j = i[keep], j[keep]
-    yield pd.DataFrame({
-        "a": symbols[i], "b": symbols[j], "n": total["n"][i, j], "sx": total["x"][i, j], "sy": total["x"][j, i],
-        "sxx": total["xx"][i, j], "syy": total["xx"][j, i], "sxy": total["xy"][i, j],
-    })
-
-
-def pairwise(returns: DataFrame, value: str = "ret") -> DataFrame:
-    """Correlation and sample covariance of every pair of symbols over their common days. Days spread over
-    tasks, each adds up its days by matrix products, and the partial sums meet per pair; no row per (day,
-    pair) is ever made. Values are shifted by their overall mean, so the sums lose no digits."""
+        if not len(pdf):
+            continue
+        key = list(zip(pdf["ta"].tolist(), pdf["tb"].tolist()))
+        cuts = [0, *[k for k in range(1, len(key)) if key[k] != key[k - 1]], len(key)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if key[lo] != pair:
+                if total:
+                    yield out()
+                pair, names, total = key[lo], ({}, {}), {}
+            days = pdf.iloc[lo:hi]
+            sides = []
+            for k, (who, what) in enumerate((("names_a", "values_a"), ("names_b", "values_b"))):
+                at = [[names[k].setdefault(s, len(names[k])) for s in day] for day in days[who]]
+                x, m = np.zeros((hi - lo, len(names[k]))), np.zeros((hi - lo, len(names[k])))
+                for d, (cols, values) in enumerate(zip(at, days[what])):
+                    x[d, cols], m[d, cols] = values, 1.0
+                sides.append((x, m))
+            (x, mx), (y, my) = sides
+            parts = {"n": mx.T @ my, "sx": x.T @ my, "sy": mx.T @ y, "sxx": (x * x).T @ my, "syy": mx.T @ (y * y), "sxy": x.T @ y}
+            for c, v in parts.items():
+                old = total.get(c, np.zeros((0, 0)))
+                total[c] = np.pad(old, ((0, v.shape[0] - old.shape[0]), (0, v.shape[1] - old.shape[1]))) + v
+    if total:
+        yield out()
+
+
+def pairwise(returns: DataFrame, value: str = "ret", tile: int = TILE, least: float | None = None, min_days: int = 1) -> DataFrame:
+    """Correlation and sample covariance of every pair of symbols over their common days.
+
+    Symbols are cut into tiles, and a task adds up one pair of tiles over its days by matrix products, so its memory is that of a tile
+    squared, however many symbols there are; no row per (day, pair) is ever made. Partial sums meet per pair. Values are shifted by their
+    overall mean, so the sums lose no digits. ``least`` keeps pairs of at least that absolute correlation (and symbols with themselves), ``min_days`` those with as many common days, which
+    bounds the output where all pairs are not wanted."""
     mean = returns.agg(F.avg(value)).scalar()
-    days = returns.where(F.col(value).isNotNull()).withColumn("_x", F.col(value) - mean).groupBy("ts").agg(
-        F.collect_list("symbol").alias("symbols"), F.collect_list("_x").alias("values"))
-    sums = days.select("symbols", "values").mapInPandas(_day_products, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    rows = returns.where(F.col(value).isNotNull()).select("ts", "symbol", (F.col(value) - mean).alias("x"))
+    symbols = rows.select("symbol").distinct()
+    tiles = max(1, -(-symbols.count() // tile))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("symbol"), F.lit(tiles)).cast("int"))
+    days = rows.groupBy("ts", "tile").agg(F.collect_list("symbol").alias("names"), F.collect_list("x").alias("values"))
+    # a day's tile goes to all tiles that it meets, the smaller number first
+    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    sent = days.withColumn("other", other).select("ts", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), F.col("tile"), "names", "values")
+    side = lambda c, t: F.max(F.when(F.col("tile") == F.col(t), F.col(c)))
+    both = sent.groupBy("ts", "ta", "tb").agg(*[side(c, t).alias(f"{c}_{t[1]}") for t in ("ta", "tb") for c in ("names", "values")]).where("names_a is not null and names_b is not null")
+    span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (400 * 86_400))  # days of one pair of tiles spread over tasks as well
+    sums = both.repartition("ta", "tb", span).sortWithinPartitions("ta", "tb").drop("ts").mapInPandas(
+        _tile_products, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    low = F.col("a") <= F.col("b")  # tiles are by hash, so a pair may come either way round
+    flip = {"a": "b", "b": "a", "sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"}
+    sums = sums.select(*[F.when(low, F.col(c)).otherwise(F.col(flip.get(c, c))).alias(c) for c in ("a", "b", "n", "sx", "sy", "sxx", "syy", "sxy")])
     s = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
     var = lambda c: F.greatest(F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / n, F.lit(0.0))
     co = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    return s.select(
+    out = s.select(
         "a", "b", F.try_divide(co, F.sqrt(var("x") * var("y"))).alias("corr"), F.when(n > 1, co / (n - 1)).alias("cov"), n.cast("long").alias("days"))
+    out = out.where(F.col("days") >= min_days) if min_days > 1 else out
+    return out.where((F.abs("corr") >= least) | (F.col("a") == F.col("b"))) if least is not None else out

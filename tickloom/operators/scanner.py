@@ -198,25 +198,34 @@ def short_rating(recommendation: Column) -> Column:
 
 
 def ranks(rows: DataFrame) -> DataFrame:
-    """Global, per-market and short-term ranks of a scan table (scores run from 0 to 100)."""
-    step = -F.floor(F.col("composite_score") * 100)
+    """Global, per-market and short-term ranks of a scan table, from one ordering of it.
+
+    Rows are sorted over ranges of (score, symbol), so equal scores are split by symbol. A rank is a row's place among those of its
+    group in its range, and the group's sizes in the ranges before; short-term ranks add the groups before. Only a row per range and
+    group meets in a task."""
     best_first = [F.desc("composite_score"), F.col("symbol")]
-    d = ordered_rank(rows, best_first, "rank", step)
-    d = ordered_rank(d, best_first, "market_rank", step, by="market")
-    d = d.withColumn("_so", lookup(F.col("short_rating"), SHORT_ORDER, 3))
-    return ordered_rank(d, [F.col("_so"), *best_first], "short_rank", F.col("_so") * 100_000 - F.floor(F.col("composite_score") * 100)).drop("_so")
-
-
-def ordered_rank(rows: DataFrame, order: list[Column], name: str, bucket: Column, by: str | None = None) -> DataFrame:
-    """1..n in a total order (within ``by``) without sorting it all in one task: rows are numbered inside a
-    fine bucket that rises with the order and shifted by the sizes of the buckets before (one row per
-    bucket reaches the running sum)."""
-    d = rows.withColumns({"_b": bucket, "_g": F.col(by) if by else F.lit(0)})
-    sizes = d.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_g", "_b", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_g", "_b").orderBy(*order))
-    return d.withColumn("_r", local).join(before, ["_g", "_b"]).withColumn(name, (F.col("_r") + F.col("_off")).cast("long")).drop("_g", "_b", "_r", "_off")
+    d = rows.withColumn("_so", lookup(F.col("short_rating"), SHORT_ORDER, 3))
+    d = d.repartitionByRange(*best_first).sortWithinPartitions(*best_first).withColumn("_at", F.monotonically_increasing_id())
+    d = materialize(d, "ranked")  # the places are written down, so that all that follows reads the same ones
+    part = F.shiftright("_at", 33)  # the range; the rest of the number is the place in it
+    sizes = materialize(d.groupBy(part.alias("_part"), "market", "_so").agg(F.count(F.lit(1)).alias("_n")), "range_sizes")
+    d = d.withColumn("_part", part)
+
+    def placed(d: DataFrame, name: str, group: list[str]) -> DataFrame:
+        earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = sizes.groupBy(*group, "_part").agg(F.sum("_n").alias("_n")).select(*group, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        here = F.row_number().over(Window.partitionBy("_part", *group).orderBy("_at")) if group else F.col("_at") - F.shiftleft("_part", 33) + 1
+        on = before.withColumnsRenamed({c: f"_{c}" for c in group} | {"_part": "_of"})
+        same = F.col("_part") == F.col("_of")
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return d.withColumn("_here", here).join(on, same).withColumn(name, (F.col("_here") + F.col("_before")).cast("long")).drop("_here", "_before", "_of", *[f"_{c}" for c in group])
+
+    d = placed(placed(placed(d, "rank", []), "market_rank", ["market"]), "_in_short", ["_so"])
+    classes = Window.orderBy("_so").rowsBetween(Window.unboundedPreceding, -1)
+    better = sizes.groupBy("_so").agg(F.sum("_n").alias("_n")).select("_so", F.coalesce(F.sum("_n").over(classes), F.lit(0)).alias("_better"))  # five rows
+    d = d.join(better, "_so").withColumn("short_rank", (F.col("_in_short") + F.col("_better")).cast("long"))
+    return d.drop("_so", "_at", "_part", "_in_short", "_better")
 
 
 def position_size(rows: DataFrame, portfolio: float = 1_000_000_000.0, twd_rate: float = 800.0) -> DataFrame:
