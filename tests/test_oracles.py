@@ -9,6 +9,8 @@ from tickloom.plans import load
 from tools.compare import connect, diff
 
 QUERIES, ORACLES = load()
+#: Needs a zone near the last price with all gates open, which no symbol of the small tables has.
+MAY_BE_EMPTY = {"p16_entry_radar"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,9 @@ def test_query(spark, duck, name):
     if name in ORACLES:
         assert diff(df, duck.sql(ORACLES[name])) is None
     else:
-        assert df.count() >= 0
+        rows = df.collect()
+        assert rows or name in MAY_BE_EMPTY
+        assert all(any(r[c] is not None for r in rows) for c in df.columns) or name in MAY_BE_EMPTY
 
 
 def test_entry(spark):

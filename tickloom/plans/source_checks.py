@@ -91,6 +91,36 @@ for nm in ("s5_csv_bars", "s9_csv_export"):
     R.add(nm, lambda s, d: csv_bars(s, d).select(*KEY, *OHLCV, "market"), q.sql(q.DAILY, "SELECT symbol, ts, open, high, low, close, volume, market FROM bars"))
 
 
+def second_choice(s, d):
+    """Even brands are in the store, up to 1996 only; the CSV files have all, at other prices."""
+    b = bars_daily(s, d).select("symbol", "ts", *OHLCV, "market")
+    stored, spare = scratch(s), scratch(s)
+    even = F.regexp_replace("symbol", "Brand#", "").cast("int") % 2 == 0
+    store.write_bars(b.where(even & (F.col("ts") < F.lit("1997-01-01").cast("timestamp_ntz"))), stored)
+    store.write_csv(b.withColumn("close", F.col("close") + 1), spare)
+    return store.read_bars_first(s, stored, spare, "1994-01-01", "1998-06-30")
+
+
+R.add("s5_csv_as_second_choice", lambda s, d: second_choice(s, d).select(*KEY, "close", "source"),
+      q.sql([q.DAILY, "z AS (SELECT *, CAST(replace(symbol, 'Brand#', '') AS INT) % 2 = 0 AS even FROM bars WHERE ts >= '1994-01-01' AND ts <= '1998-06-30')"],
+            "SELECT symbol, ts, CASE WHEN even THEN close ELSE close + 1 END AS close, CASE WHEN even THEN 'parquet' ELSE 'csv' END AS source FROM z WHERE NOT even OR ts < '1997-01-01'"))
+
+
+def bundles(s, d):
+    i = bars_daily(s, d).groupBy("symbol").agg(F.first("market").alias("market")).unionByName(s.createDataFrame([("none", "US")], "symbol string, market string"))
+    f = table(s, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.count(F.lit(1)).alias("n_parts"))
+    return store.asset_bundles(i, bars_daily(s, d), f, "1993-03-01", "1997-09-30")
+
+
+R.add("j17_asset_bundles_by_year", lambda s, d: bundles(s, d).select(
+    "symbol", "info.market", "fundamentals.n_parts", "page", F.col("pages").cast("long").alias("pages"), F.size("bars").alias("n_bars"), F.get("bars", F.lit(0))["ts"].alias("first_ts"),
+    F.try_element_at("bars", F.lit(-1))["close"].alias("last_close"), fix(F.aggregate("bars", F.lit(0.0), lambda a, b: a + b["volume"]), 3).alias("volume")),
+      q.sql([q.DAILY, "i AS (SELECT symbol, any_value(market) AS market FROM bars GROUP BY symbol UNION ALL SELECT 'none', 'US')",
+             "g AS (SELECT symbol, date_trunc('year', ts) AS y, count(*) AS n_bars, min(ts) AS first_ts, arg_max(close, ts) AS last_close, sum(volume) AS volume FROM bars WHERE ts >= '1993-03-01' AND ts <= '1997-09-30' GROUP BY 1, 2)",
+             "h AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY y) AS page, count(*) OVER (PARTITION BY symbol) AS pages FROM g)"],
+            f"SELECT symbol, market, (SELECT nullif(count(*), 0) FROM part WHERE p_brand = i.symbol) AS n_parts, coalesce(page, 1) AS page, coalesce(pages, 1) AS pages, coalesce(n_bars, 0) AS n_bars, first_ts, last_close, {q.fix('coalesce(volume, 0)', 3)} AS volume FROM i LEFT JOIN h USING (symbol)"))
+
+
 def cot_files(s, d):
     """Weekly order totals written in the yearly positioning format, read back and derived."""
     path = scratch(s)

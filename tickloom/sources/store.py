@@ -5,7 +5,7 @@ Each reader takes a path and returns a DataFrame with an explicit schema; each w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
     *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")], T.StructField("market", T.StringType()),
 ])
+# Field names of stored fundamentals and column headers of positioning files.
 FUNDAMENTAL_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("market", T.StringType()), T.StructField("updated", T.TimestampNTZType()),
     *[T.StructField(c, T.DoubleType()) for c in ("roe", "debt_to_equity", "eps_growth", "pe_ratio", "fcf_yield", "revenue_growth", "profit_margin")],
@@ -66,6 +67,31 @@ def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BAR_SCHEMA).option("header", True).csv(path)
 
 
+def read_bars_first(spark: SparkSession, path: str, csv: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars from the parquet store, and from CSV files for the symbols that the store does not have at all; a symbol comes from one
+    source, also where the other has more days. The range is taken afterwards, so it does not change the source."""
+    stored, spare = spark.read.schema(BAR_SCHEMA).parquet(path), read_bars_csv(spark, csv)
+    missing = spare.join(stored.select("symbol").distinct(), "symbol", "left_anti")
+    d = stored.withColumn("source", F.lit("parquet")).unionByName(missing.withColumn("source", F.lit("csv")))
+    if start:
+        d = d.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    return d.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz")) if end else d
+
+
+def asset_bundles(instruments: DataFrame, bars: DataFrame, fundamentals: DataFrame, start: str, end: str, page: str = "year") -> DataFrame:
+    """Every instrument with its fundamentals (null without) and its bars from ``start`` to ``end`` as nested rows: one row per symbol and
+    calendar ``page``, numbered from 1, which bounds the arrays. A symbol without bars in the range has one page without bars."""
+    ts = F.col("ts")
+    b = bars.where((ts >= F.lit(start).cast("timestamp_ntz")) & (ts <= F.lit(end).cast("timestamp_ntz")))
+    item = F.struct("ts", "open", "high", "low", "close", "volume")
+    pages = b.groupBy("symbol", F.date_trunc(page, ts).cast("timestamp_ntz").alias("page_start")).agg(F.array_sort(F.collect_list(item)).alias("bars"))
+    order = Window.partitionBy("symbol").orderBy("page_start")
+    pages = pages.withColumns({"page": F.row_number().over(order), "pages": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    info = instruments.select("symbol", F.struct(*instruments.columns).alias("info")).join(fundamentals.select("symbol", F.struct(*fundamentals.columns).alias("fundamentals")), "symbol", "left")
+    d = info.join(pages, "symbol", "left")
+    return d.withColumns({"page": F.coalesce("page", F.lit(1)), "pages": F.coalesce("pages", F.lit(1)), "bars": F.coalesce("bars", F.array().cast(pages.schema["bars"].dataType))})
+
+
 def bar_stats(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
