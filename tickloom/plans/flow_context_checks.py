@@ -417,6 +417,7 @@ R.add("a20_data_coverage", lambda s, d: bars_daily(s, d).groupBy("market").agg(F
       q.sql(q.DAILY, "SELECT market, count(DISTINCT symbol) AS n_symbols, round(count_if(volume > 30) / count(*) * 100, 2) AS traded_pct, array_to_string(list_sort(list(DISTINCT symbol)), ',') AS symbols FROM bars GROUP BY market"))
 SEAS = lambda f: "CASE market " + " ".join(f"WHEN '{m}' THEN {f(seasonality.CALENDAR[m])}" for m in ("VN", "TW", "US")) + " END"
 _arr = lambda vals: "[" + ", ".join(map(str, vals)) + "][month(ts)]"
+SEAS_NOW = SEAS(_arr)
 R.add("g17_seasonality", lambda s, d: seasonality.seasonality(bars_daily(s, d)).select(*KEY, "asset_type", "seasonality_score", fix("seasonality_weight", 4).alias("seasonality_weight"), "seasonality_adverse", "months_to_strong"),
       q.sql([q.DAILY, f"z AS (SELECT symbol, ts, market, CAST({SEAS(_arr)} AS DOUBLE) AS sc, nullif({SEAS(lambda s: _arr(seasonality._next_strong(s)))}, 0) AS aw FROM bars)"],
             f"SELECT symbol, ts, market AS asset_type, sc AS seasonality_score, {q.fix('greatest(0.5, least(1.5, 1 + sc * 0.5))', 4)} AS seasonality_weight, sc <= -0.3 AS seasonality_adverse, aw AS months_to_strong FROM z"))

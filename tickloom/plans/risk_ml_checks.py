@@ -11,10 +11,10 @@ from tickloom.operators import indicators as ind
 from tickloom.operators import scanner as sc
 from tickloom.operators import wyckoff
 from tickloom.plans import sqlkit as q
-from tickloom.plans.flow_context_checks import VP_LAYERS
+from tickloom.plans.flow_context_checks import SEAS_NOW, VP_LAYERS, W21_CTES
 from tickloom.plans.registry import KEY, Registry, fix, rounded, sel
 from tickloom.plans.scanner_checks import SCAN, scan
-from tickloom.plans.smc_checks import state
+from tickloom.plans.smc_checks import MEMBER, SCORE, smc_table, state
 from tickloom.plans.wyckoff_elliott_checks import wy_table
 from tickloom.sources.driver_tables import bars_daily, bars_hourly, benchmark_daily, derived_table, table
 
@@ -111,6 +111,20 @@ FEAT = {"lag_ret_1": f"ln(close / {q.lag('close')})", "lag_ret_5": f"ln(close /
 _rsi, _rl = q.chain("bars", *q.RSI_LAYERS, FEAT)
 R.add("m1_feature_table", lambda s, d: (lambda t: t.select(*KEY, *[fix(c, 5).alias(c) for c in ("rsi_14", *FEAT)]))(ml.feature_table(bars_daily(s, d))[0]),
       q.sql([q.DAILY, *_rsi], f"SELECT symbol, ts, {q.fix('rsi', 5)} AS rsi_14, " + ", ".join(f"{q.fix(f'coalesce({c}, 0)', 5)} AS {c}" for c in FEAT) + f" FROM {_rl}"))
+# All base features and those of the structure steps, each against its own computation.
+ALL_FEAT = {**{f"lag_ret_{k}": f"ln(close / {q.lag('close', k)})" for k in range(1, 6)}, **{k: FEAT[k] for k in ("ma_5_rel", "ma_15_rel", "roc_20", "volume_ratio")},
+            "roc_5": f"close / {q.lag('close', 5)} - 1", "atr_14_rel": "atr / close", "macd_hist_rel": "(macd - macd_signal) / close"}
+_fa, _fl = q.chain("bars", *q.RSI_LAYERS, *q.ATR_LAYERS, {"macd": f"{q.ewm('close', 2 / 13, 12)} - {q.ewm('close', 2 / 27, 26)}"}, {"macd_signal": q.ewm("macd", 2 / 10, 9)}, ALL_FEAT, prefix="fa")
+_FLAGS = ["smc_bos_bull", "smc_bos_bear", "smc_choch", "smc_idm_bull", "smc_idm_bear"]
+_IN = ["smc_in_bull_ob", "smc_in_bear_ob", "smc_in_bull_fvg", "smc_in_bear_fvg"]
+ALL_NAMES = ["rsi_14", *ALL_FEAT, "poc_dist", "inside_va", "rel_strength", "seasonality_score", "seasonality_weight", "smc_score", *_IN, *_FLAGS]
+R.add("m1_all_features", lambda s, d: (lambda t: t.select(*KEY, *[fix(c, 5).alias(c) for c in ALL_NAMES]))(ml.feature_table(bars_daily(s, d), extra=[smc_table(s, d)])[0]),
+      "WITH RECURSIVE " + ", ".join([*W21_CTES, *_fa, *SCORE, f"mb AS (SELECT symbol, bar_no, {MEMBER} FROM bars b)", f"se AS (SELECT symbol, bar_no, CAST({SEAS_NOW} AS DOUBLE) AS seasonality_score FROM bars)",
+          "pf AS (SELECT w0.symbol, w0.bar_no, close, lo, hi, l, h, (hi - lo) / 10 AS st, (lo + poc * ((hi - lo) / 10) + (lo + (poc + 1) * ((hi - lo) / 10))) / 2 AS pp FROM w0 LEFT JOIN vz ON vz.k = w0.symbol || '|' || w0.bar_no)",
+          "pg AS (SELECT symbol, bar_no, CASE WHEN bar_no < 20 OR hi = lo THEN 0 ELSE (close - pp) / pp END AS poc_dist, CASE WHEN bar_no < 20 THEN 0 WHEN hi = lo THEN 1 ELSE (close BETWEEN lo + l * st AND lo + (h + 1) * st)::INT END AS inside_va FROM pf)",
+          f"af AS (SELECT a.symbol, a.ts, a.rsi AS rsi_14, {', '.join('a.' + c for c in ALL_FEAT)}, poc_dist, inside_va, 1.0 AS rel_strength, seasonality_score, greatest(0.5, least(1.5, 1 + seasonality_score * 0.5)) AS seasonality_weight, sc.smc_score, {', '.join('mb.' + c + '::INT AS ' + c for c in _IN)}, {', '.join('sc.' + c + '::INT AS ' + c for c in _FLAGS)}"
+          f" FROM {_fl} a JOIN pg USING (symbol, bar_no) JOIN se USING (symbol, bar_no) JOIN sc USING (symbol, bar_no) JOIN mb USING (symbol, bar_no))"])
+      + " SELECT symbol, ts, " + ", ".join(f"{q.fix(f'coalesce({c}, 0)::DOUBLE', 5)} AS {c}" for c in ALL_NAMES) + " FROM af")
 FC_CFG = ForecastSettings()
 
 
