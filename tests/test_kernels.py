@@ -90,6 +90,23 @@ def test_liquidity_pools(spark, noisy):
     np.testing.assert_allclose(got["level"], want["level"])
 
 
+@pytest.mark.parametrize("tick,tol", [(0.0, 0.003), (0.1, 0.003), (1.0, 0.02)])
+def test_equal_levels_of_crowded_prices(spark, tick, tol):
+    rng = np.random.default_rng(int(tick * 10))
+    price = 100 + 5 * rng.random(900)
+    price = np.round(price / tick) * tick if tick else price
+    got = collect(smc.equal_levels(spark.createDataFrame(pd.DataFrame({"symbol": "A", "direction": "Buy-side", "bar_no": np.arange(900) * 2, "price": price})).repartition(5), tol), "first_no")
+    free, want = list(range(900)), []
+    while free:
+        first = free[0]
+        taken = [k for k in free if abs(price[k] - price[first]) / price[first] <= tol]
+        free = [k for k in free if k not in set(taken)]
+        if len(taken) > 1:
+            want.append((2 * first, len(taken), 2 * max(taken), price[taken].mean()))
+    assert len(want) >= 2 and [tuple(r) for r in got[["first_no", "touches", "bar_no"]].itertuples(index=False)] == [w[:3] for w in want]
+    np.testing.assert_allclose(got["level"], [w[3] for w in want])
+
+
 @pytest.mark.parametrize("block", [None, 16])
 def test_retests_by_zone_order(spark, noisy, block):
     """Claims from the first two zones of each bar equal claiming zone by zone in creation order."""

@@ -2,14 +2,15 @@
 
 Every step is relational: swings and gaps are block windows, "first bar that breaks the level" is a
 minimum per segment, "was the zone entered later" is a suffix extreme read at one row. Retest bars are
-claimed in ``retests``. Only the greedy clustering of swing levels is sequential.
+claimed in ``retests``. Only the first prices of equal levels are found one after the other, among distinct prices.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,52 +117,42 @@ def _gaps(d: DataFrame, cfg: SmcSettings, keep: int | None = None) -> DataFrame:
     return keep_newest(zones.where(F.col("filled_pct") < cfg.fvg_fill_threshold), keep, "born_no") if keep else zones
 
 
-def _greedy_levels(tol: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """First-come clustering of prices within ``tol`` of the cluster's first price. Candidates are found by
-    binary search in price order and skipped over once taken, so the cost is n log n per symbol."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_no", kind="stable")
-        price, pos = pdf["price"].to_numpy(), pdf["bar_no"].to_numpy()
-        n = len(price)
-        order = np.argsort(price, kind="stable")
-        sorted_price = price[order]
-        place = np.empty(n, dtype=np.int64)
-        place[order] = np.arange(n)
-        following = list(range(n + 1))  # next free slot at or after each place
-
-        def free(i: int) -> int:
-            while following[i] != i:
-                following[i] = following[following[i]]
-                i = following[i]
-            return i
-
-        taken = np.zeros(n, dtype=bool)
-        rows = []
-        for i in range(n):
-            if taken[i]:
-                continue
-            following[place[i]] = place[i] + 1
-            members = [i]
-            slot = free(int(np.searchsorted(sorted_price, price[i] * (1 - tol) * (1 - 1e-12), "left")))
-            while slot < n and sorted_price[slot] <= price[i] * (1 + tol) * (1 + 1e-12):
-                j = int(order[slot])
-                if abs(price[j] - price[i]) / price[i] <= tol:
-                    members.append(j)
-                    taken[j] = True
-                    following[slot] = slot + 1
-                    slot = free(slot + 1)
-                else:
-                    slot = free(slot + 1)
-            if len(members) >= 2:
-                members.sort()
-                rows.append((float(np.mean(price[members])), len(members), int(pos[members].max()), int(pos[i])))
-        out = pd.DataFrame(rows, columns=["level", "touches", "bar_no", "first_no"])
-        out.insert(0, "direction", pdf["direction"].iloc[0])
-        out.insert(0, "symbol", pdf["symbol"].iloc[0])
-        return out
-
-    return cluster
+def _first_prices(tol: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Distinct swing prices come sorted by (symbol, direction, first bar); those that no earlier kept price has within ``tol`` are kept.
+    Kept prices lie that far apart, so what is held is bounded by the range of prices, not by the number of swings."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, kept = None, []
+        for pdf in batches:
+            keep = []
+            for symbol, side, price in zip(pdf["symbol"], pdf["direction"], pdf["price"].tolist()):
+                if (symbol, side) != group:
+                    group, kept = (symbol, side), []
+                lo, hi = bisect_left(kept, price / (1 + tol) * (1 - 1e-9)), bisect_right(kept, price / (1 - tol) * (1 + 1e-9))
+                fresh = not any(abs(price - s) / s <= tol for s in kept[lo:hi])
+                if fresh:
+                    insort(kept, price)
+                keep.append(fresh)
+            yield pdf[keep]
+
+    return scan
+
+
+def equal_levels(points: DataFrame, tol: float) -> DataFrame:
+    """First-come clusters of swing prices (symbol, direction, bar_no, price): the first free swing takes all later free ones within
+    ``tol`` of its price. (symbol, direction, level, touches, bar_no, first_no) of clusters of two or more.
+
+    A swing belongs to the first cluster near it, so the clusters' first prices settle all. They are found among distinct prices, one
+    short row each; every swing then looks up the few first prices in its own narrow price cell."""
+    prices = points.groupBy("symbol", "direction", "price").agg(F.min("bar_no").alias("first_no"))
+    firsts = prices.repartition("symbol", "direction").sortWithinPartitions("symbol", "direction", "first_no").mapInPandas(_first_prices(tol), prices.schema)
+    cell = lambda c: F.floor(F.log(c) / math.log1p(tol)).cast("long")
+    p = F.col("price")
+    firsts = firsts.select("symbol", "direction", p.alias("_p"), "first_no", F.explode(F.sequence(cell(p * (1 - tol) * (1 - 1e-9)), cell(p * (1 + tol) * (1 + 1e-9)))).alias("_cell"))
+    near = (F.abs(p - F.col("_p")) / F.col("_p") <= tol) & (F.col("first_no") <= F.col("bar_no"))
+    d = points.withColumn("_cell", cell(p)).join(firsts, ["symbol", "direction", "_cell"]).where(near)
+    d = d.groupBy("symbol", "direction", "bar_no", "price").agg(F.min("first_no").alias("first_no"))
+    return d.groupBy("symbol", "direction", "first_no").agg(F.avg("price").alias("level"), F.count(F.lit(1)).cast("int").alias("touches"), F.max("bar_no").alias("bar_no")).where("touches >= 2")
 
 
 def liquidity_pools(bars: DataFrame, cfg: SmcSettings = SmcSettings(), keep: int | None = None) -> DataFrame:
@@ -175,9 +166,7 @@ def _pools(s: DataFrame, cfg: SmcSettings, keep: int | None = None) -> DataFrame
     s = s.where(F.col("n_bars") >= 20)
     pick = lambda flag, side, price: s.where(flag).select("symbol", F.lit(side).alias("direction"), "bar_no", F.col(price).alias("price"))
     points = pick(F.col("swing_high"), "Buy-side", "high").unionByName(pick(F.col("swing_low"), "Sell-side", "low"))
-    pools = points.groupBy("symbol", "direction").applyInPandas(
-        _greedy_levels(cfg.liq_tolerance_pct / 100.0), "symbol string, direction string, level double, touches int, bar_no long, first_no long"
-    )
+    pools = equal_levels(points.where("price > 0"), cfg.liq_tolerance_pct / 100.0)
     later = s.select("symbol", "bar_no", "ts", "later_close_max", "later_close_min")
     newest = s.where(is_last()).select("symbol", F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("close").alias("_c"), (F.col("n_bars") - 1).alias("_end"))
     d = pools.join(later, ["symbol", "bar_no"]).join(newest, "symbol")
