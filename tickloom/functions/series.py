@@ -31,12 +31,13 @@ def col(c: Column | str) -> Column:
 
 
 def index_bars(
-    df: DataFrame, key: str = "symbol", ts: str = "ts", chunk: str = "quarter", then: tuple[str, ...] = ()
+    df: DataFrame, key: str = "symbol", ts: str = "ts", chunk: str = "quarter", then: tuple[str, ...] = (), unique: bool = False
 ) -> DataFrame:
     """Add ``bar_no`` and ``n_bars``. Rows are counted per (key, calendar chunk) first, so the only
     per-key window runs over one row per chunk. ``then`` lists further columns that order equal times; rows that
-    are equal in these as well are ordered by a hash of all their values, so that numbers do not change between runs."""
-    hashed = F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    are equal in these as well are ordered by a hash of all their values, so that numbers do not change between runs.
+    ``unique`` says that a key has no time twice, which spares the hash."""
+    hashed = [] if unique else [F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])]
     chunked = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)).cast("timestamp_ntz"))
     over_chunks = Window.partitionBy(key).orderBy("_chunk")
     counts = (
@@ -45,7 +46,7 @@ def index_bars(
         .withColumn("n_bars", F.sum("_n").over(Window.partitionBy(key)))
         .drop("_n")
     )
-    in_chunk = Window.partitionBy(key, "_chunk").orderBy(ts, *then, hashed)
+    in_chunk = Window.partitionBy(key, "_chunk").orderBy(ts, *then, *hashed)
     return (
         chunked.join(counts, [key, "_chunk"])
         .withColumn("bar_no", F.col("_before") + F.row_number().over(in_chunk) - 1)

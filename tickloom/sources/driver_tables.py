@@ -34,15 +34,24 @@ def market_of(symbol) -> F.Column:
     return F.when(n == 0, "VN").when(n == 1, "TW").otherwise("US")
 
 
+def _daily_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of all instruments with the first and last trade of each, which bars of a group of instruments are made of too."""
+    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    return trades(spark, sf_dir).groupBy("symbol", day.alias("ts")).agg(
+        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
+        F.sum("volume").alias("volume"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 def _build_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = ohlcv(trades(spark, sf_dir), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"))
-    return index_bars(bars.withColumn("market", market_of(F.col("symbol"))), chunk="quarter")
+    bars = derived(spark, sf_dir, "daily_parts").drop("first_seq", "last_seq")
+    return index_bars(bars.withColumn("market", market_of(F.col("symbol"))), chunk="quarter", unique=True)
 
 
 def _build_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_trades = trades(spark, sf_dir).withColumn("symbol", F.lit("ALL"))
-    bars = ohlcv(all_trades, F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"))
-    return index_bars(bars, chunk="quarter")
+    """One instrument of all trades, from the daily bars of each."""
+    bars = derived(spark, sf_dir, "daily_parts").groupBy(F.lit("ALL").alias("symbol"), "ts").agg(
+        F.min_by("open", "first_seq").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_seq").alias("close"), F.sum("volume").alias("volume"))
+    return index_bars(bars, chunk="quarter", unique=True)
 
 
 def _build_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +59,7 @@ def _build_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"),
         F.lit(1.0).alias("volume"), F.struct("ts", "event_id").alias("seq"),
     )
-    return index_bars(ohlcv(ticks, F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")), chunk="day")
+    return index_bars(ohlcv(ticks, F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")), chunk="day", unique=True)
 
 
 def _build_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +75,11 @@ def _build_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .withColumn("symbol", F.lit("ALL"))
     )
-    return index_bars(weekly, chunk="year")
+    return index_bars(weekly, chunk="year", unique=True)
 
 
 _BUILD = {
+    "daily_parts": _daily_parts,
     "bars_daily": _build_daily,
     "benchmark_daily": _build_benchmark,
     "bars_hourly": _build_hourly,
