@@ -26,10 +26,10 @@ def asof_join(
     upto = Window.partitionBy(key, "_chunk").orderBy(ts, "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     newest = F.max_by("_r", F.when(F.col("_side") == 0, F.struct(ts, "_r")))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = stacked.groupBy(key, "_chunk").agg(newest.alias("_end")).select(key, "_chunk", F.last("_end", True).over(before).alias("_carry"))
+    carry = stacked.groupBy(key, "_chunk").agg(newest.alias("_end")).select(
+        F.col(key).alias("_of"), F.col("_chunk").alias("_in"), F.last("_end", True).over(before).alias("_carry"))
     d = stacked.withColumn("_m", F.last("_r", True).over(upto)).where(F.col("_side") == 1)
-    same = [d[c].eqNullSafe(carry[c]) for c in (key, "_chunk")]
-    d = d.join(carry, same[0] & same[1]).select(*[d[c] for c in left.columns], F.coalesce("_m", "_carry").alias("_m"))
+    d = d.join(carry, F.col(key).eqNullSafe(F.col("_of")) & F.col("_chunk").eqNullSafe(F.col("_in"))).select(*left.columns, F.coalesce("_m", "_carry").alias("_m"))
     d = d.select(*[c for c in left.columns if c not in columns], *[F.col(f"_m.{c}").alias(c) for c in columns])
     return fill(d, columns, back=True) if back_fill else d
 
