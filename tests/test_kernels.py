@@ -215,8 +215,9 @@ def test_claims_of_crowded_prices(spark, monkeypatch, seed, tick):
     assert [tuple(r) for r in got[["bar_no", "zone_type", "zone_top", "zone_bottom", "retest_no"]].itertuples(index=False)] == want
 
 
-def test_few_zones_are_kept_in_a_cell(spark):
-    """Gaps of a price that swings in one range: what a cell keeps does not grow with their number."""
+def test_few_zones_are_kept_in_a_cell(spark, monkeypatch):
+    """Gaps of a price that swings in one range: what a cell (here of 25 ticks) keeps does not grow with their number."""
+    monkeypatch.setattr(retests, "CELL", 0.0025)
     kept = []
     for n in (400, 4000):
         rng = np.random.default_rng(n)

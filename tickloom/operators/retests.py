@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import BLOCK, per_block, running
+from tickloom.functions.series import BLOCK, UP, Frame, per_block, running
 
 #: Width of a price cell as a difference of logarithms, and bars whose gaps are pruned together at first.
-CELL, STRETCH = 0.0025, 65_536
+CELL, STRETCH = 0.02, 65_536
 #: Zones that a block of bars is compared with at a time.
 AT_ONCE = 256
 
@@ -140,15 +140,29 @@ def first_two_zones(bars: DataFrame, gaps: DataFrame, blocks: DataFrame, block:
 
 def claims(found: DataFrame, block: int | None = None) -> DataFrame:
     """(symbol, bar_no, zone_type, zone_top, zone_bottom, retest_no) from the first two zones of each bar."""
-    first, before = F.col("zone1"), F.col("_before")
-    d = per_block(found, lambda d, f: d.withColumn("_before", f.lag(F.struct("bar_no", "zone1", "zone2"))), lookback=1, block=block)
-    next_to = F.coalesce(before["bar_no"] == F.col("bar_no") - 1, F.lit(False))
-    turns = next_to & (before["zone1"] == first)
-    same = next_to & F.coalesce(before["zone2"] == first, F.lit(False))
-    d = d.withColumns({"_turn": F.when(turns, 1), "_anew": ~turns & ~same}).drop("_before")
-    d = running(d, {"_turns": ("count", "_turn")}, block)
-    d = running(d, {"_base": ("last", F.when(F.col("_anew"), F.col("_turns")))}, block)
-    takes = (F.col("_turns") - F.col("_base")) % 2 == 0
+    block = block or BLOCK
+    home = F.floor(F.col("bar_no") / block).cast("int")
+
+    def chained(d: DataFrame, f: Frame) -> DataFrame:
+        """Turns so far in the block, and their number at its last fresh start (null before it)."""
+        first, before = F.col("zone1"), F.col("_before")
+        next_to = F.coalesce(before["bar_no"] == F.col("bar_no") - 1, F.lit(False))
+        turns, same = next_to & (before["zone1"] == first), next_to & F.coalesce(before["zone2"] == first, F.lit(False))
+        own = F.col("_blk") == home  # the row that was copied from the block before counts there
+        d = d.withColumn("_before", f.lag(F.struct("bar_no", "zone1", "zone2")))
+        d = d.withColumns({"_turn": F.when(own & turns, 1), "_anew": own & ~turns & ~same}).drop("_before")
+        d = d.withColumn("_turns", F.count("_turn").over(f.w.rowsBetween(UP, 0)))
+        return d.withColumn("_base", F.last(F.when(F.col("_anew"), F.col("_turns")), True).over(f.w.rowsBetween(UP, 0)))
+
+    d = per_block(found, chained, lookback=1, block=block).withColumn("_in", home)
+    ends = d.groupBy("symbol", "_in").agg(F.max("_turns").alias("_all"), F.max("_base").alias("_last"))
+    earlier = Window.partitionBy("symbol").orderBy("_in").rowsBetween(UP, -1)
+    ends = ends.withColumn("_up", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    ends = ends.select("symbol", "_in", "_up", F.last(F.col("_up") + F.col("_last"), True).over(earlier).alias("_old"))
+    d = d.join(ends, ["symbol", "_in"])
+    # without a fresh start in the block, the last one of an earlier block counts
+    since = F.when(F.col("_base").isNotNull(), F.col("_turns") - F.col("_base")).otherwise(F.col("_up") + F.col("_turns") - F.col("_old"))
+    takes = since % 2 == 0
     d = d.select("symbol", "bar_no", *[F.when(takes, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(c) for c in ("zone", "top", "bottom")]).where("zone is not null")
     d = running(d.withColumn("_zone", F.struct("symbol", "zone")), {"retest_no": ("count", F.lit(1))}, block, key="_zone")
     return d.select("symbol", "bar_no", F.when(F.col("zone") % 2 == 0, "FVG").otherwise("OB").alias("zone_type"), F.col("top").alias("zone_top"),
