@@ -48,6 +48,30 @@ def test_a_cluster_needs_a_shared_folder():
     assert session.shared_dir(fake("local[4]", spark_checkpoint_dir="/tmp/x")) == "/tmp/x"
 
 
+def test_the_checkpoint_folder_of_a_cluster_on_one_machine():
+    assert session.shared_dir(fake("local-cluster[2,1,512]", spark_checkpoint_dir="/tmp/x")) == "/tmp/x"
+    with pytest.raises(ValueError):
+        session.shared_dir(fake("local-cluster[2,1,512]"))
+
+
+CLUSTER = """
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+conf = {{"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1",
+        "spark.sql.shuffle.partitions": "2", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": {shared!r}}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+for name in ("a1_daily_bars", "a1_four_hour_bars", "a10_market_breadth"):
+    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
+spark.stop()
+"""
+
+
+def test_bars_on_a_cluster_whose_checkpoint_folder_has_no_scheme(tmp_path):
+    run = subprocess.run([sys.executable, "-c", CLUSTER.format(root=ROOT, shared=str(tmp_path))], capture_output=True, text=True, timeout=600, cwd=tmp_path)
+    assert run.returncode == 0, run.stderr[-2000:]
+
+
 def test_scratch_is_removed(spark, monkeypatch):
     root = f"{session.scratch_root(spark)}/own"
     monkeypatch.setattr(session, "scratch_root", lambda _: root)

@@ -51,9 +51,12 @@ def shared_dir(spark: SparkSession, path: str | None = None) -> str:
     Taken from the argument, else the session's ``tickloom.shared.dir``, else ``spark.checkpoint.dir``. A session in one
     process may go without: it gets a private folder that ends with the process. On a cluster a missing setting, or a path
     that would mean another disk on every executor, is an error (a mount that all machines share is named ``file:///...``).
+    The executors of a ``local-cluster`` run on the driver's machine, so its ``spark.checkpoint.dir`` is one folder to all.
     """
-    path = path or spark.conf.get(SHARED_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+    named = path or spark.conf.get(SHARED_CONF, None)
+    path = named or spark.conf.get(CHECKPOINT_CONF, None)
+    one_machine = spark.sparkContext.master.startswith("local-cluster")
+    if spark.sparkContext.master.startswith("local") and not one_machine:
         if path:
             return path
         app = spark.sparkContext.applicationId
@@ -63,6 +66,8 @@ def shared_dir(spark: SparkSession, path: str | None = None) -> str:
         return _PRIVATE[app]
     if not path:
         raise ValueError(f"set {SHARED_CONF} or {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+    if one_machine and not named:
+        return path
     if _is_machine_local(spark, path):
         raise ValueError(f"{path} is a machine-local folder; name one that the driver and all executors share, with its scheme")
     return path
