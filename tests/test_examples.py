@@ -139,3 +139,17 @@ def test_symbol_cleaning(spark):
     d = spark.createDataFrame([("6770.TWO",), ("2330_TW",), ("vnm.VN",), ("GC=F",), ("BTC-USD",)], "s string")
     assert [r[0] for r in d.select(clean.clean_symbol(F.col("s"))).collect()] == ["6770", "2330", "VNM", "GC_F", "BTC_USD"]
     assert [r[0] for r in d.select(clean.infer_market(F.col("s"))).collect()] == ["TW", "US", "VN", "US", "US"]
+
+
+def test_sentiment_is_rounded_as_its_sql_rounds_it(spark):
+    import duckdb
+
+    from tickloom.operators import news
+
+    rows = [(n, n // 909 / 10 - 1, (n // 101 % 9 - 4) / 10, n % 101) for n in range(21 * 909)]
+    df = spark.createDataFrame(rows, "id long, news_score double, social_score double, fear_greed long")
+    got = [tuple(r) for r in news.composite_sentiment(df).orderBy("id").select("composite_score", "confidence").collect()]
+    want = duckdb.sql("""WITH r AS (SELECT n, n // 909 / 10.0::DOUBLE - 1 AS nw, (n // 101 % 9 - 4) / 10.0::DOUBLE AS so, n % 101 AS fg FROM range(19089) t(n)),
+ c AS (SELECT *, nw * 0.6 + so * 0.3 + (fg - 50) / 50 * 0.1 AS cs FROM r)
+ SELECT round_even(cs, 4), round_even(least((abs(cs) * 0.5 + 0.5) * CASE WHEN nw * so > 0 THEN 1.0 ELSE 0.7 END * 100, 99), 1) FROM c ORDER BY n""").fetchall()
+    assert got == want and (-0.57, 55.0) in got

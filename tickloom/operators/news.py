@@ -86,6 +86,12 @@ def sentiment_bias(score: Column, threshold: float = 0.2) -> Column:
     return F.when(score >= threshold, 1).when(score <= -threshold, -1).otherwise(0)
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Half-even on the scaled value, as SQL's ``round_even``: a decimal tie that arithmetic has moved by an ulp is still one
+    (``bround`` rounds the shortest decimal of the double, and takes 54.949999999999996 to 54.9)."""
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def composite_sentiment(df: DataFrame) -> DataFrame:
     """60/30/10 blend of ``news_score``, ``social_score`` and ``fear_greed`` (0-100), with a confidence."""
     news, social = F.col("news_score"), F.col("social_score")
@@ -93,7 +99,7 @@ def composite_sentiment(df: DataFrame) -> DataFrame:
     agree = F.when(news * social > 0, 1.0).otherwise(0.7)
     conf = (F.abs(comp) * 0.5 + 0.5) * agree * 100
     return df.withColumns({
-        "composite_score": F.bround(comp, 4), "confidence": F.bround(F.least(conf, F.lit(99.0)), 1), "sentiment_bias": sentiment_bias(comp),
+        "composite_score": half_even(comp, 4), "confidence": half_even(F.least(conf, F.lit(99.0)), 1), "sentiment_bias": sentiment_bias(comp),
     })
 
 
