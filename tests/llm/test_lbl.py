@@ -83,3 +83,32 @@ def test_training_sees_every_trigram_by_its_count():
     one, other = (lbl.LogBilinear().fit(x, steps=100) for x in (seen, swapped))
     gain = lambda m: (m.source[94] @ m.place[0] + m.source[95] @ m.place[1]) @ (m.target[92] - m.target[90])
     assert gain(one) > gain(other)
+
+
+def test_slices_are_cut_into_words_and_trigrams(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lbl, "SLICE", 12)
+    texts = [None, "", " ", "a", "  A b\tc\n\x0bD\x0c\re ", "\x1c\x1f x\x85 y\xa0z", "\x00 é É K a a", "\n\n", "x" * 70, "a b a"]
+    one = {w: i % lbl.CLASSES for i, w in enumerate(sorted({w for t in texts for w in words(t)}))}
+    got = []
+    for part in lbl.slices(pa.array(texts, pa.string())):
+        found, at, sizes = lbl.words_of(part)
+        found = [x.decode() for x in found.to_pylist()]
+        assert len(set(found)) == len(found) and len(sizes) == len(part)
+        each = [found[i] for i in at]
+        trigrams = lbl.trigrams_of(np.array([one[w] for w in each], np.int64), sizes)
+        for n in sizes:
+            got.append((each[:n], [(t // lbl.CLASSES**2, t // lbl.CLASSES % lbl.CLASSES, t % lbl.CLASSES) for t in trigrams[:n + 1].tolist()]))
+            each, trigrams = each[n:], trigrams[n + 1:]
+        assert not each and not len(trigrams)
+    path = lambda w: [0, 0, *[one[x] for x in w], 0]
+    assert got == [(words(t), list(zip(path(words(t)), path(words(t))[1:], path(words(t))[2:]))) for t in texts]
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000])
+def test_counts_of_words_are_added_up_in_between(spark, most):
+    rows = [(f"a b{i % 7} c{i} A",) for i in range(200)]
+    run = lbl.word_counts(spark.createDataFrame(rows, "text string").repartition(2), "text", most)
+    want = Counter(w for (t,) in rows for w in words(t))
+    assert {bytes(r.word).decode(): r.c for r in run.collect()} == want

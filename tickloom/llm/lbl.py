@@ -20,9 +20,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ from tickloom.session import materialize
 CLASSES, FREQUENT = 96, 47
 #: Bytes of an ending; words joined inside the reading tasks, and their longest length; words whose class a task remembers.
 ENDING, HOT, HOT_BYTES, REMEMBERED = 3, 100_000, 32, 500_000
-#: Distinct words that a task counts before it passes them on.
-HELD = 1_000_000
+#: Counts of words that a task holds before it adds them up and passes them on, if most are of different words; bytes of text cut at once.
+HELD, SLICE = 1_000_000, 4_000_000
 _MARKS = b".,;:!?\"'()!*#$%&<>|"
 
 
@@ -61,16 +63,35 @@ class Classes:
             self._seen[word] = c
         return c
 
-    def path(self, words: list[bytes]) -> np.ndarray:
-        """Classes of a text: two ends before it, its words, its end."""
-        out = np.zeros(len(words) + 3, np.int64)
-        out[2:-1] = np.fromiter(map(self.of, words), np.int64, len(words))
-        return out
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``SLICE`` bytes together."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // SLICE
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else []
+    for lo, hi in zip([0, *ends], ends):
+        yield texts.slice(lo, hi - lo)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A-Z in lower case, cut at the six white-space characters: distinct words, the number of each word of the texts in turn,
+    words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, n = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty string there
+    sizes = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes
 
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z in lower case, cut at the six white-space characters."""
-    return (text or "").encode().lower().split()
+
+def trigrams_of(kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the class trigrams of texts, one after another: two ends before each text, its words, its end."""
+    starts = np.cumsum(sizes + 3) - (sizes + 3)
+    path, third = np.zeros(int(sizes.sum()) + 3 * len(sizes), np.int64), np.ones(int(sizes.sum()) + 3 * len(sizes), bool)
+    path[np.arange(len(kinds)) + np.repeat(3 * np.arange(len(sizes)) + 2, sizes)] = kinds
+    third[starts] = third[starts + 1] = False
+    at = np.flatnonzero(third)
+    return (path[at - 2] * CLASSES + path[at - 1]) * CLASSES + path[at]
 
 
 class LogBilinear:
@@ -121,23 +142,30 @@ class LogBilinear:
         return out
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
+def word_counts(docs: DataFrame, text: str, most: int = HELD) -> DataFrame:
     """(word, c) over all texts; tasks add up before anything is shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Table] = []
+        n = 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+        def added() -> pa.Table:
+            t = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return t.select(["word", "c_sum"]).rename_columns(["word", "c"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(words_of(t))
-            if len(seen) >= HELD:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+            for texts in slices(batch.column(0)):
+                words, at, _ = words_of(texts)
+                held.append(pa.table({"word": words, "c": np.bincount(at, minlength=len(words))}))
+                n += len(words)
+                if n >= most:
+                    held = [added()]
+                    n = held[0].num_rows
+                    if n > most // 2:
+                        yield from held[0].to_batches()
+                        held, n = [], 0
+        if n:
+            yield from added().to_batches()
 
     return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -183,12 +211,15 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     for r in _per_word(counts, lambda w: classes.value.of(w), "long").collect():
         sums[r.k], kinds[r.k] = r.c, r.n
 
+    def kinds_of(words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(classes.value.of, words), np.int64, len(words))
+
     def trigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                p = classes.value.path(words_of(t))
-                np.add.at(seen, (p[:-2] * CLASSES + p[1:-1]) * CLASSES + p[2:], 1)
+            for texts in slices(batch.column(0)):
+                words, at, sizes = words_of(texts)
+                np.add.at(seen, trigrams_of(kinds_of(words.to_pylist())[at], sizes), 1)
         if seen.any():
             yield array_chunks(seen)
 
@@ -198,33 +229,38 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     shared = np.where(np.arange(CLASSES) > FREQUENT, sums + 0.5 * (kinds + 1), 0.0)  # 0: the class is one word
     share_of = lambda c, k: math.log10((c + 0.5) / shared[k]) if shared[k] else 0.0
-    known = sc.broadcast({bytes(r.word): (float(base_of(r.c)), share_of(r.c, classes.value.of(bytes(r.word)))) for r in top})
+    places = {bytes(r.word): i for i, r in enumerate(top)}
+    gains = np.array([(base_of(r.c), share_of(r.c, classes.value.of(bytes(r.word)))) for r in top] + [(0.0, 0.0)])  # at last: none of these
+    known = sc.broadcast((places, gains))
     end_base, end_known = float(base_of(ends)), int(ends > 0)
     columns = "row long, doc_id " + docs.schema[doc_id].dataType.simpleString() + ", held boolean, n_tokens long, n_known long, base double, score double, word binary, n long, class int"
     names = [c.split()[0] for c in columns.split(", ")]
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per text with what its frequent words and its classes give, and a row for each of its other words."""
-        get, of, logs = known.value.get, classes.value.of, table.value
+        (place, gain), logs = known.value, table.value.reshape(-1)
         for batch in batches:
-            whole, rest = [], []
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-                w = words_of(t)
-                p = classes.value.path(w)
-                base, model, k = end_base, float(logs[p[:-2], p[1:-1], p[2:]].sum(dtype=np.float64)), end_known
-                for x, m in Counter(w).items():
-                    if (f := get(x)) is not None:
-                        base, model, k = base + m * f[0], model + m * f[1], k + m
-                    else:
-                        rest.append((row, x, m, of(x)))
-                whole.append((len(w) + 1, k, base, model))
-            size, kinds_ = len(whole), (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            cols = [pa.array(x, t) for x, t in zip(zip(*whole), kinds_)] if whole else [pa.array([], t) for t in kinds_]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols, pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32())], names=names)
-            if rest:
-                row, x, m, k = zip(*rest)
-                none = [pa.nulls(len(rest), t) for t in (batch.column(1).type, pa.bool_(), *kinds_)]
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *none, pa.array(x, pa.binary()), pa.array(m, pa.int64()), pa.array(k, pa.int32())], names=names)
+            lo = 0
+            for texts in slices(batch.column(3)):
+                words, at, sizes = words_of(texts)
+                size, listed, each = len(texts), words.to_pylist(), np.arange(len(texts))
+                class_of, place_of = kinds_of(listed), np.fromiter(map(place.get, listed, repeat(len(place))), np.int64, len(listed))
+                model = np.bincount(np.repeat(each, sizes + 1), logs[trigrams_of(class_of[at], sizes)], size)
+                pairs, m = np.unique(np.repeat(each, sizes) * len(words) + at, return_counts=True)
+                owner, w = np.divmod(pairs, max(len(words), 1))
+                hit = place_of[w] < len(place)
+                total_of = lambda x: np.bincount(owner[hit], x, size)  # noqa: E731, B023
+                of_words = gain[place_of[w[hit]]] * m[hit, None]
+                values = (sizes + 1, end_known + total_of(m[hit]).astype(np.int64), end_base + total_of(of_words[:, 0]), model + total_of(of_words[:, 1]))
+                head = [c.slice(lo, size) for c in batch.columns[:3]]
+                kinds_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*head, *[pa.array(x, t) for x, t in zip(values, kinds_)], pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32())], names=names)
+                rest = ~hit
+                if rest.any():
+                    w, n_rest = w[rest], int(rest.sum())
+                    none = [pa.nulls(n_rest, t) for t in (batch.column(1).type, pa.bool_(), *kinds_)]
+                    yield pa.RecordBatch.from_arrays([head[0].take(pa.array(owner[rest])), *none, words.take(pa.array(w)), pa.array(m[rest], pa.int64()), pa.array(class_of[w], pa.int32())], names=names)
+                lo += size
 
     # rows without a word get a key of their own (no word has a space), so that they are spread as well
     d = d.mapInArrow(spread, columns).withColumn("key", F.coalesce("word", F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary")))
