@@ -16,7 +16,7 @@ from tickloom.plans.flow_context_checks import BINS, FS, GR, QMF_LAYERS, QUOTES,
 from tickloom.plans.registry import KEY, Registry, fix, rounded, sel
 from tickloom.plans.risk_ml_checks import var_sql
 from tickloom.plans.scanner_checks import MID, RATED, SCAN, SHORT, rated, scan
-from tickloom.session import shared_dir
+from tickloom.session import scratch_root
 from tickloom.sources import registry, store
 from tickloom.sources.barstore import BarStore
 from tickloom.sources.driver_tables import bars_daily, bars_hourly, benchmark_daily, table
@@ -26,7 +26,7 @@ OHLCV = ["open", "high", "low", "close", "volume"]
 
 
 def scratch(s):
-    return f"{shared_dir(s)}/tickloom/checks/{uuid.uuid4().hex}"
+    return f"{scratch_root(s)}/checks/{uuid.uuid4().hex}"
 
 
 def upserted(s, d):

@@ -10,7 +10,7 @@ from tickloom.operators import news
 from tickloom.plans import sqlkit as q
 from tickloom.plans.registry import Registry, fix
 from tickloom.plans.smc_checks import CAUSAL
-from tickloom.session import shared_dir
+from tickloom.session import scratch_root
 from tickloom.sources.driver_tables import bars_hourly, table
 from tickloom.streaming import stream as st
 from tickloom.streaming import tracking
@@ -27,7 +27,7 @@ def ticks(s, d):
 
 
 def out(s):
-    return f"{shared_dir(s)}/tickloom/streams/{uuid.uuid4().hex}"
+    return f"{scratch_root(s)}/streams/{uuid.uuid4().hex}"
 
 
 def ntz(df):
@@ -63,7 +63,7 @@ R.add("st5_deduped_alerts", lambda s, d: run(s, st.dedup_alerts(alerts(s, d))).s
 
 def bar_stream(s, d):
     """Closed hourly bars landed as files, read as a stream."""
-    path = f"{shared_dir(s)}/tickloom/landed/{uuid.uuid4().hex}"
+    path = f"{scratch_root(s)}/landed/{uuid.uuid4().hex}"
     b = bars_hourly(s, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close")
     b.repartition(3).write.parquet(path)
     return s.readStream.schema(b.schema).parquet(path)
