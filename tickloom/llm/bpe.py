@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tickloom.llm.common import with_arrow_column
+from tickloom.llm.common import Carried, with_arrow_column
 
 #: Distinct pieces, and token pairs, that a worker remembers before it starts over.
 REMEMBERED = 150_000
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     """Adds the token ids of each whole text: an array of ints, or packed as little-endian unsigned 32-bit integers."""
 
     # one entry per token of the vocabulary, whatever the input; what a task remembers goes with it
-    encoder = docs.sparkSession.sparkContext.broadcast(PrefixEncoder(load_ranks(ranks_path), pattern))
+    encoder = Carried(docs.sparkSession.sparkContext, PrefixEncoder(load_ranks(ranks_path), pattern))
 
     def make():
         enc = encoder.value

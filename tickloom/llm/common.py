@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+class Carried:
+    """A broadcast value that travels with the code of its classes, as task functions do: executors need no copy of this package."""
+
+    def __init__(self, sc: SparkContext, value: Any) -> None:
+        self._held = sc.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> Any:
+        if isinstance(self._held.value, bytes):  # once in a worker, whose tasks share the broadcast
+            self._held._value = pickle.loads(self._held.value)
+        return self._held.value
+
+
 def release() -> None:
     """Gives memory that a task has freed back to the machine: workers stay, and wait idle beside stages that need no Python."""
     pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import array_chunks, merged_array, most_frequent
+from tickloom.llm.common import Carried, array_chunks, merged_array, most_frequent
 from tickloom.session import materialize
 
 #: Classes: the end, frequent words, endings, and one for the rest.
@@ -206,7 +206,7 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     own = set(words)
     endings = [bytes(r.k) for r in _per_word(counts, lambda w: b" " if w in own else ending(w), "binary").where(F.col("k") != b" ")
                .orderBy(F.desc("c"), "k").limit(CLASSES - FREQUENT - 2).collect()]
-    classes = sc.broadcast(Classes(words, endings))
+    classes = Carried(sc, Classes(words, endings))
     sums, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in _per_word(counts, lambda w: classes.value.of(w), "long").collect():
         sums[r.k], kinds[r.k] = r.c, r.n

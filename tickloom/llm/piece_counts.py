@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import most_frequent
+from tickloom.llm.common import Carried, most_frequent
 from tickloom.session import materialize
 
 #: Pre-tokens joined inside the reading tasks, their longest length in characters, and how many candidates a task proposes.
@@ -96,7 +96,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", keep: Seq
     sc = docs.sparkSession.sparkContext
     names = frequent(docs, pieces, text, size)
     hot = sc.broadcast(dict(zip(names, pieces.count(names) if names else [])))
-    lib = sc.broadcast(pieces)
+    lib = Carried(sc, pieces)
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_keep"), F.col(text).alias("_text"))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[:2]), T.StructField("_bytes", T.LongType()), T.StructField("_token", T.StringType()), T.StructField("_n", T.LongType())])

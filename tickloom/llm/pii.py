@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import WORD, with_arrow_column
+from tickloom.llm.common import WORD, Carried, with_arrow_column
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Tags: 0 outside, then begin and inside of each kind.
@@ -372,7 +372,7 @@ def find(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int
 
 def detect(docs: DataFrame, field: Field | None = None, text: str = "text", out: str = "spans") -> DataFrame:
     """Adds the spans: kind, start, end (code points, end exclusive) and whether a pattern gave it."""
-    model = docs.sparkSession.sparkContext.broadcast(field or default_field())
+    model = Carried(docs.sparkSession.sparkContext, field or default_field())
     names = [f.name for f in SPAN.elementType.fields]
 
     def make():
@@ -388,7 +388,7 @@ def detect(docs: DataFrame, field: Field | None = None, text: str = "text", out:
 
 def redact(docs: DataFrame, field: Field | None = None, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets (overlapping spans become one), and its length kept true."""
-    model = docs.sparkSession.sparkContext.broadcast(field or default_field())
+    model = Carried(docs.sparkSession.sparkContext, field or default_field())
 
     def make():
         def clean(t: str | None, spans: list) -> str | None:
